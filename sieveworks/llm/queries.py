@@ -8,8 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing
-from .common import table
+from . import decontam, html_extract, jaccard_join, langid, license_scan, media, packing, quality, secret_scan, url_filter
+from .common import shared_path, table
+
+
+def _joined_spans(spans: str) -> str:
+    return f"array_join(transform({spans}, s -> concat_ws(':', s.kind, CAST(s.start AS STRING), CAST(s.stop AS STRING))), ',')"
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.expr(f"CAST(size(filter(secrets, s -> s.kind = '{kind}')) AS BIGINT)")
+    base = F.expr(_joined_spans("filter(secrets, s -> s.rank < 3)"))
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), F.expr(_joined_spans("secrets")).alias("spans"), count("random").alias("n_random"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +28,26 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "media")
+    media.write_archives(table(spark, sf_dir, "documents"), folder)
+    stored = media.read_archives(spark, folder)
+    return stored.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.expr(media.tail_crc32("payload")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, windows = decontam.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     rows = decontam.contaminated_items(found, windows)
@@ -29,10 +60,25 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
+    "op3_url_filter": op3_url_filter,
+    "op4_main_text": op4_main_text,
+    "op5_licenses": op5_licenses,
+    "op6_media": op6_media,
     "op7_decontamination": op7_decontamination,
     "op8_language": op8_language,
+    "op9_jaccard": op9_jaccard,
+    "op10_quality": op10_quality,
 }
 
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
