@@ -65,7 +65,7 @@ def read_libraries(spark: SparkSession, root: str, skip_dir: str = "url") -> Dat
                     continue
                 for i, r in enumerate(csv.DictReader(io.StringIO(raw.decode(charset, errors="replace"), newline=""))):
                     r.pop(None, None)
-                    rows.append((lib, None, stem, inner, charset, i, list(r), list(r.items())))
+                    rows.append((lib, None, stem, inner, charset, i, list(r), r))
                     if len(rows) >= 5000:
                         yield pd.DataFrame(rows, columns=names)
                         rows = []

@@ -29,7 +29,8 @@ def pending(cases: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     ok = F.coalesce(F.col("output"), F.lit("")) != ""
     for flag in ("truncated", "error"):
         if flag in done.columns:
-            ok = ok & ~F.coalesce(F.col(flag).cast("boolean"), F.col(flag).isNotNull() & (F.col(flag).cast("string") != ""), F.lit(False))
+            is_flag = done.schema[flag].dataType.typeName() == "boolean"
+            ok = ok & ~F.coalesce(F.col(flag) if is_flag else F.col(flag).cast("string") != "", F.lit(False))
     return cases.join(done.where(ok).select(key), key, "left_anti")
 
 
