@@ -18,7 +18,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -200,5 +199,3 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: dict[str,
 
     return kept.select(*rest, text_col).mapInArrow(run, schema)
 
-
-_ = np  # the buffers of text_buffers are numpy arrays

@@ -15,7 +15,6 @@ members of their own; an empty table gives an archive folder without archives an
 from __future__ import annotations
 
 import binascii
-import hashlib
 import json
 import struct
 import time
@@ -99,7 +98,10 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
             if archive is not None:
                 archive.close()
                 out.close()
-                fs.move(unfinished, f"{root}/part-{part:06d}-{k:06d}.zip")
+                final = f"{root}/part-{part:06d}-{k:06d}.zip"
+                if fs.get_file_info(final).type != pafs.FileType.NotFound:
+                    fs.delete_file(final)
+                fs.move(unfinished, final)
                 archive, k = None, k + 1
 
         for batch in batches:
@@ -213,5 +215,3 @@ def tail_crc32(payload_column: str) -> str:
     """SQL of the unsigned crc32 of the last 64 bytes."""
     return f"crc32(substring({payload_column}, -64, 64))"
 
-
-_ = hashlib
