@@ -100,7 +100,8 @@ def contaminated_items(found: DataFrame, windows: DataFrame, id_col: str = "doc_
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """Drops every document with a hit; the rest keep their columns. Narrow: nothing is shuffled."""
     found, _ = find_contamination(docs, benchmark, text_col, **how)
-    return found.where("n_hit = 0").select(*docs.columns)
+    # a filter on n_hit itself would be pushed below the projections, and each reference would search the text again
+    return found.withColumn("__clean", F.explode(F.array(F.col("n_hit") == 0))).where("__clean").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
