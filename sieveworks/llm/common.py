@@ -20,6 +20,13 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Bounds what Python workers and the JVM hold of a batch of texts; keeps a smaller setting of the session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir; own folder only if unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -64,8 +71,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def runs_of_rows(offsets: np.ndarray, most: int = 1 << 20):
-    """Row ranges (i, j) of about `most` bytes of text each; a longer row stands alone."""
+def runs_of_rows(offsets: np.ndarray, most: int = 1 << 18):
+    """Row ranges (i, j) of at most `most` bytes of text each; a longer row stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import runs_of_rows, text_buffers, without
+from .common import runs_of_rows, small_batches, text_buffers, without
 
 UNKNOWN = "und"
 
@@ -67,6 +67,7 @@ def has_letter(column: pa.Array) -> np.ndarray:
 
 def fit(labelled: DataFrame, text_col: str, lang_col: str, order: Column, dim: int = 8192, per_lang: int = 400, centroids: int = 4) -> CentroidModel:
     """labelled: the rows to learn from. order: an expression whose hash picks the sample. per_lang bounds the sample, in expectation."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("__order"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import without
+from .common import small_batches, without
 
 
 class CapacityTree:
@@ -130,6 +130,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         if rests:
             yield from settle()
 
+    small_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(pack, schema)
 
 
