@@ -5,9 +5,13 @@ are what is compared. Two classes can only reach the threshold if their prefixes
 one global order, rarest first (frequent shingles are known from a summary of all partitions; the order affects
 work, never results).
 
-1. Partition: shingles shared by the prefixes of several classes link each class to a leader; the two likeliest leaders are verified, and
-   verified links make the groups of similar documents (connected components, so links inside a group need no more work).
-2. Matrix: (shingle, group) rows over the shared prefixes name the groups that a class of another group may have a link with.
+1. Partition: where the prefixes of several classes share a shingle, each class asks the two that come before it by size, and
+   the two hubs of the list, those in whose order the shingle comes first (they have the fewest shingles of their own, as the origin of
+   copies has). Of the four that a class asks most, the two likeliest are verified, and verified links make the groups of similar
+   documents (connected components, so links inside a group need no more work).
+2. Matrix: (shingle, group) rows over the shared prefixes name the groups that a class of another group may have a link with:
+   sizes must fit, and what follows the shared shingle must be long enough. Parity bitmaps, which bound an overlap from above, thin out
+   the questions to small groups.
 3. Open: a group's members are dealt into blocks of bounded size, each with the union of its members' shingles. A query
    whose overlap with the union is below t times its size skips the block; the others open it and compare members one
    by one, up to the first link, as the group is connected already.
@@ -33,14 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER_TABLE, runs_of_rows, saved, text_buffers
+from .common import IS_SPACE, LOWER_TABLE, runs_of_rows, saved, small_batches, text_buffers
 
 _rng = np.random.default_rng(20250101)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 #: Heavy-shingle summary: at most so many rows from a flush of a task, and in all.
-HEAVY_PER_FLUSH, HEAVY_ALL, FLUSH = 4096, 1 << 18, 4_000_000
+HEAVY_PER_FLUSH, HEAVY_ALL, FLUSH = 4096, 1 << 18, 2_000_000
+#: Rows (six numbers each) of texts to fetch that may be broadcast, after they were counted.
+BROADCAST_NEEDS = 200_000
+#: Longest parity bitmap of a class; groups of more members than SMALL_GROUP are opened by their blocks, without bitmaps.
+MOST_BITS, SMALL_GROUP = 1 << 16, 64
 #: A block's shingles, and queries to a copy of a block, in expectation.
 BLOCK_SHINGLES, BLOCK_QUERIES = 200_000, 2000
 
@@ -62,7 +70,7 @@ class Powers:
     @classmethod
     def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, 1 << 20)
+            size = max(n, 1 << 19)
             a, b = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
             a[0] = b[0] = 1
             cls.up, cls.down = np.cumprod(a, dtype=np.uint64), np.cumprod(b, dtype=np.uint64)
@@ -113,15 +121,32 @@ def digest(shingles: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes: whether an odd number of them has it. As many bits as a power of two at the set's size."""
+    size = min(MOST_BITS, max(64, 1 << (len(shingles) - 1).bit_length()))
+    counts = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def overlap_bound(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """The overlap is this at most: each bit that differs needs a shingle that only one set has. The longer bits fold onto the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return (n_a + n_b - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
 def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """Rows of documents (doc_id, n, digest) and, with null n, of frequent shingles (token, weight)."""
+    """Rows of documents (doc_id, n, digest, bits) and, with null n, of frequent shingles (token, weight)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "digest", "token", "weight"]
+        names = ["doc_id", "n", "digest", "bits", "token", "weight"]
         seen, held, size = set(), [], 0
 
         def heavy() -> pa.RecordBatch:
@@ -129,13 +154,14 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             token, weight = token[weight > 2], weight[weight > 2]
             top = np.argsort(-weight, kind="stable")[:HEAVY_PER_FLUSH]
             none = pa.nulls(len(top), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(token[top].view(np.int64)), pa.array(weight[top].astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(top), pa.binary()), pa.array(token[top].view(np.int64)), pa.array(weight[top].astype(np.int64))], names)
 
         for batch in batches:
-            n, of = [], []
+            n, of, bits = [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 of.append(digest(s))
+                bits.append(parity_bits(s) if len(s) else None)
                 if len(s) and of[-1] not in seen:
                     seen.add(of[-1])
                     held.append(s)
@@ -144,15 +170,15 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     yield heavy()
                     held, size = [], 0
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(of, pa.int64()), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(of, pa.int64()), pa.array(bits, pa.binary()), none, none], names)
         if held:
             yield heavy()
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n long, digest long, token long, weight long")
+    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n long, digest long, bits binary, token long, weight long")
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, heavy: list[tuple[int, int]]) -> DataFrame:
-    """(token, digest, n) of each class's prefix; a class once for each task."""
+    """(token, digest, n, rest) of each class's prefix; a class once for each task. rest: shingles from this one on, in the global order."""
     token = np.array([t for t, _ in heavy], np.int64).view(np.uint64)
     weight = np.array([w for _, w in heavy], np.int64)
     by_token = np.argsort(token)
@@ -162,7 +188,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
         tokens, weights = shared.value
         seen: set[int] = set()
         for batch in batches:
-            out, of, sizes = [], [], []
+            out, of, sizes, rests = [], [], [], []
             for s in shingle_sets(batch.column(0), k):
                 if not len(s) or (d := digest(s)) in seen:
                     continue
@@ -176,11 +202,32 @@ def postings(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
                 out.append(p)
                 of.append(d)
                 sizes.append(len(s))
+                rests.append(np.arange(len(s), len(s) - len(p), -1, dtype=np.int32))
             if out:
                 many = [len(p) for p in out]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(of, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many))], ["token", "digest", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(of, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(np.concatenate(rests))], ["token", "digest", "n", "rest"])
+
+    return docs.select(text_col).mapInArrow(run, "token long, digest long, n int, rest int")
 
-    return docs.select(text_col).mapInArrow(run, "token long, digest long, n int")
+
+def within_bound(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (digest, n, od, on, ...) that their bitmaps do not rule out, with the bound on their overlap."""
+    of = lambda d, n, name: bits.select(F.col("digest").alias(d), F.col("n").alias(n), F.col("bits").alias(name))
+    rest = pairs.columns
+    joined = pairs.join(of("digest", "n", "__a"), ["digest", "n"]).join(of("od", "on", "__b"), ["od", "on"]).select(*rest, "__a", "__b")
+    i, j = rest.index("n"), rest.index("on")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in (i, j, len(rest), len(rest) + 1)]
+            bound = np.array([overlap_bound(a, n, b, m) for n, m, a, b in zip(*columns, strict=True)], np.int64)
+            n = np.array(columns[0], np.int64) + np.array(columns[1], np.int64)
+            keep = pa.array((100 + percent) * bound >= percent * n)
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(bound)], [*rest, "bound"])
+            yield out.filter(keep)
+
+    schema = joined.select(*rest, F.lit(0).cast("long").alias("bound")).schema
+    return joined.mapInArrow(run, schema)
 
 
 def open_groups(docs: DataFrame, queries: DataFrame, members: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -195,8 +242,10 @@ def open_groups(docs: DataFrame, queries: DataFrame, members: DataFrame, id_col:
     m = members.join(plan, "g").select("g", "doc", F.pmod(hashed, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "digest")
     q = queries.join(plan, "g").select("g", "doc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(hashed, "salts").cast("int").alias("salt"), F.lit(1).alias("role"), "digest")
     needs = m.unionByName(q).withColumn("key", F.xxhash64("g", "block", "salt"))
+    needs = saved(needs, "needs")
+    few = needs.count() <= BROADCAST_NEEDS  # else both sides are shuffled
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = needs.join(texts, "doc").select("key", "role", "digest", "text").repartition("key").sortWithinPartitions("key", "role")
+    rows = texts.join(F.broadcast(needs) if few else needs, "doc").select("key", "role", "digest", "text").repartition("key").sortWithinPartitions("key", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, union = None, {}, None
@@ -252,20 +301,33 @@ def components(edges: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs. Its steps run at once, the result is lazy."""
+    small_batches(docs.sparkSession)
     found = saved(profile(docs, id_col, text_col, k), "profile")
     rows = found.where("n IS NOT NULL")
-    classes = saved(rows.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("doc")), "classes")
+    bits = saved(rows.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("doc"), F.max("bits").alias("bits")), "classes")
+    classes = bits.drop("bits")
     heavy = [(r["token"], r["w"]) for r in found.where("token IS NOT NULL").groupBy("token").agg(F.sum("weight").alias("w")).orderBy(F.desc("w"), "token").limit(HEAVY_ALL).collect()]
 
     near = Window.partitionBy("token").orderBy("n", "digest")
     other = lambda f: F.coalesce(f("digest").over(near) != F.col("digest"), F.lit(False))
-    lead = F.first(F.struct("digest", "n")).over(near)
-    posted = postings(docs, id_col, text_col, k, percent, heavy).withColumns({"left": other(F.lag), "right": other(F.lead), "leader": lead})
-    shared = saved(posted.where("left OR right").select("token", "digest", "n", F.col("leader.digest").alias("ld"), F.col("leader.n").alias("ln")), "shared")
-
-    # 1. likeliest leaders; no text under a null id can be fetched, so such a class stays out unless another row has it
-    likely = shared.where((F.col("digest") != F.col("ld")) & (100 * F.col("ln") >= percent * F.col("n"))).groupBy("digest", "n", "ld", "ln").agg(F.count("*").alias("c"))
-    best = likely.withColumn("r", F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("c"), "ld"))).where("r <= 2")
+    before = lambda k: F.lag(F.struct("digest", "n", "rest"), k).over(near)
+    posted = postings(docs, id_col, text_col, k, percent, heavy).withColumns({"left": other(F.lag), "right": other(F.lead), "b1": before(1), "b2": before(2)})
+    shared = saved(posted.where("left OR right").select("token", "digest", "n", "rest", F.array("b1", "b2").alias("before")), "shared")
+
+    # the first shingle that two sets share bounds their overlap by what follows it in either set
+    reach = lambda rest, n, other: (100 + percent) * rest >= percent * (n + other)
+
+    # 1. leaders: neighbours by size, and hubs; no text under a null id can be fetched, so such a class stays out unless another row has it
+    early = Window.partitionBy("token").orderBy(F.col("n") - F.col("rest"), "digest").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hubs = [F.nth_value(F.struct("digest", "n", "rest"), k).over(early) for k in (1, 2)]
+    asks = F.concat(F.transform("before", lambda x: F.struct(x.alias("l"), F.lit(0).alias("hub"))), F.array(*[F.struct(h.alias("l"), F.lit(1).alias("hub")) for h in hubs]))
+    posted = shared.select("digest", "n", "rest", asks.alias("asks")).select("digest", "n", "rest", F.explode("asks").alias("a")).select("digest", "n", "rest", "a.l", "a.hub")
+    posted = posted.where((F.col("digest") != F.col("l.digest")) & (100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")))
+    posted = posted.where(reach(F.col("rest"), F.col("n"), F.col("l.n")) & reach(F.col("l.rest"), F.col("n"), F.col("l.n")))
+    likely = posted.groupBy("digest", "n", F.col("l.digest").alias("od"), F.col("l.n").alias("on")).agg(F.count("*").alias("c"), F.max("hub").alias("hub"))
+    likely = likely.withColumn("r", F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("hub"), F.desc("c"), "od"))).where("r <= 4").drop("c", "r", "hub")
+    near = within_bound(likely, bits, percent).withColumnsRenamed({"od": "ld", "on": "ln"})
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("bound"), "ld"))).where("r <= 2")
     best = saved(best.join(classes, ["digest", "n"]).join(classes.select(F.col("digest").alias("ld"), F.col("n").alias("ln"), F.col("doc").alias("ldoc")), ["ld", "ln"]), "likely")
     queries = best.select(F.col("ld").alias("g"), "digest", "n", "doc")
     members = best.select(F.col("ld").alias("g"), F.col("ld").alias("digest"), F.col("ln").alias("n"), F.col("ldoc").alias("doc")).distinct()
@@ -274,13 +336,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # 2. the matrix over shared prefixes, and what each class has to ask; the smaller group asks the larger
     named = comps.select(F.col("node").alias("digest"), "comp").join(comps.groupBy("comp").agg(F.count("*").alias("size")), "comp")
-    at = saved(shared.select("token", "digest", "n").join(named, "digest", "left").withColumns({"comp": F.coalesce("comp", "digest"), "size": F.coalesce("size", F.lit(1))}), "placed")
-    matrix = at.groupBy("token", F.col("comp").alias("g"), F.col("size").alias("g_size")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    at = saved(shared.select("token", "digest", "n", "rest").join(named, "digest", "left").withColumns({"comp": F.coalesce("comp", "digest"), "size": F.coalesce("size", F.lit(1))}), "placed")
+    matrix = at.groupBy("token", F.col("comp").alias("g"), F.col("size").alias("g_size")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("g_rest"))
     matrix = matrix.withColumn("groups", F.count("*").over(Window.partitionBy("token"))).where("groups > 1").drop("groups")
-    fits = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
-    ask = at.join(matrix, "token").where((F.struct("size", "comp") < F.struct("g_size", "g")) & fits).select("g", "digest", "n").distinct()
+    fits = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n")) & reach(F.col("rest"), F.col("n"), F.col("low")) & reach(F.col("g_rest"), F.col("n"), F.col("low"))
+    ask = at.join(matrix, "token").where((F.struct("size", "comp") < F.struct("g_size", "g")) & fits).select("g", "g_size", "digest", "n").distinct()
     ask = saved(ask.join(classes, ["digest", "n"]), "asked")
-    everyone = classes.join(comps.select(F.col("node").alias("digest"), "comp"), "digest", "left").select(F.coalesce("comp", "digest").alias("g"), "digest", "n", "doc")
+    everyone = saved(classes.join(comps.select(F.col("node").alias("digest"), "comp"), "digest", "left").select(F.coalesce("comp", "digest").alias("g"), "digest", "n", "doc"), "members")
+    pairs = ask.where(F.col("g_size") <= SMALL_GROUP).join(everyone.select("g", F.col("digest").alias("od"), F.col("n").alias("on")), "g").where((100 * F.col("on") >= percent * F.col("n")) & (percent * F.col("on") <= 100 * F.col("n")))
+    small = within_bound(pairs.select("g", "digest", "n", "doc", "od", "on"), bits, percent)
+    ask = saved(small.select("g", "digest", "n", "doc").distinct().unionByName(ask.where(F.col("g_size") > SMALL_GROUP).select("g", "digest", "n", "doc")), "asked")
 
     # 3. open
     more = saved(open_groups(docs, ask, everyone.join(ask.select("g").distinct(), "g", "left_semi"), id_col, text_col, k, percent), "links")
