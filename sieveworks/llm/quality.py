@@ -1,15 +1,19 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and a perplexity for every document.
 
-The model is over character 4-grams of a 32-symbol alphabet (gap, a-z, digits, punctuation, three classes of bytes of longer
-characters), so its count tables have at most 32**4 cells however large the corpus is. Counting covers all trusted
-documents: each task counts into cells, and the cells are summed by key. The discounts come from the counts
-of counts of each order, lower orders use continuation counts.
+The model is over pairs of words, with an open vocabulary: every distinct word and pair of the trusted texts has its own count, so
+what scoring gathers grows with the corpus. A word is a run of letters, digits and bytes of longer characters with A-Z lower-cased; ideographs
+and kana are words of their own, and so is each other sign. Below the words' continuation counts lies a spelling model
+(character 4-grams over 32 classes of bytes, spread evenly over the bytes of a class), which prices unknown words.
 
-The model's shards, one table of 4 MB, are joined to the documents on the map side: a document's 4-grams look their
-log-probabilities up in place. Joining them by shuffle would move a row for each distinct 4-gram of each document,
-several hundred times the rows of the input, which is why the shards travel and not the documents.
+Pairs are known by 64-bit hashes. Tasks sum pairs before the shuffle; counts are sharded by pair, contexts and continuations by word.
+Each document's distinct pairs and words look the model up by a sharded join: log p(w|v) = log b(v) + log p(w), plus what
+a known pair adds, so words and pairs are looked up apart and only sums meet by document. Nothing but the 4 MB of the spelling model,
+discounts and totals is held in one place.
 
-A document is kept if its perplexity is at most `slack` times the `quantile` of the trusted documents of its language.
+Trusted documents set the thresholds, so their perplexity leaves their own counts out: words and pairs that no
+other trusted text has are unknown to them.
+
+A document is kept if its perplexity (per byte of its words, with one for the end of each) is at most `slack` times the `quantile` of the trusted documents of its language.
 Quantiles are merged sketches, a row a language.
 
 Defined results: null, empty or letterless text has no perplexity and is rejected. A null or untrusted language takes the quantile over all
@@ -23,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import runs_of_rows, saved, text_buffers, without
+from .common import IS_SPACE, LOWER_TABLE, runs_of_rows, saved, small_batches, text_buffers
 
 K, ORDER = 32, 4
 CELLS = K**ORDER
@@ -42,6 +46,21 @@ SYMBOL[128:192] = 29
 SYMBOL[192:224] = 30
 SYMBOL[224:] = 31
 
+#: Lower-cased bytes in each class; the gap stands for the end of a word.
+MEMBERS = np.bincount(np.delete(SYMBOL, np.arange(65, 91)), minlength=K)
+MEMBERS[0] = 1
+#: Lead bytes of characters that are words of their own: U+3000 to U+9FFF and beyond U+FFFF.
+ALONE = np.zeros(256, dtype=bool)
+ALONE[0xE3:0xEA] = ALONE[0xF0:] = True
+#: White space 0, words 1, signs 2.
+KIND = np.full(256, 2, dtype=np.int8)
+KIND[48:58] = KIND[97:123] = KIND[128:] = 1
+KIND[IS_SPACE] = 0
+#: Odd multiplier of the word hashes, its inverse, and what stands before the first word.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+START = np.uint64(0x5EED)
+
 
 def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(4-gram codes, row of each) of the texts between the offsets; three gaps stand before each text."""
@@ -57,15 +76,57 @@ def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code, rows
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all words, each word with a blank behind it, offsets of the words, row of each, hash of each) of the texts between the offsets."""
+    first, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+    low = LOWER_TABLE[data[first : first + size]]
+    kind, rows = KIND[low], np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    head = (low & 0xC0) != 0x80
+    lead = np.maximum.accumulate(np.where(head, np.arange(size), 0))
+    alone = ALONE[low[lead]]
+    begins = np.ones(size, dtype=bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2) | (rows[1:] != rows[:-1]) | (head[1:] & (alone[1:] | alone[:-1]))
+    keep = kind > 0
+    low, rows = low[keep], rows[keep]
+    at = np.flatnonzero(begins[keep])
+    lengths = np.diff(np.append(at, len(low)))
+    powers = np.ones(len(low) + 1, np.uint64)
+    powers[1:] = BASE
+    back = np.ones(len(low) + 1, np.uint64)
+    back[1:] = INVERSE
+    sums = np.zeros(len(low) + 1, np.uint64)
+    np.cumsum((low + np.uint64(1)) * np.cumprod(powers)[:-1], out=sums[1:])
+    hashes = mixed((sums[at + lengths] - sums[at]) * np.cumprod(back)[at])
+    spaced = np.full(len(low) + len(at), 32, np.uint8)
+    spaced[np.arange(len(low)) + np.repeat(np.arange(len(at)), lengths)] = low
+    return spaced, np.append(0, np.cumsum(lengths + 1)), rows[at], hashes
+
+
+def pairs_of(rows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word before, hash of the pair) of each word."""
+    before = np.append(START, words[:-1])
+    if len(rows):
+        before[np.append(True, rows[1:] != rows[:-1])] = START
+        return before, mixed(before * np.uint64(BASE) + words)
+    return before[:0], words
+
+
 def count_cells(trusted: DataFrame, text_col: str) -> DataFrame:
-    """(cell, n) over all rows; each task sends the cells that it has seen."""
+    """(cell, n) over the words of all rows; each task sends the cells that it has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             for i, j in runs_of_rows(offsets):
-                total += np.bincount(codes(data, offsets[i : j + 1])[0], minlength=CELLS)
+                spaced, at, _, _ = split_words(data, offsets[i : j + 1])
+                total += np.bincount(codes(spaced, at)[0], minlength=CELLS)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
 
@@ -92,34 +153,104 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(p, 1e-12)).reshape(-1)
 
 
-def train(trusted: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The table of log-probabilities, 4 MB; at most CELLS rows reach the driver."""
+def spelling(trusted: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The spelling model's log-probabilities, 4 MB; at most CELLS rows reach the driver."""
     got = count_cells(trusted, text_col).toArrow()
     counts = np.zeros(CELLS, np.int64)
     counts[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return kneser_ney(counts).astype(np.float32)
+    return (kneser_ney(counts) - np.log(np.resize(MEMBERS, CELLS))).astype(np.float32)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def score(docs: DataFrame, table: np.ndarray, text_col: str = "text") -> DataFrame:
-    """docs, without text, with perplexity per symbol; null for texts without a letter."""
-    kept = without(docs, "perplexity")
-    rest = [c for c in kept.columns if c != text_col]
-    schema = T.StructType([*kept.select(*rest).schema.fields, T.StructField("perplexity", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def count_pairs(trusted: DataFrame, shared, text_col: str) -> DataFrame:
+    """(h, v, w, n, spell) of every pair of words, over all rows."""
+    names = ["h", "v", "w", "n", "spell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(len(rest)))
-            found = np.full(len(offsets) - 1, np.nan)
-            for i, j in runs_of_rows(offsets):
-                code, rows = codes(data, offsets[i : j + 1])
-                n = np.bincount(rows, minlength=j - i)
-                letters = np.bincount(rows[((code % K >= 1) & (code % K <= 26)) | (code % K >= 29)], minlength=j - i)
-                log = np.bincount(rows, weights=shared.value[code], minlength=j - i)
-                found[i:j] = np.where(letters > 0, np.exp(-log / np.maximum(n, 1)), np.nan)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(found, pa.float64(), from_pandas=True)], schema.names)
+            data, offsets = text_buffers(batch.column(0))
+            for i, j in runs_of_rows(offsets, 1 << 20):
+                spaced, at, rows, words = split_words(data, offsets[i : j + 1])
+                if not len(rows):
+                    continue
+                before, pair = pairs_of(rows, words)
+                spell = np.add.reduceat(shared.value[codes(spaced, at)[0]], at[:-1], dtype=np.float64)
+                h, one, n = np.unique(pair, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(h), _signed(before[one]), _signed(words[one]), pa.array(n), pa.array(spell[one])], names)
+
+    parts = trusted.select(text_col).mapInArrow(run, "h long, v long, w long, n long, spell double")
+    return parts.groupBy("h").agg(F.min("v").alias("v"), F.min("w").alias("w"), F.sum("n").alias("n"), F.max("spell").alias("spell"))
+
+
+def lookups(docs: DataFrame, shared, key_col: str, text_col: str) -> DataFrame:
+    """(key, h, pair, n, ctx, spell): the distinct pairs (pair true, n times) and words (n times, ctx times as the word before) of each row."""
+    names = ["key", "h", "pair", "n", "ctx", "spell"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            data, offsets = text_buffers(batch.column(1))
+            for i, j in runs_of_rows(offsets, 1 << 20):
+                spaced, at, rows, words = split_words(data, offsets[i : j + 1])
+                if not len(rows):
+                    continue
+                before, pair = pairs_of(rows, words)
+                spell = np.add.reduceat(shared.value[codes(spaced, at)[0]], at[:-1], dtype=np.float64)
+                # pairs, words, and words as context
+                m = len(rows)
+                row, h, kind = np.tile(rows, 3), np.concatenate([pair, words, before]), np.repeat([0, 1, 1], m)
+                n, ctx = np.repeat([1, 1, 0], m), np.repeat([0, 0, 1], m)
+                order = np.lexsort((-n, h, kind, row))
+                row, h, kind, n, ctx = row[order], h[order], kind[order], n[order], ctx[order]
+                spell = np.concatenate([np.zeros(m), spell, np.zeros(m)])[order]
+                one = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i + row[one]]), _signed(h[one]), pa.array(kind[one] == 0), pa.array(np.add.reduceat(n, one), pa.int32()), pa.array(np.add.reduceat(ctx, one), pa.int32()), pa.array(spell[one], pa.float32())], names)
+
+    return docs.select(key_col, text_col).mapInArrow(run, "key long, h long, pair boolean, n int, ctx int, spell float")
+
+
+def discounts(counts: DataFrame, column: str) -> tuple[list[float], list[int], int]:
+    """Modified Kneser-Ney's three discounts, how many counts are 1, 2 and more, and the sum."""
+    r = counts.agg(*[F.count_if(F.col(column) == i).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count("*").alias("all"), F.sum(column).alias("sum")).first()
+    n1, n2, n3, n4 = (r[f"n{i}"] for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+    raw = (1 - 2 * y * n2 / max(n1, 1), 2 - 3 * y * n3 / max(n2, 1), 3 - 4 * y * n4 / max(n3, 1))
+    return [min(max(d, 0.1), i + 0.99) for i, d in enumerate(raw)], [n1, n2, r["all"] - n1 - n2], r["sum"] or 0
+
+
+def _less(n: Column, d: list[float]) -> Column:
+    return n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+
+
+def score(docs: DataFrame, trusted: DataFrame, key_col: str, text_col: str = "text") -> DataFrame:
+    """(key, words, log, log_others): the number of words, and the log-probability of all, with and without the text's own counts."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(spelling(trusted, text_col))
+    pairs = saved(count_pairs(trusted, shared, text_col), "pairs")
+    d, _, _ = discounts(pairs, "n")
+    n_of = lambda i: F.count_if(F.col("n") == i)
+    context = pairs.groupBy("v").agg(F.sum("n").alias("c1"), (n_of(1) * d[0] + n_of(2) * d[1] + F.count_if(F.col("n") > 2) * d[2]).alias("held"))
+    context = context.select("v", "c1", (F.col("held") / F.col("c1")).alias("b"))
+    word = pairs.groupBy("w").agg(F.count("*").alias("cont"), F.sum("n").alias("c"), F.max("spell").alias("spell"))
+    e, of, total = discounts(word, "cont")
+    held = sum(x * n for x, n in zip(e, of, strict=True)) / total if total else 1.0
+    word = word.select("w", "c", (_less(F.col("cont"), e) / max(total, 1) + held * F.exp("spell")).alias("p"))
+    of_words = word.join(context.withColumnRenamed("v", "w"), "w", "full").select(F.col("w").alias("h"), F.lit(False).alias("pair"), "c", "c1", "b", "p")
+    of_pairs = pairs.join(context, "v").join(word.select("w", "p"), "w").select("h", F.lit(True).alias("pair"), F.col("n").alias("c"), "c1", "b", "p")
+    found = lookups(docs, shared, key_col, text_col).join(of_words.unionByName(of_pairs), ["h", "pair"], "left")
+
+    def log(own: bool) -> Column:
+        c = F.col("c") - (F.col("n") if own else F.lit(0))
+        c1 = F.col("c1") - (F.col("ctx") if own else F.lit(0))
+        more = F.when(c > 0, F.log1p(_less(c, d) / F.col("c1") / (F.col("b") * F.col("p")))).otherwise(0.0)
+        known = F.when(c > 0, F.log("p")).otherwise(F.col("spell") + float(np.log(held)))
+        back = F.when(c1 > 0, F.log("b")).otherwise(0.0)
+        return F.when(F.col("pair"), F.col("n") * more).otherwise(F.col("n") * known + F.col("ctx") * back)
 
-    return kept.select(*rest, text_col).mapInArrow(run, schema)
+    return found.groupBy("key").agg(F.sum(F.when(F.col("pair"), 0).otherwise(F.col("n"))).alias("words"), F.sum(log(False)).alias("log"), F.sum(log(True)).alias("log_others"))
 
 
 def maybe_trusted(docs: DataFrame, ids: DataFrame, id_col: str, bits: int = 1 << 23) -> DataFrame:
@@ -145,8 +276,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     good = labels.where("quality = 1").select(F.col(id_col).alias("__id")).distinct()
     # always by a merge join, so that the plan is the same at every size
     trusted = maybe_trusted(docs.select(id_col, text_col), good, id_col).join(good.hint("merge"), F.col(id_col) == F.col("__id"), "left_semi")
-    table = train(trusted, text_col)
-    scored = saved(score(docs.select(id_col, lang_col, text_col), table, text_col), "perplexity")
+    key, text = F.xxhash64(F.col(id_col), F.col(text_col)), F.coalesce(F.col(text_col), F.lit(""))
+    # rows of the same id and text share a key: their sums and sizes double together
+    sums = score(docs.select(key.alias("__key"), text_col), trusted, "__key", text_col)
+    size = F.octet_length(F.translate(text, "\t\n\x0b\x0c\r ", ""))
+    sizes = docs.select(id_col, lang_col, key.alias("__key"), size.alias("__size"), text.rlike(r"[A-Za-z]|[^\x00-\x7F]").alias("__letters"))
+    copies = sizes.groupBy("__key").agg(F.count("*").alias("__copies"))
+    got = sizes.join(sums, F.col("__key") == F.col("key"), "left").join(copies, "__key").join(good, F.col(id_col) == F.col("__id"), "left")
+    log = F.when(F.col("__id").isNotNull(), F.col("log_others")).otherwise(F.col("log"))
+    perplexity = F.when(F.col("__letters"), F.exp(-log / (F.col("__size") * F.col("__copies") + F.col("words"))))
+    scored = saved(got.select(id_col, lang_col, perplexity.alias("perplexity")), "perplexity")
     own = scored.join(good, scored[id_col] == good["__id"], "left_semi").where("perplexity IS NOT NULL")
     of = F.percentile_approx("perplexity", quantile, 10_000) * slack
     everywhere = own.agg(of.alias("t")).first()["t"]

@@ -272,3 +272,25 @@ def test_quality_rejects_noise_and_keeps_prose(spark):
     assert not any(r["keep"] for r in got if r["doc_id"] and r["doc_id"] >= 1000)
     none = Q.classify(empty(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert none == []
+
+
+def test_words_of_all_scripts_are_split_and_hashed_alike():
+    raw = ["Ab, the 12.5 ab", "", "日本語 кот КОТ x日y", "ab"]
+    data = "".join(raw).encode()
+    offsets = np.cumsum([0, *[len(t.encode()) for t in raw]])
+    spaced, at, rows, hashes = Q.split_words(np.frombuffer(data, np.uint8), offsets)
+    got = [(int(r), bytes(spaced[i : j - 1]).decode()) for r, i, j in zip(rows, at[:-1], at[1:], strict=True)]
+    assert got == [(0, t) for t in ["ab", ",", "the", "12", ".", "5", "ab"]] + [(2, t) for t in ["日", "本", "語", "кот", "КОТ", "x", "日", "y"]] + [(3, "ab")]
+    by_word = {w: h for (_, w), h in zip(got, hashes, strict=True)}
+    assert [by_word[w] for _, w in got] == list(hashes) and len(set(by_word.values())) == len(by_word)
+
+
+def test_quality_tells_cyrillic_prose_from_shuffled_letters(spark):
+    rng = random.Random(4)
+    lexicon = ["".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(60)]
+    prose = lambda: " ".join(rng.choice(lexicon) for _ in range(60))
+    mixed = lambda: " ".join("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(60))
+    rows = [(i, prose(), "ru") for i in range(120)] + [(1000 + i, mixed(), "ru") for i in range(20)]
+    got = Q.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()
+    assert sum(r["keep"] for r in got if r["doc_id"] < 1000) >= 115
+    assert not any(r["keep"] for r in got if r["doc_id"] >= 1000)
