@@ -2,8 +2,9 @@
 
 Rules (host and path prefix, longest wins) judge what they fit. For all other pages trust and distrust spread over the host graph:
 trust is a personalised PageRank from the hosts that allow rules fit, along the edges; distrust starts at the hosts
-that block rules fit and runs against them. A host is blocked when its distrust is above its trust and above `floor` times
-the even share of one host.
+that block rules fit and runs against them. Each seed starts with the share of its pages that such rules fit, 1 at most, so neither mass
+shrinks when other hosts are added. A host is blocked when its distrust is above its trust, above `floor` times its trust, and at least
+`least`, as a share of one seed. Rounds go on until no mass changes by more than `tolerance`.
 
 Edges are links between different hosts (distinct pairs, summed in each task before the shuffle), and a host and its parent domain name
 each other. A round is one join and one sum; both are on host keys with partial sums before the shuffle, and
@@ -72,8 +73,13 @@ def host_edges(pages: DataFrame, url_col: str, html_col: str, hosts: DataFrame,
     return edges.where("src != '' AND dst != '' AND src != dst").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: float = 0.85, cut: int = 4) -> DataFrame:
-    """seeds: (host, kind, mass), kind trust or distrust, each summing to 1. Gives (host, kind, mass) after so many rounds.
+def _moved(before: DataFrame, after: DataFrame, tolerance: float) -> bool:
+    change = after.unionByName(before.withColumn("mass", -F.col("mass"))).groupBy("kind", "host").agg(F.abs(F.sum("mass")).alias("change"))
+    return (change.agg(F.max("change").alias("c")).first()["c"] or 0.0) > tolerance
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: float = 0.85, cut: int = 4, tolerance: float = 0.0) -> DataFrame:
+    """seeds: (host, kind, mass), kind trust or distrust. Gives (host, kind, mass) after so many rounds, or fewer once no mass has changed by more than `tolerance` since the last cut.
 
     Mass at a host without edges on its way stays out of the sum; only ratios are used.
     """
@@ -81,31 +87,32 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: floa
     degree = ways.groupBy("kind", "src").agg(F.count("*").alias("degree"))
     ways = saved(ways.join(degree, ["kind", "src"]), "host-edges")
     seeds = saved(seeds, "host-seeds")
-    mass = seeds
+    mass = cut_off = seeds
     for i in range(rounds):
         sent = mass.withColumnRenamed("host", "src").join(ways, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((F.sum(F.col("mass") / F.col("degree")) * damping).alias("mass"))
         kept = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
         mass = sent.unionByName(kept).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
         if (i + 1) % cut == 0 and i + 1 < rounds:
-            mass = saved(mass, "host-mass")
+            last, mass = cut_off, saved(mass, "host-mass")
+            cut_off = mass
+            if tolerance and not _moved(last, mass, tolerance):
+                break
     return mass
 
 
-def judge(pages: DataFrame, rules: list[Rule] | None = None, url_col: str = "url", html_col: str = "html", parents: bool = True, rounds: int = 8, damping: float = 0.85, floor: float = 2.0) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] | None = None, url_col: str = "url", html_col: str = "html", parents: bool = True, rounds: int = 200, damping: float = 0.85, floor: float = 2.0, least: float = 1e-3, tolerance: float = 1e-3) -> DataFrame:
     """pages without html, with host, path, rule, verdict, trust and distrust (of the host; null if the graph did not reach it)."""
     rules = RULES if rules is None else rules
     kept = without(pages, "host", "path", "rule", "verdict", "trust", "distrust", "__fit")
     judged = kept.drop(html_col).withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))}).withColumn("__fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    hosts = saved(judged.groupBy("host").agg(F.count_if(F.col("__fit.verdict") == "allow").alias("allowed"), F.count_if(F.col("__fit.verdict") == "block").alias("blocked")).where("host != ''"), "hosts")
-    total = hosts.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"), F.count("*").alias("n")).first()
-    even = 1 / max(1, total["n"])
-    seed = lambda kind, column, of: hosts.where(F.col(column) > 0).select("host", F.lit(kind).alias("kind"), (F.col(column) / float(of or 1)).alias("mass"))
-    seeds = seed("trust", "allowed", total["a"]).unionByName(seed("distrust", "blocked", total["b"]))
-    mass = propagate(host_edges(kept, url_col, html_col, hosts, parents), seeds, rounds, damping)
+    hosts = saved(judged.groupBy("host").agg(F.count_if(F.col("__fit.verdict") == "allow").alias("allowed"), F.count_if(F.col("__fit.verdict") == "block").alias("blocked"), F.count("*").alias("pages")).where("host != ''"), "hosts")
+    seed = lambda kind, column: hosts.where(F.col(column) > 0).select("host", F.lit(kind).alias("kind"), (F.col(column) / F.col("pages")).alias("mass"))
+    seeds = seed("trust", "allowed").unionByName(seed("distrust", "blocked"))
+    mass = propagate(host_edges(kept, url_col, html_col, hosts, parents), seeds, rounds, damping, tolerance=tolerance)
     sums = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)).alias(kind)
     reached = mass.groupBy("host").agg(sums("trust"), sums("distrust"))
     out = judged.join(reached, "host", "left")
-    blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") > floor * even)
+    blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") > floor * F.col("trust")) & (F.col("distrust") >= least)
     own = F.when(F.coalesce(blocked, F.lit(False)), "block").otherwise("allow")
     columns = [c for c in judged.columns if c not in ("host", "path", "__fit")]
     return out.select(*columns, "host", "path", F.col("__fit.rule").alias("rule"), F.coalesce(F.col("__fit.verdict"), own).alias("verdict"), "trust", "distrust")

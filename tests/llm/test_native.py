@@ -148,5 +148,12 @@ def test_hosts_that_link_to_blocked_ones_are_blocked(spark):
     assert got == {0: "block", 1: "block", 2: "block", 10: "block", 11: "allow", 12: "allow"}
 
 
+def test_verdicts_do_not_depend_on_the_number_of_blocked_hosts(spark):
+    for n in (3, 60):
+        pages = [(i, f"http://bad{i}.net/es/1", "") for i in range(n)] + [(100, "http://farm.org/1", '<a href="http://bad0.net/x">x</a><a href=//bad1.net>y</a>'), (101, "http://fine.org/1", '<a href="http://ok.com/">x</a>'), (102, "http://ok.com/", '<a href="http://fine.org/2">x</a>'), (103, "http://bad2.net/de/", "")]
+        got = {r["page_id"]: r["verdict"] for r in U.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+        assert [got[i] for i in (100, 101, 102, 103)] == ["block", "allow", "allow", "block"]
+
+
 def test_empty_pages(spark):
     assert U.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
