@@ -12,9 +12,10 @@ The least of the three p-values, Bonferroni-corrected, is the candidate's p. Sec
 evenly over (0, 1); ordinary tokens pile up near 0. False-discovery control follows from that: in each class of length
 (short tokens are harder to tell apart) the even part is estimated from the upper half, and the smallest
 threshold at which the estimated share of ordinary tokens among the accepted ones stays at or below `rate` is taken.
-The counts behind it cover all documents; they are summed per class and bin (8 x 50 cells) before the one small shuffle.
+The counts behind it cover the distinct tokens of all documents, so copies are one test; a class of fewer than `few` of them has no upper
+half to speak of and takes `rate` itself as its threshold. Each task drops its own copies before the shuffle by token, and cells are summed per class and bin (8 x 50).
 
-Two narrow passes over the texts, no join and no per-key shuffle, so hot sources and copies change nothing.
+Two narrow passes over the texts and no join; hot sources and copies meet one row a task.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned each; without candidates no threshold
 is needed; the operator's output columns replace input columns of the same names.
@@ -96,18 +97,18 @@ MIXED = "(t RLIKE '[0-9]' AND t RLIKE '[A-Za-z]')"
 P_OF = f"transform(__tokens, t -> CASE WHEN {MIXED} THEN {_battery('t')} END)"
 
 
-def thresholds(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> list[float]:
-    """For each length class the least p that is accepted; 2.0 accepts none. Counts all documents."""
+def thresholds(docs: DataFrame, text_col: str = "text", rate: float = 0.05, few: int = 20) -> list[float]:
+    """For each length class the least p that is accepted; 2.0 accepts none. Counts the distinct tokens of all documents."""
     tokens = docs.select(_candidates(F.coalesce(F.col(text_col), F.lit(""))).alias("__tokens")).where("size(__tokens) > 0")
-    scored = tokens.select("__tokens", F.expr(P_OF).alias("__p")).select(F.explode(F.arrays_zip("__tokens", "__p")).alias("c")).where("c.__p IS NOT NULL")
-    cells = scored.groupBy(F.expr(_length_class("length(c.__tokens)")).alias("class"), F.expr(f"least({BINS - 1}, CAST(floor(c.__p * {BINS}) AS INT))").alias("bin")).count().collect()
+    scored = tokens.select("__tokens", F.expr(P_OF).alias("__p")).select(F.explode(F.arrays_zip("__tokens", "__p")).alias("c")).where("c.__p IS NOT NULL").select(F.col("c.__tokens").alias("token"), F.col("c.__p").alias("p")).distinct()
+    cells = scored.groupBy(F.expr(_length_class("length(token)")).alias("class"), F.expr(f"least({BINS - 1}, CAST(floor(p * {BINS}) AS INT))").alias("bin")).count().collect()
     count = {(r["class"], r["bin"]): r["count"] for r in cells}
     found = []
     for c in range(len(LENGTHS)):
         per_bin = [count.get((c, b), 0) for b in range(BINS)]
         even = min(sum(per_bin), 2 * sum(per_bin[BINS // 2 :])) / BINS  # secrets expected in each bin
-        best = 2.0
-        for b in range(BINS - 1, -1, -1):
+        best = 2.0 if sum(per_bin) >= few else rate
+        for b in range(BINS - 1, -1, -1) if sum(per_bin) >= few else ():
             accepted = sum(per_bin[b:])
             if accepted and max(0.0, accepted - even * (BINS - b)) / accepted <= rate:
                 best = max(b, 1) / BINS / 2 if b == 0 else b / BINS

@@ -30,6 +30,16 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum(got[i] for i in range(60, 140)) <= 8
 
 
+def test_copies_of_a_secret_do_not_raise_its_threshold(spark):
+    secret = [hashlib.sha256(str(i).encode()).hexdigest()[:40] for i in range(60)]
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(secret)], "doc_id long, text string")
+    least = S.thresholds(docs)
+    p = docs.selectExpr("doc_id", "text", "array(substring(text, 5, 40)) AS __tokens").selectExpr("text", f"{S.P_OF}[0] AS p").where("p BETWEEN 0.1 AND 0.4").orderBy("text").limit(1)
+    copies = p.selectExpr("-1L AS doc_id", "explode(array_repeat(text, 3000)) AS text")
+    assert S.thresholds(docs.unionByName(copies)) == least
+    assert S.thresholds(copies)[S.LENGTHS.index(40)] <= 0.1
+
+
 def test_redaction_cuts_spans_and_nothing_else(spark):
     docs = documents(spark)
     rows = {r["doc_id"]: r for r in S.find_secrets(docs).collect()}
