@@ -1,7 +1,7 @@
 """Secret scans with DataFrame functions alone.
 
-Base kinds are regular expressions. The method adds spans of its own: every run of 20 or more token characters that mixes digits
-and letters is a candidate, its encoding is inferred (the smallest alphabet that holds all its characters), and a battery asks
+Base kinds are regular expressions. The method adds spans of its own: every run of 20 or more characters of base64 or base64url that mixes digits
+and letters is a candidate (a run that mixes both alphabets is split at / - and _, and an inner = ends a run), its encoding is inferred (the smallest alphabet that holds all its characters), and a battery asks
 whether it looks random in that alphabet:
 
 - chi-squared of the symbol counts against a uniform alphabet,
@@ -35,7 +35,9 @@ BASE_KINDS = [
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 ]
 RANDOM = "random"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: A run that fits base64 or base64url as a whole; else its pieces between / - and _. = is padding only where nothing follows it.
+_NEXT = "[A-Za-z0-9+/_-]"
+TOKEN = rf"(?:(?<!{_NEXT})(?:[A-Za-z0-9+/]{{20,}}+|[A-Za-z0-9_-]{{20,}}+)(?!{_NEXT})|[A-Za-z0-9+]{{20,}}+)(?:=++(?!{_NEXT}))?"
 
 #: Alphabets in the order in which they are tried: name, pattern, symbols in their order.
 ALPHABETS = [

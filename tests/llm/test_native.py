@@ -40,6 +40,17 @@ def test_copies_of_a_secret_do_not_raise_its_threshold(spark):
     assert S.thresholds(copies)[S.LENGTHS.index(40)] <= 0.1
 
 
+def test_values_behind_names_and_paths_are_scored_alone(spark):
+    key = "wJalrXUtnFEMI/K7MDENG1bPxRfiCYq8Zs3T0vLd"
+    bare = key.replace("/", "")
+    cases = {f"AWS_ACCESS={key} x": key, f"http://h/p?sig={bare}&a=1": bare, f"my_dir/data-{bare}": bare, f"X={bare}== y": bare + "==", f"{bare}=z": bare, f"a {key} b": key}
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["text"]: r["t"] for r in docs.selectExpr("text", "regexp_extract_all(text, r'" + S.TOKEN + "', 0) AS t").collect()}
+    assert got == {text: [want] for text, want in cases.items()}
+    found = S.find_secrets(docs, rate=0.0).collect()
+    assert all((s := [x for x in r["secrets"] if x["kind"] == "random"]) and r["text"][s[0]["start"] : s[0]["stop"]] == cases[r["text"]] for r in found)
+
+
 def test_redaction_cuts_spans_and_nothing_else(spark):
     docs = documents(spark)
     rows = {r["doc_id"]: r for r in S.find_secrets(docs).collect()}
