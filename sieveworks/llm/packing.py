@@ -27,6 +27,10 @@ from pyspark.sql import types as T
 from .common import small_batches, without
 
 
+#: The vocabulary's only added token and its id.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
+
+
 class CapacityTree:
     """Segment tree over capacities 0..limit; a leaf holds the open windows with just that much room."""
 
@@ -77,7 +81,7 @@ def best_fit_decreasing(lengths: list[int] | np.ndarray, limit: int) -> list[tup
 
 @functools.lru_cache(2)
 def byte_bpe(ranks_path: str, pattern: str):
-    """Encoder of the public byte-level BPE vocabulary; its special strings are ordinary text here."""
+    """Encoder of the public byte-level BPE vocabulary; added tokens are ordinary text to it, `encode` tells them apart."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
@@ -85,6 +89,14 @@ def byte_bpe(ranks_path: str, pattern: str):
     return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(encoder, text: str) -> np.ndarray:
+    """Ids as tokenizers gives them: texts are split at the added token, whose id stands between the parts."""
+    if ADDED not in text:
+        return encoder.encode_to_numpy(text)
+    parts = [encoder.encode_to_numpy(part) for part in text.split(ADDED)]
+    return np.concatenate([parts[0], *[x for part in parts[1:] for x in (np.array([ADDED_ID], parts[0].dtype), part)]])
+
+
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, end_id: int = 0, group: int = 16384) -> DataFrame:
     """One row for each piece: id, start, length, token_ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     names = ["start", "length", "token_ids", "doc_tokens", "sequence_id", "offset"]
@@ -113,7 +125,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         for batch in batches:
             kind_of_id = batch.column(0).type
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                doc, ids = doc.as_py(), np.append(encoder.encode_to_numpy(text.as_py() or ""), end).astype("<u4", copy=False)
+                doc, ids = doc.as_py(), np.append(encode(encoder, text.as_py() or ""), end).astype("<u4", copy=False)
                 total, cut = len(ids), len(ids) // window * window
                 for start in range(0, cut, window):
                     full.append((doc, start, window, ids[start : start + window].tobytes(), total, first + made, 0))

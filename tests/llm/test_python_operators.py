@@ -37,6 +37,17 @@ def test_ids_equal_the_tokenizers_library(tokenizer):
         assert list(encoder.encode_to_numpy(t or "")) == tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_added_tokens_get_their_id(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {t.content: i for i, t in plain.get_added_tokens_decoder().items()} == {P.ADDED: P.ADDED_ID}
+    cases = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x  <|endoftext|>\n", "a<|endoftext|", "<<|endoftext|>> 1"]
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(r["token_ids"], "<u4").tolist() for r in P.pack_documents(docs, **HOW).collect()}
+    assert got == {i: plain.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(cases)}
+
+
 def test_packing_is_a_round_trip(spark, tokenizer):
     docs = documents(spark)
     rows = P.pack_documents(docs, **HOW, window=64).collect()
