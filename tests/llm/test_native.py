@@ -1,11 +1,15 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from sieveworks.llm import decontam as D
 from sieveworks.llm import secret_scan as S
 from sieveworks.llm import url_filter as U
 
-from .fixtures import benchmark, documents, empty
+from .fixtures import BENCH, benchmark, documents, empty
+
+BENCH_TEXT = BENCH[0][1]
 
 BASE = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 12), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile(r"[0-9a-f]+"), 0, 16)]
 
@@ -100,14 +104,22 @@ def test_decontamination_equals_brute_force(spark):
     docs, bench = documents(spark), benchmark(spark)
     items = [tuple(r) for r in bench.collect()]
     want = sorted((str(r["doc_id"]), *brute_contamination(r["text"], items)) for r in docs.collect())
-    for block in (20_000, 1):
-        found, windows = D.find_contamination(docs, bench, block=block)
-        got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in D.contaminated_items(found, windows).collect())
+    for most_bytes in (D.MOST_BYTES, 0):  # by a broadcast, and by a bitmap and a shuffle
+        got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in D.find_contamination(docs, bench, most_bytes=most_bytes).collect())
         assert got == want
     assert sum(w[2] > 0 for w in want) >= 4
     assert D.remove_contaminated(docs, bench).count() == sum(w[2] == 0 for w in want)
 
 
+def test_contamination_of_one_id_with_unlike_texts_and_of_long_texts(spark):
+    item = BENCH_TEXT.split()
+    long = " ".join((item + ["filler"]) * 10_000)
+    docs = spark.createDataFrame([(1, BENCH_TEXT), (1, "clean"), (1, BENCH_TEXT), (None, BENCH_TEXT), (2, long)], "doc_id long, text string").withColumn("items", F.lit(9)).withColumn("AT", F.lit(1))
+    rows = D.find_contamination(docs, benchmark(spark).withColumn("size", F.lit("x"))).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], [tuple(s) for s in r["spans"]][:2]) for r in rows) == sorted([("1", 12, 12, [(0, 12)]), ("1", 1, 0, []), ("1", 12, 12, [(0, 12)]), ("None", 12, 12, [(0, 12)]), ("2", 130_000, 120_000, [(0, 12), (13, 25)])])
+    assert [(r["doc_id"], r["text"], r["items"]) for r in D.remove_contaminated(docs, benchmark(spark)).collect()] == [(1, "clean", 9)]
+
+
 def test_spans_are_cut(spark):
     docs = spark.createDataFrame([(1, "Keep this. ALPHA beta gamma delta epsilon zeta eta theta iota kappa; and that"), (2, "clean text"), (3, None)], "doc_id long, text string")
     got = {r[0]: r[1] for r in D.remove_spans(docs, benchmark(spark)).collect()}
@@ -116,8 +128,9 @@ def test_spans_are_cut(spark):
 
 def test_empty_benchmark_and_table(spark):
     none = spark.createDataFrame([], "item_id long, text string")
-    found, windows = D.find_contamination(documents(spark), none)
-    assert {r["n_hit"] for r in D.contaminated_items(found, windows).collect()} == {0}
+    found = D.find_contamination(documents(spark), none).collect()
+    assert {r["n_hit"] for r in found} == {0} and len(found) == documents(spark).count()
+    assert D.find_contamination(empty(spark), benchmark(spark)).collect() == []
     assert D.remove_contaminated(empty(spark), benchmark(spark)).collect() == []
 
 
