@@ -49,8 +49,8 @@ HEAVY_PER_FLUSH, HEAVY_ALL, FLUSH = 4096, 1 << 18, 2_000_000
 BROADCAST_NEEDS = 200_000
 #: Longest parity bitmap of a class; groups of more members than SMALL_GROUP are opened by their blocks, without bitmaps.
 MOST_BITS, SMALL_GROUP = 1 << 16, 64
-#: A block's shingles, and queries to a copy of a block, in expectation.
-BLOCK_SHINGLES, BLOCK_QUERIES = 200_000, 2000
+#: A block's shingles and members, and queries to a copy of a block, in expectation.
+BLOCK_SHINGLES, BLOCK_MEMBERS, BLOCK_QUERIES = 200_000, 200_000, 2000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -143,21 +143,23 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """Rows of documents (doc_id, n, digest, bits) and, with null n, of frequent shingles (token, weight)."""
+    """Rows of documents (doc_id, h of the text, n, digest, bits) and, with null n, of frequent shingles (token, weight)."""
+    input_rows = docs.select(F.col(id_col).alias("doc_id"), text_col, F.xxhash64(text_col).alias("h"))
+    id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "digest", "bits", "token", "weight"]
-        seen, held, size = set(), [], 0
+        names = ["doc_id", "h", "n", "digest", "bits", "token", "weight"]
+        seen, held, size, kind = set(), [], 0, None
 
         def heavy() -> pa.RecordBatch:
             token, weight = np.unique(np.concatenate(held), return_counts=True)
             token, weight = token[weight > 2], weight[weight > 2]
             top = np.argsort(-weight, kind="stable")[:HEAVY_PER_FLUSH]
             none = pa.nulls(len(top), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(top), pa.binary()), pa.array(token[top].view(np.int64)), pa.array(weight[top].astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(top), kind), none, none, none, pa.nulls(len(top), pa.binary()), pa.array(token[top].view(np.int64)), pa.array(weight[top].astype(np.int64))], names)
 
         for batch in batches:
-            n, of, bits = [], [], []
+            n, of, bits, kind = [], [], [], batch.column(0).type
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 of.append(digest(s))
@@ -170,11 +172,11 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     yield heavy()
                     held, size = [], 0
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(of, pa.int64()), pa.array(bits, pa.binary()), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(of, pa.int64()), pa.array(bits, pa.binary()), none, none], names)
         if held:
             yield heavy()
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n long, digest long, bits binary, token long, weight long")
+    return input_rows.mapInArrow(run, f"doc_id {id_type}, h long, n long, digest long, bits binary, token long, weight long")
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, heavy: list[tuple[int, int]]) -> DataFrame:
@@ -235,7 +237,7 @@ def open_groups(docs: DataFrame, queries: DataFrame, members: DataFrame, id_col:
 
     queries, members: (g, digest, n, doc). The first link of a query in each block of a group is enough.
     """
-    sizes = members.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    sizes = members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
     asked = queries.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("salts"))
     plan = asked.join(sizes, "g")
     hashed = F.xxhash64("digest")
@@ -244,7 +246,7 @@ def open_groups(docs: DataFrame, queries: DataFrame, members: DataFrame, id_col:
     needs = m.unionByName(q).withColumn("key", F.xxhash64("g", "block", "salt"))
     needs = saved(needs, "needs")
     few = needs.count() <= BROADCAST_NEEDS  # else both sides are shuffled
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(needs) if few else needs, "doc").select("key", "role", "digest", "text").repartition("key").sortWithinPartitions("key", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,8 +301,8 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of docs. Its steps run at once, the result is lazy."""
+def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, h, n, digest, comp, component_id), one row for each row of docs; comp is the least digest of the component, null without words. Its steps run at once, the result is lazy."""
     small_batches(docs.sparkSession)
     found = saved(profile(docs, id_col, text_col, k), "profile")
     rows = found.where("n IS NOT NULL")
@@ -352,14 +354,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     final = components(links.unionByName(more))
     named = classes.join(final.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "n", "doc", F.coalesce("comp", "digest").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    of_class = named.join(ids, "comp").select("digest", "n", "component_id")
-    out = rows.select("doc_id", "n", "digest").join(of_class, ["digest", "n"], "left")
-    return out.select(F.col("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = named.join(ids, "comp").select("digest", "n", "comp", "component_id")
+    out = rows.select("doc_id", "h", "n", "digest").join(of_class, ["digest", "n"], "left")
+    return out.select("doc_id", "h", "n", "digest", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component_id), one row for each row of docs."""
+    found = with_components(docs, id_col, text_col, k, percent)
+    return found.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one with the least id, with all its columns; rows without an id stay."""
-    found = jaccard_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, percent)
-    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(ids, docs[id_col] == ids["__id"], "left_semi").dropDuplicates([id_col])
+    """One row of each component, with all its columns: the one with the least id.
+
+    Rows are told apart by id and text, so rows of one id with unlike texts stay both; a row goes only if its text is that of the row that
+    stays, or linked with it. Texts without words are linked with nothing, so of them only rows equal in id and text fall together, as
+    all such rows do (which one stays is not defined, as they differ in other columns at most). Rows without an id stay.
+    """
+    found = with_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, percent)
+    least = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "h")).alias("s")).select("s.*")
+    least = least.unionByName(found.where("comp IS NULL").select("doc_id", "h")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    marked = docs.where(F.col(id_col).isNotNull()).withColumns({"__id": F.col(id_col), "__h": F.xxhash64(text_col)})
+    kept = marked.join(least, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"]).select(*docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

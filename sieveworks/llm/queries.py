@@ -83,6 +83,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_jaccard": r"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+s AS (
+    SELECT r, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS shingles
+    FROM d),
+t AS (SELECT r, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+links AS (
+    SELECT a.r AS x, b.r AS y FROM t a JOIN t b ON a.shingle = b.shingle AND a.r != b.r
+    GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached AS (SELECT r AS x, r AS y FROM s UNION SELECT reached.x, links.y FROM reached JOIN links ON links.x = reached.y),
+least AS (SELECT x, min(doc_id) AS component_id FROM reached JOIN s ON s.r = reached.y GROUP BY x)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id FROM s JOIN least ON least.x = s.r""",
     "op7_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
 b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),

@@ -46,6 +46,7 @@ def test_small_blocks_and_salts_change_nothing(spark, monkeypatch):
     want = sorted(map(str, J.jaccard_components(docs).collect()))
     monkeypatch.setattr(J, "BLOCK_SHINGLES", 300)
     monkeypatch.setattr(J, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(J, "BLOCK_MEMBERS", 2)
     assert sorted(map(str, J.jaccard_components(docs).collect())) == want
 
 
@@ -57,6 +58,27 @@ def test_keep_one(spark):
     assert sum(r["doc_id"] is None for r in kept) == 1
 
 
+def test_keep_one_tells_rows_of_one_id_apart_by_their_texts(spark):
+    """A row goes only if its text equals, or is linked with, that of a row that stays."""
+    a, b = "a b c d e f g", "unlike words of another kind here"
+    rows = [(1, a, 1), (1, b, 2), (1, a, 3), (2, a.upper(), 4), (3, b + "", 5), (4, "", 6), (4, "", 7), (5, None, 8), (6, "", 9), (None, a, 10)]
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string, H int")).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept if r["text"]) == [("1", a), ("1", b), ("None", a)]
+    assert sorted(r["doc_id"] for r in kept if not r["text"]) == [4, 5, 6]
+
+
+def test_ids_of_any_type(spark):
+    rows = [("x", "a b c d e f"), ("w", "A b c d e f"), ("y", None)]
+    got = {r["name"]: r["component_id"] for r in J.jaccard_components(spark.createDataFrame(rows, "name string, text string"), id_col="name").collect()}
+    assert got == {"x": "w", "w": "w", "y": "y"}
+
+
+def test_a_text_of_many_words(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_components(spark.createDataFrame([(1, long), (2, long + " end"), (3, long[: len(long) // 2])], "doc_id long, text string")).collect()}
+    assert got == {1: (149_996, 1), 2: (149_997, 1), 3: (got[3][0], 3)}
+
+
 def test_empty_table(spark):
     assert J.jaccard_components(empty(spark)).collect() == []
 
