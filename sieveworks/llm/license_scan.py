@@ -1,20 +1,24 @@
 """License scans with a generalised suffix automaton.
 
 The automaton holds the words of all license templates (each in a path of its own). Texts stream through it and give matching statistics: at
-each word the longest run ending there that occurs in some template. Maximal long runs become anchors; the anchors of
-a template that keep its order, with short gaps, are chained into a span, and a template whose chained words cover
-enough of it gives its label. Base phrases are looked up beside that, at every place.
+each word the longest run ending there that occurs in some template. Maximal long runs become anchors, at every place of a template where the
+run occurs. The anchors of a template, with short gaps, make a stretch, and the longest chain of their words that keeps the
+order of both text and template is its span: pairs of places by text, then an increasing subsequence of template places, so the
+chain is exact at n log n for any number of anchors. A template whose chained words cover enough of it gives its
+label. Base phrases are looked up beside that, at every place.
 
 Words outside the templates' vocabulary cut runs, so only runs of known words walk the automaton. One narrow pass, no
 shuffle; the automaton is as large as the templates and goes out with the task.
 
-Defined results: null and empty texts have no words and no labels; repeated rows are scanned each; equal coverage keeps
-every label; the operator's output columns replace input columns of the same names.
+Defined results: null and empty texts have no words and no labels; an empty table gives an empty result; very long texts are scanned as a whole;
+repeated rows are scanned each; equal coverage keeps every label; of chains of equal length the one that ends first is the span; the operator's
+output columns replace input columns of the same names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,12 +53,12 @@ def words_of(raw: bytes) -> list[bytes]:
 
 @dataclass
 class SuffixAutomaton:
-    """States as lists; ends[state]: {template: an end position} of the runs that the state stands for."""
+    """States as lists; ends[state]: {template: all end positions} of the runs that the state stands for, if they have `least` words."""
 
     next: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    ends: list[dict[int, int]] = field(default_factory=lambda: [{}])
+    ends: list[dict[int, set[int]]] = field(default_factory=lambda: [{}])
 
     def _state(self, length: int, like: int | None = None) -> int:
         self.next.append(dict(self.next[like]) if like is not None else {})
@@ -67,7 +71,7 @@ class SuffixAutomaton:
         last = 0
         for at, word in enumerate(words):
             last = self._extend(last, word)
-            self.ends[last].setdefault(template, at + 1)
+            self.ends[last].setdefault(template, set()).add(at + 1)
 
     def _extend(self, last: int, word: int) -> int:
         if word in self.next[last]:
@@ -90,11 +94,30 @@ class SuffixAutomaton:
             p = self.link[p]
         return clone
 
-    def finish(self) -> None:
-        """Gives each state the ends of all longer runs that contain it as a suffix."""
+    def finish(self, least: int = 1) -> None:
+        """Gives each state of `least` words and more the ends of all longer runs that contain it as a suffix."""
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for template, end in self.ends[state].items():
-                self.ends[self.link[state]].setdefault(template, end)
+            if self.length[self.link[state]] >= least:
+                for template, ends in self.ends[state].items():
+                    self.ends[self.link[state]].setdefault(template, set()).update(ends)
+
+
+def longest_chain(anchors: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """(first word, last word, length) of the longest chain of matched words that grows in text and template. anchors: (text start, template start, length)."""
+    pairs = sorted({(at + i, -pos - i) for at, pos, n in anchors for i in range(n)})
+    tails: list[int] = []  # the least template place that ends a chain of each length
+    begins: list[int] = []  # the first word of that chain
+    best = (0, 0, 0)
+    for at, minus in pairs:
+        k = bisect_left(tails, -minus)
+        first = begins[k - 1] if k else at
+        if k == len(tails):
+            tails.append(-minus)
+            begins.append(first)
+            best = (first, at, k + 1)
+        else:
+            tails[k], begins[k] = -minus, first
+    return best
 
 
 @dataclass
@@ -114,7 +137,7 @@ class LicenseModel:
         for k, text in enumerate(templates.values()):
             automaton.add(own := ids(text), k)
             sizes.append(max(1, len(own)))
-        automaton.finish()
+        automaton.finish(least_run)
         return cls(vocabulary, automaton, list(templates), sizes, [(ids(p), label) for p, label in phrases.items()], least_run)
 
     def anchors(self, run: list[int], start: int) -> list[tuple[int, int, int, int]]:
@@ -123,7 +146,7 @@ class LicenseModel:
 
         def put(end: int) -> None:
             if n >= self.least_run:
-                found.extend((t, e - n, start + end - n, n) for t, e in auto.ends[state].items())
+                found.extend((t, e - n, start + end - n, n) for t, ends in auto.ends[state].items() for e in sorted(ends))
 
         for i, word in enumerate(run):
             if word not in auto.next[state]:
@@ -139,19 +162,18 @@ class LicenseModel:
     def chains(self, anchors: list[tuple[int, int, int, int]], gap: int = 40) -> list[tuple[int, int, int, float]]:
         """(template, first word, stop, coverage): the best chain of each stretch of a template's anchors."""
         out = []
-        for t in sorted({a[0] for a in anchors}):
-            stretch: list[tuple[int, int, int]] = []
-            for a in [*sorted((x[2], x[1], x[3]) for x in anchors if x[0] == t), None]:
-                if a is None or stretch and a[0] - max(s[0] + s[2] for s in stretch) > gap:
-                    best: list[tuple[int, int]] = []  # covered words and first word of the best chain that ends with each anchor
-                    for i, (at, pos, n) in enumerate(stretch):
-                        before = [(best[j][0] + n - max(0, stretch[j][1] + stretch[j][2] - pos, stretch[j][0] + stretch[j][2] - at), best[j][1]) for j in range(max(0, i - 64), i) if stretch[j][1] < pos and stretch[j][0] < at]
-                        best.append(max([(n, at), *before], key=lambda x: (x[0], -x[1])))
-                    if best:
-                        k = max(range(len(best)), key=lambda j: best[j][0])
-                        out.append((t, best[k][1], stretch[k][0] + stretch[k][2], min(1.0, best[k][0] / self.sizes[t])))
+        by_template: dict[int, list[tuple[int, int, int]]] = {}
+        for t, pos, at, n in anchors:
+            by_template.setdefault(t, []).append((at, pos, n))
+        for t, own in sorted(by_template.items()):
+            stretch, stop = [], 0
+            for a in [*sorted(own), None]:
+                if stretch and (a is None or a[0] - stop > gap):
+                    first, last, words = longest_chain(stretch)
+                    out.append((t, first, last + 1, min(1.0, words / self.sizes[t])))
                     stretch = []
                 if a is not None:
+                    stop = max(stop, a[0] + a[2]) if stretch else a[0] + a[2]
                     stretch.append(a)
         return out
 
