@@ -1,15 +1,19 @@
 """Language identification by nearest centroid.
 
 A text becomes a vector of hashed letter trigrams (word ends included), TF-IDF weighted and normalised. Each language
-has several centroids, found by spherical k-means over a bounded sample of labelled rows (`per_lang` rows of a
-language in expectation, chosen by a hash). A text gets the language of the centroid with the largest cosine; it is rejected
-if the cosine is far below (`slack` times) the least that the sample of that language showed.
+has several centroids, found by spherical k-means over a bounded sample of labelled rows: at most `per_lang` rows of a language, the
+first by a hash. A text gets the language of the centroid with the largest cosine.
 
-Fitting sends only the sample's sparse counts to the driver; predicting is one pass over the texts with numpy and no
-shuffle, whatever the keys are like.
+Rejection is by distance. Short texts lie further from any centroid than long ones, so the sample's texts, whole and in pieces of
+several lengths, tell for each language and class of length which cosines its own texts have: a text is rejected if its
+cosine is under `slack` times the `least` quantile of those, or under their `usual` quantile and hardly above that of another language.
 
-Defined results: null text, or text with no letter: `und`, score 0, rejected. No labelled rows: the same for all.
-Ties go to the language that sorts first. Repeated rows are predicted each; output columns replace input columns of the same names.
+Fitting sends only the sample's sparse counts to the driver, which makes vectors of one language at a time; predicting is one pass over the
+texts with numpy and no shuffle, whatever the keys are like.
+
+Defined results: null text, or text with no letter: `und`, score 0, rejected. No labelled rows or an empty table: the same for all.
+Ties go to the language that sorts first. Very long texts are counted as a whole. Repeated rows are predicted each; output columns replace
+input columns of the same names.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,13 +39,22 @@ SYMBOL[65:91] = np.arange(1, 27)
 SYMBOL[128:] = np.arange(27, 155)
 
 
+#: Lower ends of the classes of length, in trigrams, and the lengths in bytes of the pieces that are looked at.
+LENGTHS = np.array([0, 12, 24, 48, 96, 192, 384, 768])
+PIECES = (24, 48, 96, 192, 384)
+QUANTILES = (0.005, 0.05)
+#: Share of the least quantile that is still accepted; share of the best cosine above which another language is as near.
+SLACK, AS_NEAR = 0.8, 0.95
+
+
 @dataclass(frozen=True)
 class CentroidModel:
     langs: list[str]
     owner: np.ndarray  # of each centroid, an index into langs
     centroids: np.ndarray  # (dim, n_centroids), idf already multiplied in
     idf2: np.ndarray  # squared idf, for the norm
-    least: np.ndarray  # of each language, the least cosine that is accepted
+    least: np.ndarray  # of each language and class of length, the least quantile of its own texts' cosines
+    usual: np.ndarray  # the same for the usual quantile
     dim: int
 
 
@@ -65,45 +78,75 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
 
 
+def pieces(raw: bytes) -> list[bytes]:
+    """A piece of each length out of the middle of a longer text, cut at blanks."""
+    out = []
+    for n in PIECES:
+        if len(raw) > 2 * n:
+            start = raw.find(b" ", len(raw) // 2 - n // 2)
+            stop = raw.find(b" ", start + n)
+            if 0 <= start < stop < start + 2 * n:
+                out.append(raw[start:stop])
+    return out
+
+
 def fit(labelled: DataFrame, text_col: str, lang_col: str, order: Column, dim: int = 8192, per_lang: int = 400, centroids: int = 4) -> CentroidModel:
-    """labelled: the rows to learn from. order: an expression whose hash picks the sample. per_lang bounds the sample, in expectation."""
+    """labelled: the rows to learn from. order: an expression whose hash picks the sample. per_lang: at most so many rows of a language are learned from."""
     small_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("__order"))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.shiftrightunsigned(F.xxhash64(order), 1).alias("__order"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
+    none = np.zeros((len(langs), len(LENGTHS)))
     if not langs:
-        return CentroidModel([], np.zeros(0, int), np.zeros((dim, 0), np.float32), np.ones(dim, np.float32), np.zeros(0), dim)
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, per_lang / sizes[lang]) * 1_000_000) + 1))])
-    sample = rows.where(F.pmod(F.xxhash64("__order"), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+        return CentroidModel([], np.zeros(0, int), np.zeros((dim, 0), np.float32), np.ones(dim, np.float32), none, none, dim)
+    # a share of the hashes twice as large as needed thins the rows out, and the first per_lang of those are taken
+    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, 2 * per_lang / sizes[lang] + 1e-12) * ((1 << 63) - 1)) if 2 * per_lang < sizes[lang] else (1 << 63) - 1))])
+    few = rows.where(F.col("__order") <= share[F.col("lang")])
+    sample = few.withColumn("__rank", F.row_number().over(Window.partitionBy("lang").orderBy("__order", "text"))).where(F.col("__rank") <= per_lang).select("lang", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for i, j in runs_of_rows(offsets, 1 << 18):
-                for i2 in range(i, j, 64):
-                    m = counts(data, offsets[i2 : min(j, i2 + 64) + 1], dim)
-                    at = [np.flatnonzero(x) for x in m]
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[i2 : i2 + len(m)], pa.array([x.astype("<u4").tobytes() for x in at], pa.binary()), pa.array([r[x].astype("<u4").tobytes() for r, x in zip(m, at, strict=True)], pa.binary())], ["lang", "at", "n"])
-
-    got = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in sample.mapInArrow(sparse, "lang string, at binary, n binary").collect())
-    x = np.zeros((len(got), dim), dtype=np.float32)
-    for row, (_, at, n) in zip(x, got, strict=True):
-        row[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<u4")
-    idf = np.log((1 + len(got)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    of, owner, centres, least = np.array([langs.index(r[0]) for r in got]), [], [], np.full(len(langs), 2.0)
-    for k in range(len(langs)):
-        own = x[of == k]
-        own = own[own.any(axis=1)]
-        if not len(own):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = text.encode()
+                parts = [raw, *pieces(raw)]
+                m = counts(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), dim)
+                at = [np.flatnonzero(x) for x in m]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts)), pa.array([k == 0 for k in range(len(parts))]), pa.array([x.astype("<u4").tobytes() for x in at], pa.binary()), pa.array([r[x].astype("<u4").tobytes() for r, x in zip(m, at, strict=True)], pa.binary())], ["lang", "whole", "at", "n"])
+
+    got = sorted((r["lang"], r["whole"], bytes(r["at"]), bytes(r["n"])) for r in sample.mapInArrow(sparse, "lang string, whole boolean, at binary, n binary").collect())
+    seen, n_whole = np.zeros(dim), sum(r[1] for r in got)
+    for _, whole, at, _ in got:
+        if whole:
+            seen[np.frombuffer(at, "<u4")] += 1
+    idf = np.log((1 + n_whole) / (1 + seen)).astype(np.float32) + 1
+    owner, centres, least, usual = [], [], none.copy(), none.copy()
+    for k, lang in enumerate(langs):
+        own = [r for r in got if r[0] == lang]
+        x = np.zeros((len(own), dim), dtype=np.float32)
+        for row, (_, _, at, n) in zip(x, own, strict=True):
+            row[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<u4")
+        length, whole = x.sum(axis=1), np.array([r[1] for r in own])
+        x *= idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        if not (learn := whole & (length > 0)).any():
             continue
-        c = spherical_kmeans(own, centroids)
+        c = spherical_kmeans(x[learn], centroids)
         centres.append(c)
         owner += [k] * len(c)
-        least[k] = (own @ c.T).max(1).min()
+        cosine, of = (x @ c.T).max(1), length_class(length)
+        for b in range(len(LENGTHS)):
+            # a class that few texts show takes what shorter ones do
+            at = cosine[of == b]
+            least[k, b], usual[k, b] = np.quantile(at, QUANTILES) if len(at) >= 20 else (least[k, b - 1], usual[k, b - 1]) if b else (0.0, 0.0)
+        for of_class in (least, usual):  # no class asks for more than a longer one does, and the shortest texts tell nothing
+            of_class[k] = np.minimum.accumulate(of_class[k, ::-1])[::-1]
+            of_class[k, 0] = 0.0
     c = np.concatenate(centres) if centres else np.zeros((0, dim), np.float32)
-    return CentroidModel(langs, np.array(owner, dtype=int), np.ascontiguousarray((c * idf).T.astype(np.float32)), idf**2, least, dim)
+    return CentroidModel(langs, np.array(owner, dtype=int), np.ascontiguousarray((c * idf).T.astype(np.float32)), idf**2, least, usual, dim)
+
+
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LENGTHS, n, side="right") - 1
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -118,7 +161,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def predict(model: CentroidModel, column: pa.Array, slack: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
+def predict(model: CentroidModel, column: pa.Array, slack: float = SLACK) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(language, score, rejected) of each text."""
     n = len(column)
     lang, score, rejected = np.full(n, UNKNOWN, dtype=object), np.zeros(n), np.ones(n, dtype=bool)
@@ -137,11 +180,14 @@ def predict(model: CentroidModel, column: pa.Array, slack: float = 0.5) -> tuple
             ok = letters[i2:j2]
             lang[i2:j2] = np.where(ok, np.array(model.langs, dtype=object)[k], UNKNOWN)
             score[i2:j2] = np.where(ok, top, 0.0)
-            rejected[i2:j2] = ~ok | (top < slack * model.least[k])
+            of = length_class(m.sum(axis=1))
+            second = np.where(model.owner[None, :] == k[:, None], -1.0, cosine).max(axis=1)
+            far = (top < slack * model.least[k, of]) | ((top < model.usual[k, of]) & (second > AS_NEAR * top))
+            rejected[i2:j2] = ~ok | far
     return list(lang), score, rejected
 
 
-def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text", slack: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text", slack: float = SLACK) -> DataFrame:
     """docs with lang_pred, score and rejected in front of no column of theirs: the new ones come last."""
     kept = without(docs, "lang_pred", "score", "rejected")
     at = kept.columns.index(text_col)
@@ -156,7 +202,7 @@ def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text", slac
     return kept.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, model: CentroidModel, text_col: str = "text", slack: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: CentroidModel, text_col: str = "text", slack: float = SLACK) -> DataFrame:
     """The rows that are not rejected, with all their columns."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
