@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,14 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir; own folder only if unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Only where all tasks run on the driver's machine, as in tests, a folder of its own stands in for one that is unset.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="sieveworks-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -56,6 +62,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def host_of(url: Column) -> Column:
+    """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty for null or no ://."""
+    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1), UPPER, LOWER)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets, without copies; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
