@@ -17,8 +17,9 @@ half to speak of and takes `rate` itself as its threshold. Each task drops its o
 
 Two narrow passes over the texts and no join; hot sources and copies meet one row a task.
 
-Defined results: null and empty texts have no spans; repeated rows are scanned each; without candidates no threshold
-is needed; the operator's output columns replace input columns of the same names.
+Defined results: null and empty texts have no spans; an empty table gives an empty result; repeated rows are scanned each; without candidates
+no threshold is needed; spans of one start and kind order by their ends; very long texts and texts of many matches cost what their characters do; the
+operator's output columns replace input columns of the same names.
 """
 
 from __future__ import annotations
@@ -53,14 +54,23 @@ LENGTHS = [20, 24, 32, 40, 48, 64, 96, 160]
 BINS = 50
 
 
-def _spans(kind: str, rank: int, matches: str, gaps: str, keep: str) -> str:
-    """Array of (start, rank, stop, kind) in code points, from the matches and what stands between them."""
-    return f"""transform(filter(aggregate(
-        CASE WHEN size({matches}) > 0 THEN sequence(0, size({matches}) - 1) ELSE CAST(array() AS array<int>) END,
-        struct(0 AS at, CAST(array() AS array<struct<start:int,stop:int,i:int>>) AS out),
-        (a, i) -> struct(a.at + length({gaps}[i]) + length({matches}[i]) AS at,
-                         concat(a.out, array(struct(a.at + length({gaps}[i]) AS start, a.at + length({gaps}[i]) + length({matches}[i]) AS stop, i AS i))) AS out),
-        a -> a.out), x -> {keep}), x -> struct(x.start AS start, {rank} AS rank, x.stop AS stop, '{kind}' AS kind))"""
+def _scan(items: str, zero: str, kind: str, value: str, step: str, block: int = 256) -> str:
+    """SQL of an array with `value` for each element e of an array, given c.at, which starts as zero and becomes `step` after each.
+
+    Blocks bound what each step copies, so the work grows with the elements, not with their square.
+    """
+    inner = f"""aggregate(slice({items}, b + 1, {block}), struct(a.at AS at, CAST(array() AS array<{kind}>) AS out),
+        (c, e) -> struct({step} AS at, concat(c.out, array({value})) AS out))"""
+    return f"""aggregate(CASE WHEN size({items}) > 0 THEN sequence(0, size({items}) - 1, {block}) ELSE CAST(array() AS array<int>) END,
+        struct({zero} AS at, CAST(array() AS array<array<{kind}>>) AS blocks),
+        (a, b) -> element_at(transform(array({inner}), r -> struct(r.at AS at, concat(a.blocks, array(r.out)) AS blocks)), 1),
+        a -> flatten(a.blocks))"""
+
+
+def _spans(kind: str, rank: int, lengths: str, starts: str, keep: str) -> str:
+    """Array of (start, rank, stop, kind) in code points, of the matches that `keep` takes."""
+    every = f"transform({starts}, (s, i) -> struct(s AS start, {rank} AS rank, s + {lengths}[i].len AS stop, '{kind}' AS kind, i AS i))"
+    return f"transform(filter({every}, x -> {keep}), x -> struct(x.start AS start, x.rank AS rank, x.stop AS stop, x.kind AS kind))"
 
 
 def _battery(token: str) -> str:
@@ -113,7 +123,7 @@ def thresholds(docs: DataFrame, text_col: str = "text", rate: float = 0.05, few:
         for b in range(BINS - 1, -1, -1) if sum(per_bin) >= few else ():
             accepted = sum(per_bin[b:])
             if accepted and max(0.0, accepted - even * (BINS - b)) / accepted <= rate:
-                best = max(b, 1) / BINS / 2 if b == 0 else b / BINS
+                best = b / BINS
         found.append(best)
     return found
 
@@ -122,34 +132,39 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rate: float = 0.05) ->
     """docs with secrets: array of (start, rank, stop, kind), by start and then kind; rank < 3 marks base kinds."""
     least = thresholds(docs, text_col, rate)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = ["secrets"] + [f"__{x}{i}" for x in ("m", "g", "v") for i in range(4)] + ["__tokens", "__p"]
+    kinds = len(BASE_KINDS) + 1
+    own = ["secrets", "__text", "__tokens", "__p"] + [f"__{x}{i}" for x in "mgvls" for i in range(kinds)]
     out = without(docs, *own).withColumn("__text", text)
     for i, (_, pattern, group, _) in enumerate(BASE_KINDS):
-        found = F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))
-        value = F.regexp_extract_all("__text", F.lit(pattern), F.lit(group))
-        out = out.withColumn(f"__m{i}", found)
+        out = out.withColumn(f"__m{i}", F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)))
         out = out.withColumn(f"__g{i}", F.when(F.size(f"__m{i}") > 0, F.split("__text", pattern, -1)))
-        out = out.withColumn(f"__v{i}", F.when(F.size(f"__m{i}") > 0, value))
+        out = out.withColumn(f"__v{i}", F.when(F.size(f"__m{i}") > 0, F.regexp_extract_all("__text", F.lit(pattern), F.lit(group))))
     out = out.withColumn("__tokens", _candidates(F.col("__text")))
     out = out.withColumn("__g3", F.when(F.size("__tokens") > 0, F.split("__text", TOKEN, -1))).withColumn("__p", F.expr(P_OF))
-    parts = [_spans(kind, i, f"__m{i}", f"__g{i}", f"length(__v{i}[x.i]) >= {n}") for i, (kind, _, _, n) in enumerate(BASE_KINDS)]
     of_class = "element_at(array(" + ", ".join(f"{x}D" for x in least) + f"), 1 + {_length_class('length(__tokens[x.i])')})"
-    parts.append(_spans(RANDOM, len(BASE_KINDS), "__tokens", "__g3", f"coalesce(__p[x.i] >= {of_class}, false)"))
-    for i, part in enumerate(parts):
-        out = out.withColumn(f"__s{i}", F.expr(part))
-    out = out.withColumn("secrets", F.array_sort(F.concat(*[f"__s{i}" for i in range(len(parts))])))
-    return out.drop("__text", "__tokens", "__p", "__g3", *[f"__{x}{i}" for x in "mgv" for i in range(3)], *[f"__s{i}" for i in range(4)])
+    parts = [(kind, f"__m{i}", f"length(__v{i}[x.i]) >= {n}") for i, (kind, _, _, n) in enumerate(BASE_KINDS)]
+    parts.append((RANDOM, "__tokens", f"coalesce(__p[x.i] >= {of_class}, false)"))
+    for i, (kind, matches, keep) in enumerate(parts):
+        out = out.withColumn(f"__l{i}", F.expr(f"transform({matches}, (x, i) -> struct(length(__g{i}[i]) AS gap, length(x) AS len))"))
+        out = out.withColumn(f"__s{i}", F.expr(_scan(f"__l{i}", "0", "int", "c.at + e.gap", "c.at + e.gap + e.len")))
+        out = out.withColumn(f"__s{i}", F.expr(_spans(kind, i, f"__l{i}", f"__s{i}", keep)))
+    out = out.withColumn("secrets", F.array_sort(F.concat(*[f"__s{i}" for i in range(kinds)])))
+    return out.drop(*own[1:])
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", rate: float = 0.05) -> DataFrame:
-    """Puts `mark` in place of every span (overlapping ones merged); all else stays as it is."""
-    found = find_secrets(docs, text_col, rate)
-    merged = """aggregate(secrets, CAST(array() AS array<struct<start:int,stop:int>>), (a, s) ->
-        CASE WHEN size(a) > 0 AND s.start <= a[size(a) - 1].stop
-             THEN concat(slice(a, 1, size(a) - 1), array(struct(a[size(a) - 1].start AS start, greatest(a[size(a) - 1].stop, s.stop) AS stop)))
-             ELSE concat(a, array(struct(s.start AS start, s.stop AS stop))) END)"""
-    out = found.withColumn("__cut", F.expr(merged))
-    pieces = f"""array_join(transform(sequence(0, size(__cut)), i -> substring(`{text_col}`,
-        CASE WHEN i = 0 THEN 1 ELSE __cut[i - 1].stop + 1 END,
-        (CASE WHEN i = size(__cut) THEN length(`{text_col}`) ELSE __cut[i].start END) - (CASE WHEN i = 0 THEN 0 ELSE __cut[i - 1].stop END))), '{mark}')"""
-    return out.withColumn(text_col, F.when(F.size("__cut") > 0, F.expr(pieces)).otherwise(F.col(text_col))).select(*docs.columns)
+    """Puts `mark` in place of every span (overlapping ones merged); all else, columns of any name included, stays as it is."""
+    rest = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(F.lit(0).alias("__0"), *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(rest)]).alias("__rest"), F.col(text_col).alias("__t"))
+    found = find_secrets(packed, "__t", rate)
+    # the furthest stop before each span; a span that starts behind it starts a cut, which ends at the furthest stop before the next one
+    out = found.withColumn("__far", F.expr(_scan("secrets", "-1", "int", "c.at", "greatest(c.at, e.stop)")))
+    out = out.withColumn("__first", F.expr("filter(transform(secrets, (s, i) -> i), i -> secrets[i].start > __far[i])"))
+    out = out.withColumn("__end", F.expr("array_max(transform(secrets, s -> s.stop))"))
+    out = out.withColumn("__cut", F.expr("transform(__first, (f, j) -> struct(secrets[f].start AS start, CASE WHEN j + 1 < size(__first) THEN __far[__first[j + 1]] ELSE __end END AS stop))"))
+    # a text is taken apart once, into what stands between the cuts
+    out = out.withColumn("__letters", F.when(F.size("__cut") > 0, F.split(F.col("__t"), "")))
+    pieces = f"""array_join(transform(sequence(0, size(__cut)), i -> array_join(slice(__letters, CASE WHEN i = 0 THEN 1 ELSE __cut[i - 1].stop + 1 END,
+        (CASE WHEN i = size(__cut) THEN size(__letters) ELSE __cut[i].start END) - (CASE WHEN i = 0 THEN 0 ELSE __cut[i - 1].stop END)), '')), '{mark}')"""
+    masked = F.when(F.size("__cut") > 0, F.expr(pieces)).otherwise(F.col("__t"))
+    return out.select(*[masked.alias(c) if c == text_col else F.col(f"__rest.__c{rest.index(c)}").alias(c) for c in docs.columns])

@@ -79,6 +79,19 @@ def test_redaction_cuts_spans_and_nothing_else(spark):
         assert r["text"] == want
 
 
+def test_a_text_of_many_secrets_takes_linear_time(spark):
+    import time
+
+    tokens = [hashlib.sha256(str(i).encode()).hexdigest()[:24] for i in range(20_000)]
+    docs = spark.createDataFrame([(1, "é " + " ".join(f"token={t} {t}" for t in tokens)), (2, "")], "doc_id long, text string").withColumn("SECRETS", F.lit(1)).withColumn("__m0", F.lit("x"))
+    began = time.time()
+    got = {r["doc_id"]: r["secrets"] for r in S.find_secrets(docs).collect()}
+    assert [tuple(s) for s in got[1] if s["rank"] < 3] == base_spans("é " + " ".join(f"token={t} {t}" for t in tokens)) and got[2] == []
+    masked = {r["doc_id"]: r["text"] for r in S.redact(docs).collect()}
+    assert masked[1] == "é " + " ".join(["[secret] [secret]"] * 20_000) and masked[2] == ""
+    assert time.time() - began < 90
+
+
 def test_secrets_on_an_empty_table(spark):
     assert S.find_secrets(empty(spark)).collect() == []
 
