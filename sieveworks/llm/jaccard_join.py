@@ -50,7 +50,7 @@ BROADCAST_NEEDS = 200_000
 #: Longest parity bitmap of a class; groups of more members than SMALL_GROUP are opened by their blocks, without bitmaps.
 MOST_BITS, SMALL_GROUP = 1 << 16, 64
 #: A block's shingles and members, and queries to a copy of a block, in expectation.
-BLOCK_SHINGLES, BLOCK_MEMBERS, BLOCK_QUERIES = 200_000, 2000, 250
+BLOCK_SHINGLES, BLOCK_MEMBERS, BLOCK_QUERIES = 200_000, 250, 250
 
 
 def mix(x: np.ndarray) -> np.ndarray:
