@@ -1,15 +1,17 @@
 """Media columns: archives of images, read by a Spark data source of our own.
 
 write_archives stores payloads losslessly as 8-bit grey PNG images, 64 samples wide, as members of ZIP archives, one
-archive for each task and 8,192 members, in a folder that all executors share. An archive is written under a name of its attempt and then
-renamed, so a task that runs again replaces what it left.
+archive for each task and 8,192 members, in a folder that all executors share. Every attempt of a task writes archives of names of its own, and a manifest,
+written by Spark's own committer, names those of the attempts that counted; what a lost or second attempt has left is never read.
+The folder may be a plain path or a URI that pyarrow opens (file, hdfs, s3, gs, abfs, abfss; s3a is taken as s3); others raise before any work.
 
-The source `media_archive` plans byte ranges over the archives from their sizes alone. A reader takes the members whose
+The source `media_archive` plans byte ranges over the manifest's archives from their sizes alone. A reader takes the members whose
 local header starts in its range, from the archive's central directory, seeks to each one by its offset, checks it, and
 retries it alone if that fails, before the task fails. Members stream out in Arrow batches of bounded size.
 
 Defined results: null and empty payloads are one row of zeros; equal payloads give equal members; repeated rows are
-members of their own; an empty table gives an archive folder without archives and an empty result.
+members of their own; a null id stays null; an empty table gives a manifest without archives and an empty result; very long payloads are
+one member and one batch each; ids may be integers or strings; other columns are not stored, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .common import text_buffers
@@ -82,46 +86,47 @@ def feature_of(payload: bytes) -> str:
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if ":/" in path else (pafs.LocalFileSystem(), path)
 
 
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", members: int = 8192) -> int:
-    """Writes all payloads; gives their number. Runs at once."""
+    """Writes all payloads and the manifest; gives their number. Runs at once."""
+    file_system(folder)
+    names = ["archive", "size", "members"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
-        part, n, k, archive, out, unfinished = TaskContext.get().partitionId(), 0, 0, None, None, ""
+        part, n, archive, out, name, done = TaskContext.get().partitionId(), 0, None, None, "", []
 
         def finish() -> None:
-            nonlocal archive, k
+            nonlocal archive, n
             if archive is not None:
                 archive.close()
+                size = out.tell()
                 out.close()
-                final = f"{root}/part-{part:06d}-{k:06d}.zip"
-                if fs.get_file_info(final).type != pafs.FileType.NotFound:
-                    fs.delete_file(final)
-                fs.move(unfinished, final)
-                archive, k = None, k + 1
+                done.append((name, size, n))
+                archive, n = None, 0
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for row, doc in enumerate(batch.column(0).to_pylist()):
                 if archive is None:
-                    unfinished = f"{root}/.{part:06d}-{k:06d}-{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(unfinished)
+                    name = f"part-{part:06d}-{len(done):06d}-{uuid.uuid4().hex}.zip"
+                    out = fs.open_output_stream(f"{root}/{name}")
                     archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
                 raw = data[offsets[row] : offsets[row + 1]].tobytes()
                 info = zipfile.ZipInfo(f"{n:010d}.png")
                 info.comment = json.dumps([doc, len(raw)]).encode()
                 archive.writestr(info, encode_png(pad(raw)))
                 n += 1
-                if n % members == 0:
+                if n == members:
                     finish()
         finish()
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], names)
 
-    return sum(r["n"] for r in docs.select(id_col, text_col).mapInArrow(write, "n long").groupBy().sum("n").withColumnRenamed("sum(n)", "n").na.fill(0).collect())
+    docs.select(id_col, text_col).mapInArrow(write, "archive string, size long, members long").write.parquet(f"{folder}/manifest")
+    return docs.sparkSession.read.parquet(f"{folder}/manifest").agg(F.sum("members").alias("n")).first()["n"] or 0
 
 
 @dataclass
@@ -137,13 +142,13 @@ class MediaArchiveReader(DataSourceReader):
         self.range_bytes = int(options.get("rangeBytes", 32 << 20))
         self.batch_bytes = int(options.get("batchBytes", 4 << 20))
         self.retries = int(options.get("retries", 3))
+        self.id_type = options.get("idType", "long")
 
     def partitions(self) -> list[ByteRange]:
         fs, root = file_system(self.folder)
-        found = []
-        for info in sorted(fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)), key=lambda i: i.path):
-            if info.base_name.endswith(".zip"):
-                found += [ByteRange(info.path, at, min(at + self.range_bytes, info.size)) for at in range(0, info.size, self.range_bytes)]
+        parts = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(f"{root}/manifest", allow_not_found=True)) if i.base_name.endswith(".parquet"))
+        listed = sorted((name, size) for path in parts for name, size in zip(*(c.to_pylist() for c in pq.read_table(path, filesystem=fs, columns=["archive", "size"]).columns), strict=True))
+        found = [ByteRange(f"{root}/{name}", at, min(at + self.range_bytes, size)) for name, size in listed for at in range(0, size, self.range_bytes)]
         return found or [ByteRange("", 0, 0)]
 
     def member(self, open_file, info: zipfile.ZipInfo) -> tuple[bytes, bytes]:
@@ -169,7 +174,7 @@ class MediaArchiveReader(DataSourceReader):
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "member_offset", "n_bytes", "media", "payload", "feature"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
+        kinds = [pa.string() if self.id_type == "string" else pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names)
@@ -193,20 +198,20 @@ class MediaArchiveReader(DataSourceReader):
 
 
 class MediaArchiveSource(DataSource):
-    """spark.read.format("media_archive").load(folder); options rangeBytes, batchBytes, retries."""
+    """spark.read.format("media_archive").load(folder); options rangeBytes, batchBytes, retries, and idType (long or string)."""
 
     @classmethod
     def name(cls) -> str:
         return "media_archive"
 
     def schema(self) -> str:
-        return "doc_id long, member_offset long, n_bytes long, media binary, payload binary, feature string"
+        return f"doc_id {self.options.get('idType', 'long')}, member_offset long, n_bytes long, media binary, payload binary, feature string"
 
     def reader(self, schema) -> MediaArchiveReader:
         return MediaArchiveReader(self.options)
 
 
-def read_archives(spark: SparkSession, folder: str, **options: int) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, **options: int | str) -> DataFrame:
     spark.dataSource.register(MediaArchiveSource)
     return spark.read.format("media_archive").options(**options).load(folder)
 
