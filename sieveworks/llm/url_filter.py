@@ -8,12 +8,14 @@ shrinks when other hosts are added. A host is blocked when its distrust is above
 
 Edges are links between different hosts (distinct pairs, summed in each task before the shuffle), and a host and its parent domain name
 each other. A round is one join and one sum; both are on host keys with partial sums before the shuffle, and
-lineage is cut by a table in the shared folder every `cut` rounds. Joins are left to Catalyst: it broadcasts a side
-only when its measured size is small and splits skewed keys otherwise.
+lineage is cut by a table in the shared folder every `cut` rounds. Mass that reaches a host without edges on its way goes back to the seeds, which is
+the same as scaling what is left to the seeds' sum. Masses are rounded to 12 digits, so the order of sums decides nothing. Verdicts go to the pages by a
+broadcast where their bytes were summed and are few, and by a join that splits skewed keys otherwise.
 
 Defined results: null url or no ://: empty host and path, no rule, and the method's verdict for an unknown host,
-allow. Null html has no links. Without seeds all hosts are allowed. Rules of equal length: the first in the list wins.
-Repeated rows are judged each; output columns replace input columns of the same names.
+allow. Null html has no links. Without seeds all hosts are allowed; no pages give no rows. Rules of equal length: the first in the list wins;
+equal trust and distrust: allow. Very long pages are searched for links as a whole. Repeated rows are judged each; output columns replace input
+columns of the same names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ from .common import host_of, saved, without
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s<>]+)"""
 
 
+#: Bytes of hosts and masses that may be broadcast.
+MOST_BYTES = 64 << 20
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str  # allow or block
@@ -77,7 +83,7 @@ def _moved(before: DataFrame, after: DataFrame, tolerance: float) -> bool:
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: float = 0.85, cut: int = 4, tolerance: float = 0.0) -> DataFrame:
     """seeds: (host, kind, mass), kind trust or distrust. Gives (host, kind, mass) after so many rounds, or fewer once no mass has changed by more than `tolerance` since the last cut.
 
-    Mass at a host without edges on its way stays out of the sum; only ratios are used.
+    The masses of a kind sum up to those of its seeds.
     """
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     degree = ways.groupBy("kind", "src").agg(F.count("*").alias("degree"))
@@ -93,7 +99,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: floa
             cut_off = mass
             if tolerance and not _moved(last, mass, tolerance):
                 break
-    return mass
+    sums = lambda df: {r["kind"]: r["sum"] for r in df.groupBy("kind").agg(F.sum("mass").alias("sum")).collect()}  # noqa: E731  two rows
+    mass = saved(mass, "host-mass")
+    had, left = sums(seeds), sums(mass)
+    scale = F.lit(1.0)
+    for kind, total in had.items():
+        scale = F.when(F.col("kind") == kind, total / left[kind] if left.get(kind) else 1.0).otherwise(scale)
+    return mass.withColumn("mass", F.round(F.col("mass") * scale, 12))
 
 
 def judge(pages: DataFrame, rules: list[Rule] | None = None, url_col: str = "url", html_col: str = "html", parents: bool = True, rounds: int = 200, damping: float = 0.85, floor: float = 2.0, least: float = 1e-3, tolerance: float = 1e-3) -> DataFrame:
@@ -107,7 +119,9 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, url_col: str = "url
     mass = propagate(host_edges(kept, url_col, html_col, hosts, parents), seeds, rounds, damping, tolerance=tolerance)
     sums = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)).alias(kind)
     reached = mass.groupBy("host").agg(sums("trust"), sums("distrust"))
-    out = judged.join(reached, "host", "left")
+    reached = saved(reached, "reached")
+    few = (reached.agg(F.sum(F.octet_length("host") + 64).alias("bytes")).first()["bytes"] or 0) <= MOST_BYTES
+    out = judged.join(F.broadcast(reached) if few else reached, "host", "left")
     blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") > floor * F.col("trust")) & (F.col("distrust") >= least)
     own = F.when(F.coalesce(blocked, F.lit(False)), "block").otherwise("allow")
     columns = [c for c in judged.columns if c not in ("host", "path", "__fit")]

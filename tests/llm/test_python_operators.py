@@ -324,6 +324,17 @@ def test_media_members_are_retried_alone(tmp_path):
         reader.member(lambda: open(path, "rb"), info)
 
 
+def test_media_with_string_ids_ignores_archives_of_lost_attempts(spark, tmp_path):
+    folder = tmp_path / "media"
+    assert M.write_archives(spark.createDataFrame([("a", "x"), (None, "y" * 300_000)], "name string, text string"), str(folder), id_col="name") == 2
+    lost = next(folder.glob("part-*.zip"))
+    (folder / "part-000000-000000-lost.zip").write_bytes(lost.read_bytes())
+    got = {r["doc_id"]: bytes(r["payload"])[: r["n_bytes"]] for r in M.read_archives(spark, str(folder), idType="string").collect()}
+    assert got == {"a": b"x", None: b"y" * 300_000}
+    with pytest.raises(Exception, match="(?i)scheme|protocol|unrecognized"):
+        M.write_archives(empty(spark), "wasbs://x/y")
+
+
 def test_media_of_no_documents(spark, tmp_path):
     folder = str(tmp_path / "none")
     assert M.write_archives(empty(spark), folder) == 0
