@@ -1,5 +1,6 @@
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -363,6 +364,63 @@ def test_codes_equal_brute_force():
     assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want
 
 
+def test_perplexity_equals_brute_force(spark, monkeypatch):
+    """The model of word pairs from dictionaries, over all trusted texts; a small vocabulary, blocks, shards and pieces."""
+    docs = documents(spark)
+    texts_ = [r["text"] for r in docs.where("doc_id % 3 = 0").collect()]
+    trusted = docs.where("doc_id % 3 = 0").select("text")
+    split = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+|[^\s]", t or "", re.A)]  # noqa: E731  no ideographs here
+    model, pairs = Q.learn(trusted)
+    shared = Counter(w for t in texts_ for w in split(t))
+    ids = lambda t: [1, *[int(x) for x in Q.Words(model.vocabulary).ids(np.array([hash_of(w) for w in split(t)], np.uint64))]]
+
+    def hash_of(w):
+        raw = w.encode()
+        return int(Q.split_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[3][0])
+
+    assert len(model.vocabulary) == len(shared)
+    n = Counter((v, w) for t in texts_ for v, w in zip(ids(t), ids(t)[1:], strict=False))
+    assert {(r["code"] >> Q.BITS, r["code"] % Q.VOCABULARY): r["n"] for r in pairs.collect()} == dict(n)
+    of = lambda counts: [0.0, *Q._discounts([sum(x == i for x in counts.values()) for i in (1, 2, 3, 4)])]
+    cont, d = Counter(w for _, w in n), of(n)
+    e, known = of(cont), 2 + len(shared)
+    held = sum(e[min(x, 3)] for x in cont.values())
+    p1 = lambda w: (cont[w] - e[min(cont[w], 3)] + held / known) / sum(cont.values())
+    c1, owed = Counter(), Counter()
+    for (v, _), x in n.items():
+        c1[v] += x
+        owed[v] += d[min(x, 3)]
+    p2 = lambda v, w: (max(n[v, w] - d[min(n[v, w], 3)], 0) + owed[v] * p1(w)) / c1[v] if c1[v] else p1(w)
+    assert abs(sum(p2(1, w) for w in range(2, known)) + p2(1, 0) + p2(1, 1) - 1) < 1e-9
+    spell = lambda w: float(model.spell[Q.codes(np.frombuffer(w.encode() + b" ", np.uint8), np.array([0, len(w.encode()) + 1]))[0]].sum())
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(Q, "BLOCK_BYTES", 3000)
+            monkeypatch.setattr(Q, "SALT_DOCUMENTS", 40)
+            monkeypatch.setattr(Q, "SHARDS_LEAST", 5)
+        got = Q.score(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), trusted, ["doc_id"]).collect()
+        by = {(r["doc_id"], r["size"], r["words"]): r["log"] for r in got}
+        assert len(got) == docs.count()
+        for r in docs.collect():
+            w, t = ids(r["text"]), split(r["text"])
+            log = sum(math.log(p2(v, x)) for v, x in zip(w, w[1:], strict=False)) + sum(spell(x) for x, i in zip(t, w[1:], strict=True) if i == 0)
+            assert abs(by[r["doc_id"], sum(len(x.encode()) for x in t), len(t)] - log) < 1e-3 * (1 + abs(log))
+
+
+def test_pieces_of_long_texts_add_up(spark):
+    raw = [("ab cd " * 2000 + "x" * 5000 + " ef gh").encode(), b"", b" " * 9000 + b"ij kl", b"mn"]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    whole = Q.Words(np.array([], np.uint64))
+    one, many = (list(whole.of(data, offsets, most)) for most in (1 << 30, 100))
+    join = lambda parts, i: np.concatenate([p[i] for p in parts]).tolist()
+    assert len(many) > 50 and all(join(one, i) == join(many, i) for i in (0, 1, 2, 4))
+
+
+def test_small_numbers_are_packed():
+    x = np.array([0, 254, 255, 256, 70_000, 3])
+    assert Q.unpacked(*Q.packed(x)).tolist() == x.tolist()
+
+
 def test_quality_rejects_noise_and_keeps_prose(spark):
     rng = random.Random(2)
     noise = lambda: "".join(rng.choice("qxzjkvwpbfgyumc#$%0 ") for _ in range(300))
