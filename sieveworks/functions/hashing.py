@@ -57,6 +57,12 @@ def content_hash(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     return df.agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["h"]), "").cast("binary"), 256).alias("content_hash"), F.count("*").alias("n_rows"))
 
 
+def dataset_hash(df: DataFrame, key: str, json: str) -> DataFrame:
+    """One hash of canonical JSON texts, joined in the order of their keys: for frozen sets, as content_hash is."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(json).alias("j"))))
+    return df.agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["j"]), "").cast("binary"), 256).alias("content_hash"), F.count("*").alias("n_rows"))
+
+
 def table_digest(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Order-free digest of any size of table: count, sum and xor of row hashes, with partial sums in each task."""
     h = F.xxhash64(*fields)

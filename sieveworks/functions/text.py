@@ -141,6 +141,20 @@ def json_object(raw: Column, schema: str) -> Column:
     return F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, schema))
 
 
+def stripped_json(raw: Column, schema: str) -> Column:
+    """JSON whose text is an object once white space and a fence around it are gone; null otherwise."""
+    text = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    body = F.when(text.startswith("```"), F.regexp_replace(F.regexp_replace(text, "^`+|`+$", ""), "^json", "")).otherwise(text)
+    body = F.regexp_replace(body, r"(?U)^\s+|\s+$", "")
+    return F.when(body.startswith("{") & F.try_parse_json(body).isNotNull(), F.from_json(body, schema))
+
+
+def greedy_json(raw: Column, schema: str) -> Column:
+    """JSON from the first brace to the last one, whatever is around; null where that is no object."""
+    body = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    return F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, schema))
+
+
 def strict_true(value: Column) -> Column:
     """Only a real true counts; null is false."""
     return F.coalesce(value, F.lit(False))

@@ -39,6 +39,11 @@ def union_rows(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def lexicon_union(terms: DataFrame, others: DataFrame, least: int = 3, column: str = "term") -> DataFrame:
+    """Distinct terms of at least so many characters, and all of the others."""
+    return terms.where(F.length(column) >= least).select(column).union(others.select(column)).distinct()
+
+
 def han_chars(tokens: DataFrame, column: str = "value") -> DataFrame:
     """Distinct Han characters of all tokens."""
     return tokens.select(F.explode(F.regexp_extract_all(column, F.lit(HAN), F.lit(0))).alias("char")).distinct()

@@ -453,15 +453,6 @@ def positives_needed(read):
     return rows.select("miss", F.coalesce(St.positives_needed(F.col("miss"), F.lit(0.05)).cast("long"), F.lit(-1).cast("long")).alias("needed"))
 
 
-@query("gate_verdict")
-def gate_verdict(read):
-    rows = flag_rows(read)
-    real = Ev.with_rates(rows.agg(*Ev.confusion_counts(F.col("label"), F.col("flag"))))
-    adv = Ev.with_rates(rows.where("label OR doc_id % 2 = 0").agg(*Ev.confusion_counts(F.col("label"), F.col("flag"))))
-    one = real.select(F.col("miss_rate").alias("real_miss"), F.col("false_alarm").alias("real_fa"), (F.col("tp") + F.col("fn")).alias("real_positives")).join(adv.select(F.col("miss_rate").alias("adv_miss"), (F.col("tp") + F.col("fn")).alias("adv_positives")))
-    return Ev.gate_verdict(one.withColumn("missing_share", F.lit(0.0)))
-
-
 PROBE_ROWS_SQL = "(SELECT doc_id, quality = 0 AS label, contains(text, '!!') AS shouting, n_chars < 300 AS short, contains(text, 'http') AS linked FROM labels JOIN documents USING (doc_id))"
 
 

@@ -6,8 +6,10 @@ import csv
 import io
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,12 +24,10 @@ SNIFFED = 8192
 
 
 def sniff(raw: bytes, reject_empty: bool = False, characters: int = SNIFFED) -> str | None:
-    """The first charset that decodes the head of a file; None if none does."""
+    """The first charset that decodes the head of a file; None if none does. utf-8-sig also stands for UTF-8 without a mark."""
     if reject_empty and not raw:
         return None
     for charset in CHARSETS:
-        if charset == "utf-8-sig" and not raw.startswith(b"\xef\xbb\xbf"):
-            continue
         try:
             io.TextIOWrapper(io.BytesIO(raw), encoding=charset, newline="").read(characters)
             return charset
@@ -47,12 +47,14 @@ def read_libraries(spark: SparkSession, root: str, skip_dir: str = "url") -> Dat
     no charset fits give one row with a null charset and no record.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(root).select("path", "content")
-    base = root.rstrip("/")
+    bare = lambda path: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", path)  # noqa: E731  Spark and callers may write one scheme in two ways
+    base = bare(root).rstrip("/")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in RECORDS.split(", ")]
         for batch in batches:
             for path, raw in batch.itertuples(index=False):
+                path = unquote(bare(path)) if base not in path else path
                 inner = path[path.rindex(base) + len(base) :].strip("/") if base in path else path.rsplit("/", 1)[-1]
                 parts = inner.split("/")
                 if skip_dir in parts[:-1]:

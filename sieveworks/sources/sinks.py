@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import upsert_kpi
@@ -12,7 +13,8 @@ from ..operators.sampling import shards
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+    """Lines with all fields, null ones too; non-ASCII characters as they are."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_shards(rows: DataFrame, path: str, order: Sequence[Column], size: int = 14, output: str = "output") -> None:
@@ -28,7 +30,31 @@ def word_list_text(name: str, terms: DataFrame, header: Sequence[str], column: s
     return "\n".join([f"# {name}", *[f"# {h}" for h in header], f"# {len(words)}", *words]) + "\n"
 
 
+def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("metric_id string, field string, value double, version int").parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+def read_kpi(spark: SparkSession, path: str) -> DataFrame:
+    """The last version of the table; empty where there is none."""
+    rows = _versions(spark, path)
+    if rows is None:
+        return spark.createDataFrame([], "metric_id string, field string, value double")
+    last = rows.agg(F.max("version")).first()[0] or 0
+    return rows.where(F.col("version") == last).drop("version")
+
+
 def write_kpi(table: DataFrame, new: DataFrame, path: str) -> None:
-    """Overwrites by key; without new rows nothing is written."""
+    """Replaces by key; without new rows nothing is written.
+
+    Each write is a version of its own in one file, so the table may be read from the same path, and a lost job leaves the version
+    before it as it was.
+    """
     if not new.isEmpty():
-        upsert_kpi(table, new).write.mode("overwrite").parquet(path)
+        rows = _versions(table.sparkSession, path)
+        last = 0 if rows is None else rows.agg(F.max("version")).first()[0] or 0
+        upsert_kpi(table, new).coalesce(1).write.parquet(f"{path}/version={last + 1}")
