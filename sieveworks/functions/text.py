@@ -104,10 +104,15 @@ def visible_length(text: Column) -> Column:
 
 def key_points(text: Column, least: int = 12, most: int = 6, pattern: str = CLAUSE_END) -> Column:
     """Clauses of at least so many characters; of more than `most` an even choice with both ends."""
-    parts = F.filter(F.transform(F.split(text, pattern), lambda p: F.trim(p)), lambda p: F.length(p) >= least)
-    n = F.size(parts)
-    at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (n - 1) / F.lit(float(most - 1))).cast("int")))
-    return F.when(n <= most, parts).otherwise(F.transform(at, lambda i: F.get(parts, i)))
+    clauses = F.filter(F.transform(F.split(text, pattern), lambda p: F.trim(p)), lambda p: F.length(p) >= least)
+
+    def choice(parts: Column) -> Column:
+        n = F.size(parts)
+        at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (n - 1) / F.lit(float(most - 1))).cast("int")))
+        return F.when(n <= most, parts).otherwise(F.transform(at, lambda i: F.get(parts, i)))
+
+    # a transform over one element names the clauses, so that they are found once
+    return F.element_at(F.transform(F.array(clauses), choice), 1)
 
 
 def list_ordinal(candidate: Column, answer: Column) -> Column:

@@ -41,13 +41,13 @@ def mixed_groups(rows: DataFrame, group: str, label: Column, flag: Column) -> Da
 def positional_quantile(rows: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """sorted[int(q * n)], not interpolated; nulls are left out.
 
-    Ranks within a group come from one sort of it; no array of a whole group is built.
+    Equal values are counted first, in each task, so what is put in order is a row for each distinct value of a group.
     """
-    kept = rows.where(F.col(value).isNotNull())
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__k"))
     w = Window.partitionBy(*by)
-    ranked = kept.select(*by, value).withColumns({"__i": F.row_number().over(w.orderBy(value)) - 1, "__n": F.count("*").over(w)})
+    ranked = counts.withColumns({"__upto": F.sum("__k").over(w.orderBy(value)), "__n": F.sum("__k").over(w)})
     at = lambda q: F.least(F.floor(F.col("__n") * F.lit(q)), F.col("__n") - 1)
-    return ranked.groupBy(*by).agg(F.max("__n").alias("n"), *[F.max(F.when(F.col("__i") == at(q), F.col(value))).alias(name) for name, q in quantiles.items()])
+    return ranked.groupBy(*by).agg(F.max("__n").alias("n"), *[F.min(F.when(F.col("__upto") > at(q), F.col(value))).alias(name) for name, q in quantiles.items()])
 
 
 def pass_rates(rows: DataFrame, by: Sequence[str], score: str, threshold: float = 0.90) -> DataFrame:

@@ -8,22 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def contains_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", key: str = "key") -> DataFrame:
-    """(key, term) where the text contains the term, without a cross join.
+#: Bytes of terms that may be broadcast.
+MOST_BYTES = 64 << 20
 
-    The distinct term lengths are few; for each, a text's distinct substrings of that length meet the terms by
-    equality. Substrings that start no term (by its first characters) are left out before the shuffle when the terms are
-    few enough to be sent to all tasks.
+
+def contains_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", key: str = "key", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Distinct (key, term) where the text contains the term, without a cross join.
+
+    At each place of a text its first two characters are looked up among the terms' heads, which give the lengths to try; only those
+    substrings meet the terms by equality. Heads and terms are broadcast where their bytes were summed and are few, so that texts and
+    substrings stay in their tasks and only hits are shuffled; larger vocabularies are joined by shuffle. Empty terms and null texts meet nothing.
     """
-    lengths = [r[0] for r in terms.where(F.length(term) > 0).select(F.length(term)).distinct().collect()]
-    if not lengths:
-        return texts.select(key).crossJoin(terms.select(term)).limit(0)
-    def of_length(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
-        return F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<string>"))
-
-    grams = F.flatten(F.array(*[of_length(n) for n in sorted(lengths)]))
-    return texts.select(key, F.explode(F.array_distinct(grams)).alias(term)).join(terms.select(term).distinct(), term).select(key, term)
+    named = terms.select(F.col(term).alias("__t")).where("__t != ''").distinct()
+    few = (named.agg(F.sum(F.octet_length("__t") + 64).alias("b")).first()["b"] or 0) <= most_bytes
+    send = F.broadcast if few else (lambda df: df)
+    heads = named.groupBy(F.substring("__t", 1, 2).alias("__h")).agg(F.collect_set(F.length("__t")).alias("__n"))
+    places = texts.select(F.col(key), F.filter(F.split(F.col(text), ""), lambda c: c != "").alias("__c")).where("size(__c) > 0").select(key, "__c", F.explode(F.sequence(F.lit(0), F.size("__c") - 1)).alias("__i"))
+    first = F.get("__c", F.col("__i"))
+    tried = places.select(key, "__c", "__i", F.explode(F.array(first, F.concat(first, F.get("__c", F.col("__i") + 1)))).alias("__h")).join(send(heads), "__h")
+    grams = tried.select(key, "__c", "__i", F.explode("__n").alias("__l")).select(key, F.array_join(F.slice("__c", F.col("__i") + 1, F.col("__l")), "").alias("__t"))
+    return grams.join(send(named), "__t").select(key, F.col("__t").alias(term)).distinct()
 
 
 def token_join(texts: DataFrame, terms: DataFrame, tokens: Column, key: str = "key", term: str = "term") -> DataFrame:

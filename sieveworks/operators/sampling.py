@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import seeded, split_pool
+from ..functions.hashing import hex_to_long, seeded, split_pool
 from ..functions.stats import half_even
 
 
@@ -103,26 +103,61 @@ def last_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return first_wins(rows, keys, [c.desc() for c in order])
 
 
+def _edge(rows: DataFrame, order: Column, bucket: Column, k: int):
+    """(the k-th order struct, how many rows come before all of its equals); None for k < 1.
+
+    Rows are counted by 65,536 buckets of a hash that the order starts with, so one small job finds the bucket of the border, and only that
+    bucket, a 65,536th of the rows, is sorted.
+    """
+    if k < 1:
+        return None
+    before = 0
+    for r in sorted(rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect(), key=lambda r: r["b"]):
+        if before + r["n"] >= k:
+            inside = rows.where(bucket == r["b"]).select(order.alias("o"))
+            edge = inside.orderBy("o").limit(k - before).agg(F.max("o").alias("o"))
+            less = inside.join(F.broadcast(edge.withColumnRenamed("o", "e")), F.col("o") < F.col("e")).count()  # one row
+            return edge, before + less
+        before += r["n"]
+    return None
+
+
+def _first(rows: DataFrame, order: Column, bucket: Column, k: int, name: str) -> DataFrame:
+    """rows with a boolean column: whether a row is among the first k by an order that starts with a hash; of equals any."""
+    found = _edge(rows, order, bucket, k)
+    if found is None:
+        return rows.withColumn(name, F.lit(k >= 1))
+    edge, before = found
+    marked = rows.withColumn("__o", order).join(F.broadcast(edge.withColumnRenamed("o", "__e")))  # one row
+    other = marked.where("__o != __e").withColumn(name, F.col("__o") < F.col("__e"))
+    equal = marked.where("__o = __e").withColumn(name, F.row_number().over(Window.partitionBy("__o").orderBy(F.lit(0))) <= k - before)
+    return other.unionByName(equal).drop("__o", "__e")
+
+
+def _bucket(order: Column) -> Column:
+    """The first four hex digits of a hash."""
+    return hex_to_long(F.substring(order, 1, 4))
+
+
 def holdout_split(rows: DataFrame, label: str, text: str, share: float, fail_share: float, seed: str = "holdout", head: int = 64) -> DataFrame:
     """Adds pool: a share of rows, of which fail_share positives (as far as they go), by the hash of the text's head."""
     counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col(label)).alias("f")).first()
     size = round(counts["n"] * share)
     fails = min(counts["f"], round(size * fail_share))
     order = seeded(seed, F.substring(F.col(text), 1, head))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order, F.col(text)))
-    inside = F.when(F.col(label), rank <= fails).otherwise(rank <= size - fails)
-    return rows.withColumn("pool", F.when(inside, "holdout").otherwise("train"))
+    by = F.struct(order.alias("h"), F.col(text).alias("t"))
+    parts = [_first(rows.where(F.col(label) if value else ~F.col(label)), by, _bucket(order), k, "__in") for value, k in ((True, fails), (False, size - fails))]
+    return parts[0].unionByName(parts[1]).withColumn("pool", F.when(F.col("__in"), "holdout").otherwise("train")).drop("__in")
 
 
 def train_val_split(rows: DataFrame, key: str, share: float = 0.05, seed: str = "rx") -> DataFrame:
-    """The first max(1, int(n * share)) rows by sha256(seed:key) are val.
+    """The first max(1, int(n * share)) rows by sha256(seed:key), then key, are val.
 
-    The border is found by the hash itself, so the corpus is not sorted in one place: a small job takes the n-th hash.
+    The border is found by the hash itself, so the corpus is not sorted in one place.
     """
-    n = rows.count()
-    hashed = rows.withColumn("__h", F.struct(seeded(seed, F.col(key).cast("string")), F.col(key)))
-    edge = hashed.select("__h").orderBy("__h").limit(max(1, int(n * share))).agg(F.max("__h").alias("__edge"))
-    return hashed.join(F.broadcast(edge)).withColumn("pool", F.when(F.col("__h") <= F.col("__edge"), "val").otherwise("train")).drop("__h", "__edge")  # one row
+    order = seeded(seed, F.col(key).cast("string"))
+    marked = _first(rows, F.struct(order.alias("h"), F.col(key).alias("k")), _bucket(order), max(1, int(rows.count() * share)), "__in")
+    return marked.withColumn("pool", F.when(F.col("__in"), "val").otherwise("train")).drop("__in")
 
 
 def oversample(rows: DataFrame, positive: Column, factor: int) -> DataFrame:

@@ -22,6 +22,7 @@ from ..operators import probes as Pr
 from ..operators import sampling as Sm
 from ..operators import sets as Se
 from ..operators import synth as Sy
+from ..sources.tables import spread
 
 SEED = "20260810"
 SHARES = [("test", 20), ("verifier_train", 60), ("reserve", 20)]
@@ -199,7 +200,15 @@ def stratified_label_sample(read):
     return Sm.stratified_sample(read("labels"), "quality", F.col("doc_id").cast("string"), 20, SEED).select("doc_id", "quality")
 
 
-@query("greedy_exclusive_sample")
+RULE_ROWS_SQL = "(" + " UNION ALL ".join(f"SELECT '{n}' AS scenario, {i} AS place, doc_id FROM documents WHERE {contains_sql('text', w)}" for i, (n, w) in enumerate(RULES)) + ")"
+GREEDY_SQL = f"WITH c AS (SELECT scenario, place, doc_id, sha256('{SEED}:' || scenario || ':' || doc_id) AS h FROM {RULE_ROWS_SQL}), o AS (SELECT scenario, row_number() OVER (ORDER BY count(*), min(place)) AS i FROM c GROUP BY scenario)"
+for _i in range(1, len(RULES) + 1):
+    _taken = " AND ".join(f"doc_id NOT IN (SELECT doc_id FROM p{j})" for j in range(1, _i)) or "true"
+    GREEDY_SQL += f", p{_i} AS (SELECT scenario, doc_id FROM c WHERE scenario = (SELECT scenario FROM o WHERE i = {_i}) AND {_taken} ORDER BY h, doc_id LIMIT 10)"
+GREEDY_SQL += " " + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, len(RULES) + 1))
+
+
+@query("greedy_exclusive_sample", GREEDY_SQL)
 def greedy_exclusive_sample(read):
     """Strata overlap: a document belongs to each rule that it fits."""
     rows = None
@@ -225,7 +234,10 @@ def oversample_positives(read):
     return Sm.oversample(read("labels"), F.col("toxic") == 1, 3).select("doc_id", "toxic")
 
 
-@query("source_share_cap")
+@query("source_share_cap", """
+WITH RECURSIVE sizes AS (SELECT list(n) AS s FROM (SELECT count(*) AS n FROM documents GROUP BY source)),
+f AS (SELECT 0 AS i, s FROM sizes UNION ALL SELECT i + 1, list_transform(s, lambda n: least(n, floor(list_sum(s) * 0.06::DOUBLE)::BIGINT)) FROM f WHERE list_max(s) > floor(list_sum(s) * 0.06::DOUBLE)::BIGINT)
+SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= (SELECT list_max(s) FROM f ORDER BY i DESC LIMIT 1)""")
 def source_share_cap(read):
     return Sm.cap_source_share(read("documents").select("doc_id", "source"), "source", "doc_id", 0.06)
 
@@ -236,11 +248,11 @@ def source_concentration(read):
     return by.agg(F.max("n").alias("largest"), F.sum("n").alias("total"), (F.max("n").cast("double") / F.sum("n")).alias("share"))
 
 
-@query("kind_quota", "SELECT lang AS kind, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents WHERE doc_id % 2 = 0) JOIN (SELECT d.lang AS l, count(*) AS n FROM documents d JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY 1) ON l = lang AND r <= n")
+@query("kind_quota", "SELECT lang AS kind, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) JOIN (SELECT d.lang AS l, count(*) AS n FROM documents d JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY 1) ON l = lang AND r <= n")
 def kind_quota(read):
     d = read("documents").withColumnRenamed("lang", "kind")
     quota = d.join(read("labels").where("quality = 0"), "doc_id").groupBy("kind").agg(F.count("*").alias("n"))
-    return Sm.kind_quota(d.where("doc_id % 2 = 0").select("kind", "doc_id"), "kind", quota, [F.col("doc_id")]).select("kind", "doc_id")
+    return Sm.kind_quota(d.select("kind", "doc_id"), "kind", quota, [F.col("doc_id")]).select("kind", "doc_id")
 
 
 @query("dense_sample_ids", f"SELECT format('u-{{:03d}}', (row_number() OVER (ORDER BY h, conv_id, turn) - 1)::BIGINT) AS id, conv_id, turn FROM (SELECT conv_id, turn, sha256('sample:' || conv_id || ':' || turn || ':{SEED}') AS h FROM conversations WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = conv_id AND quality = 0) ORDER BY h, conv_id, turn LIMIT 30)")
@@ -295,19 +307,40 @@ def pairs(read) -> DataFrame:
     return u.join(a, ["conv_id", "turn"]).select(F.concat_ws("-", "conv_id", "turn").alias("case_id"), F.col("text").alias("source_text"), "answer")
 
 
+def planted(key):
+    """The first 8 hex digits of the SHA-256 of a key, as in h8."""
+    return Hs.hex_to_long(F.substring(F.sha2(key.cast("string").cast("binary"), 256), 1, 8))
+
+
+NUMBERED_SQL = f"""(SELECT case_id, k, source_text || ' take ' || (k % 7 + 100) || ' or ' || (k % 5) AS source_text, answer || ' take ' || (k % 3) || ' then ' || (k % 7 + 100) || ' plus 777' AS answer
+    FROM (SELECT *, {h8('case_id')} AS k FROM {PAIRS_SQL}))"""
+
+
 def numbered_pairs(read) -> DataFrame:
-    """Pairs with numbers planted on both sides, as the prose has few."""
-    k = F.crc32(F.col("case_id").cast("binary"))
-    return pairs(read).select("case_id", F.concat("source_text", F.lit(" take "), (k % 7 + 100).cast("string"), F.lit(" or "), (k % 5).cast("string")).alias("source_text"), F.concat("answer", F.lit(" take "), (k % 3).cast("string"), F.lit(" then "), (k % 7 + 100).cast("string")).alias("answer"))
+    """Pairs with numbers planted on both sides, as the prose has few: one that may be supported, one that is, one that is not."""
+    k = planted(F.col("case_id"))
+    return pairs(read).select(
+        "case_id",
+        F.concat("source_text", F.lit(" take "), (k % 7 + 100).cast("string"), F.lit(" or "), (k % 5).cast("string")).alias("source_text"),
+        F.concat("answer", F.lit(" take "), (k % 3).cast("string"), F.lit(" then "), (k % 7 + 100).cast("string"), F.lit(" plus 777")).alias("answer"),
+    )
+
+
+PACKED = r"regexp_replace({}, '[\s\x{{85}}\x{{A0}}\x{{0B}}]+', '', 'g')"
+DIGITS_SQL = rf"(SELECT case_id, k, source_text, answer, regexp_extract_all({PACKED.format('source_text')}, '[0-9]+(?:\.[0-9]+)?') AS s, regexp_extract_all({PACKED.format('answer')}, '[0-9]+(?:\.[0-9]+)?') AS a FROM {NUMBERED_SQL})"
+CANDIDATES_SQL = f"(SELECT case_id, k, source_text, answer, s, unnest(list_distinct(list_filter(a, lambda x: NOT list_contains(s, x)))) AS candidate_text FROM {DIGITS_SQL})"
 
 
-@query("digit_grounding")
+@query("digit_grounding", f"SELECT case_id, candidate_text, 'digit' AS kind, 2::BIGINT AS red_line_guess FROM {CANDIDATES_SQL}")
 def digit_grounding(read):
-    """Unsupported numbers; the planted ones come from crc32, which DuckDB lacks."""
+    """Unsupported numbers."""
     return Cd.extract_candidates(numbered_pairs(read), nfkc=False).select("case_id", "candidate_text", "kind", F.col("red_line_guess").cast("long").alias("red_line_guess"))
 
 
-PACKED = r"regexp_replace({}, '[\s\x{{85}}\x{{A0}}\x{{0B}}]+', '', 'g')"
+@query("flagged_cases", f"SELECT case_id, len(list_filter(a, lambda x: NOT list_contains(s, x))) > 0 AS flag FROM {DIGITS_SQL}")
+def flagged_cases(read):
+    cases = numbered_pairs(read)
+    return Cd.flag_cases(cases, Cd.extract_candidates(cases, nfkc=False)).select("case_id", "flag")
 
 
 @query("digit_grounding_plain", rf"WITH n AS (SELECT case_id, regexp_extract_all({PACKED.format('source_text')}, '[0-9]+(?:\.[0-9]+)?') AS s, regexp_extract_all({PACKED.format('answer')}, '[0-9]+(?:\.[0-9]+)?') AS a FROM (SELECT p.case_id, p.source_text || ' dose ' || length(p.source_text) AS source_text, p.answer || ' dose ' || (length(p.source_text) % 50) AS answer FROM {PAIRS_SQL} p)) SELECT case_id, candidate_text FROM (SELECT case_id, unnest(list_distinct(list_filter(a, lambda x: NOT list_contains(s, x)))) AS candidate_text FROM n)")
@@ -316,11 +349,11 @@ def digit_grounding_plain(read):
     return Cd.extract_candidates(cases, nfkc=False).where("kind = 'digit'").select("case_id", "candidate_text")
 
 
-BENCH_TERMS_SQL = "(SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark) WHERE length(w) BETWEEN 8 AND 10)"
+BENCH_TERMS_SQL = "(SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark))"
 
 
 def bench_terms(read) -> DataFrame:
-    return read("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("term")).where(F.length("term").between(8, 10)).distinct()
+    return read("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("term")).distinct()
 
 
 @query("lexicon_contains", f"SELECT case_id, term FROM {PAIRS_SQL} p, {BENCH_TERMS_SQL} b WHERE contains(p.answer, b.term)")
@@ -342,20 +375,29 @@ def list_ordinals(read):
 
 
 def labelled_pool(read) -> DataFrame:
+    """A third of the cases fail, on evidence that names one of their numbers."""
     cases = numbered_pairs(read)
-    fail = F.crc32(F.col("case_id").cast("binary")) % 3 == 0
-    evidence = F.concat(F.lit("says "), (F.crc32(F.col("case_id").cast("binary")) % 3).cast("string"))
+    fail = planted(F.col("case_id")) % 3 == 0
+    evidence = F.concat(F.lit("says "), (planted(F.col("case_id")) % 3).cast("string"))
     lines = F.array(F.struct(F.lit(0).alias("idx"), F.lit(False).alias("violated"), F.lit("").alias("evidence")), F.struct(F.lit(2).alias("idx"), fail.alias("violated"), evidence.alias("evidence")))
     labelled = cases.withColumns({"verdict": F.when(fail, "fail").otherwise("pass"), "red_lines": lines})
     return Cd.label_pool(labelled, Cd.extract_candidates(cases, nfkc=False))
 
 
-@query("trusted_pool")
+TRUSTED_SQL = f"(SELECT *, k % 3 = 0 AS label FROM {CANDIDATES_SQL} WHERE k % 3 != 0 OR candidate_text = '0')"
+
+
+@query("label_pool", f"SELECT case_id, candidate_text, k % 3 = 0 AND candidate_text = '0' AS label FROM {CANDIDATES_SQL}")
+def label_pool(read):
+    return labelled_pool(read).select("case_id", "candidate_text", "label")
+
+
+@query("trusted_pool", f"SELECT case_id, candidate_text, 'digit' AS kind, label FROM {TRUSTED_SQL}")
 def trusted_pool(read):
     return Cd.trusted_pool(labelled_pool(read)).select("case_id", "candidate_text", "kind", "label")
 
 
-@query("uncertain_pool")
+@query("uncertain_pool", f"SELECT case_id, candidate_text, 'digit' AS kind FROM {CANDIDATES_SQL} WHERE k % 3 = 0 AND candidate_text != '0'")
 def uncertain_pool(read):
     return Cd.uncertain_pool(labelled_pool(read)).select("case_id", "candidate_text", "kind")
 
@@ -365,8 +407,8 @@ LEXICON = Lexicon(chars=frozenset(), terms=frozenset(["tion", "tionally", "eau",
 
 @query("readability_score")
 def readability_score(read):
-    d = read("documents")
-    return d.select("doc_id", readability(d.sparkSession, F.col("text"), LEXICON).alias("s")).select("doc_id", "s.n_scored", "s.strict", "s.lenient", "s.glossed", "s.term_density", "s.n_chars", "s.n_sentences", "s.mean_sentence")
+    d = spread(read("documents"))
+    return d.select("doc_id", readability(d.sparkSession, F.col("text"), LEXICON, failures=False).alias("s")).select("doc_id", "s.n_scored", "s.strict", "s.lenient", "s.glossed", "s.term_density", "s.n_chars", "s.n_sentences", "s.mean_sentence")
 
 
 HARD_SQL = ", ".join(f"'{w}'" for w in HARD_WORDS)
@@ -463,10 +505,22 @@ def probe_youden(read):
     return Pr.score_probes(rows, ("shouting", "short", "linked"), structural=("shouting", "short")).select("probe", "tp", "fp", "fn", "tn", r9("j"))
 
 
-@query("shortcut_probes")
+FEATURES_SQL = rf"""(
+    SELECT label, cut > 0 AS prefix_present, cut > 0 AND contains(inner_text, candidate_text) AS inside_bracket, place_at >= 0.85 * length(answer) AS in_tail, suffix(regexp_replace(answer, '\s+$', ''), '.') AS ends_with_bracket,
+           NOT list_contains(s, candidate_text) AS not_grounded, false AS kind_is_lexicon, true AS kind_is_digit, cut > 0 AND contains(inner_text, candidate_text) AND NOT list_contains(s, candidate_text) AS inside_and_not_grounded
+    FROM (SELECT *, CASE WHEN contains(after_text, ' or ') THEN left(after_text, strpos(after_text, ' or ') - 1) ELSE after_text END AS inner_text,
+                 length(answer) - strpos(reverse(answer), reverse(candidate_text)) + 1 - length(candidate_text) AS place_at
+          FROM (SELECT *, substr(answer, cut) AS after_text FROM (SELECT *, coalesce(least(nullif(strpos(answer, 'take '), 0), nullif(strpos(answer, 'then '), 0)), 0) AS cut FROM {TRUSTED_SQL}))))"""
+
+
+@query("shortcut_probes", f"""
+SELECT probe, tp, fp, fn, tn, round(abs({rate_sql('tp', '(tp + fn)')} - {rate_sql('fp', '(fp + tn)')}), 9) AS j, gated, gated AND abs({rate_sql('tp', '(tp + fn)')} - {rate_sql('fp', '(fp + tn)')}) > 0.3 AS failed
+FROM (SELECT probe, gated, count_if(label AND hit) AS tp, count_if(NOT label AND hit) AS fp, count_if(label AND NOT hit) AS fn, count_if(NOT label AND NOT hit) AS tn
+      FROM ({" UNION ALL ".join(f"SELECT '{p}' AS probe, {str(p in Pr.STRUCTURAL).lower()} AS gated, label, {p} AS hit FROM {FEATURES_SQL}" for p in Pr.PROBES)}) GROUP BY probe, gated)""")
 def shortcut_probes(read):
     pool = Cd.trusted_pool(labelled_pool(read))
-    return Pr.score_probes(Pr.with_probes(pool, ["take ", "then "], ".", close=" or ", nfkc=False))
+    scores = Pr.score_probes(Pr.with_probes(pool, ["take ", "then "], ".", close=" or ", nfkc=False))
+    return scores.select("probe", "tp", "fp", "fn", "tn", r9("j"), "gated", "failed")
 
 
 SWAP_SQL = "(('0x' || right(sha256('ab:' || conv_id || ':' || judge), 1))::BIGINT % 2 = 1)"
@@ -576,7 +630,7 @@ def injection_negatives(read):
 
 @query("snap_phrases")
 def snap_phrases(read):
-    d = read("documents").where("n_chars BETWEEN 40 AND 400")
+    d = spread(read("documents"))
     phrase = F.concat(F.substring("text", 11, 12), F.lit("x"))
     return d.select("doc_id", phrase.alias("phrase"), snap(phrase, F.col("text")).alias("snapped"))
 

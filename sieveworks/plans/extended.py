@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as Hs
 from ..functions import text as X
-from ..functions.lexical import canonical_json, nfkc_packed
+from ..functions.lexical import canonical_json, nfkc_packed, readability, segments, source_readability
 from ..operators import checks as Ck
 from ..operators import evaluate as Ev
 from ..operators import reporting as Rp
@@ -20,13 +20,10 @@ from ..operators import selection as Sl
 from ..operators import sets as Se
 from ..sources import readers as Rd
 from ..sources import sinks as Si
-from .catalogue import FLAG_ROWS_SQL, PAIRS_SQL, flag_rows, h8, pairs, query, r9, rate_sql, wilson_sql
+from ..sources.tables import spread
+from .catalogue import FLAG_ROWS_SQL, LEXICON, PAIRS_SQL, flag_rows, h8, pairs, planted, query, r9, rate_sql, wilson_sql
 
 
-def planted(key):
-    """The first 8 hex digits of a key's SHA-256, as in the SQL."""
-    return Hs.hex_to_long(F.substring(F.sha2(key.cast("string").cast("binary"), 256), 1, 8))
-
 
 def scratch(spark, name: str) -> str:
     """A folder that driver and executors share, for files that a query writes and reads."""
@@ -336,6 +333,30 @@ def nfkc_names(read):
     return read("part").select("p_partkey", nfkc_packed(F.concat("p_name", F.lit(" Ｎｏ　７"))).alias("name"))
 
 
+# --- readability ---
+
+#: Texts without brackets, so no word is glossed: terms are marked off, what lies between falls into words, white space and single characters.
+MARKED_SQL = "regexp_replace(translate(text, '()', ''), '(tionally|tion|lich|ción|eau)', chr(1) || '\\1' || chr(1), 'g')"
+TOKENS_SQL = f"(SELECT doc_id, text, unnest(CASE WHEN i % 2 = 0 THEN [p] ELSE regexp_extract_all(p, '[A-Za-z0-9]+|\\s+|(?s:.)') END) AS token FROM (SELECT doc_id, text, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, text, string_split({MARKED_SQL}, chr(1)) AS parts FROM documents)))"
+
+
+@query("readability_plain", f"""
+SELECT doc_id, coalesce(n, 0) AS n_scored, CASE WHEN n > 0 THEN passed::DOUBLE / n ELSE 0.0::DOUBLE END AS strict, CASE WHEN n > 0 THEN 100.0::DOUBLE * terms / n ELSE 0.0::DOUBLE END AS term_density, round(CASE WHEN n > 0 THEN passed::DOUBLE / n ELSE 0.0::DOUBLE END, 4) AS source
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, count_if(token IN ('kg', 'the', 'of', 'and')) AS passed, count_if(token IN ('tionally', 'tion', 'lich', 'ción', 'eau')) AS terms FROM {TOKENS_SQL} WHERE regexp_matches(token, '^[A-Za-z]') GROUP BY doc_id) USING (doc_id)""")
+def readability_plain(read):
+    d = spread(read("documents")).select("doc_id", F.translate("text", "()", "").alias("text"))
+    s = readability(d.sparkSession, F.col("text"), LEXICON, failures=False)
+    return d.select("doc_id", s.alias("s"), source_readability(d.sparkSession, F.col("text"), LEXICON).alias("source")).select("doc_id", "s.n_scored", "s.strict", "s.term_density", "source")
+
+
+@query("segments", f"SELECT doc_id, count(*) AS n, sum(length(token))::BIGINT AS chars, max(length(token))::BIGINT AS longest FROM {TOKENS_SQL} WHERE token != '' GROUP BY doc_id")
+def segments_of(read):
+    """The tokens of each text; nothing is lost."""
+    d = spread(read("documents")).select("doc_id", F.translate("text", "()", "").alias("text"))
+    tokens = d.select("doc_id", F.explode(segments(d.sparkSession, F.col("text"), LEXICON)).alias("t"))
+    return tokens.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("t.token")).alias("chars"), F.max(F.length("t.token")).cast("long").alias("longest"))
+
+
 # --- predicates and texts ---
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,12 +15,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def resume(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], log: str, checkpoint: str, key: str = "id", per_run: int = 1000) -> StreamingQuery:
     """Runs `work` over new JSON files of a folder and appends its rows to a Parquet log; a second run only sees later files.
 
-    Batches are written under their epoch, so a batch that runs again replaces what it left.
+    Ids that the log has without an error are skipped, whichever file they come in again. Batches are written under their epoch, so a
+    batch that runs again replaces what it left.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_run).json(source)
 
     def put(batch: DataFrame, epoch: int) -> None:
-        work(batch.dropDuplicates([key])).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
+        fresh = batch.dropDuplicates([key])
+        try:
+            before = spark.read.parquet(log).where(F.col("epoch") != epoch)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+        else:
+            done = before.where(F.coalesce(F.col("error").cast("string"), F.lit("")) == "") if "error" in before.columns else before
+            fresh = fresh.join(done.select(key), key, "left_anti")
+        work(fresh).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -42,8 +42,8 @@ def test_logical_names(spark):
 
 
 def test_sniff():
-    assert R.sniff(b"") == "utf-8" and R.sniff(b"", reject_empty=True) is None
-    assert R.sniff("é".encode()) == "utf-8" and R.sniff("中文".encode("gb18030")) == "gb18030" and R.sniff(b"\xff\xff") is None
+    assert R.sniff(b"") == "utf-8-sig" and R.sniff(b"", reject_empty=True) is None
+    assert R.sniff("é".encode()) == "utf-8-sig" and R.sniff("中文".encode("gb18030")) == "gb18030" and R.sniff(b"\xff\xff") is None
 
 
 def test_json(spark, tmp_path):
@@ -103,7 +103,9 @@ def test_kpi_on_disk(spark, tmp_path):
     K.write_kpi(of([("a", "x", 1.0)]), of([]), p)
     assert not (tmp_path / "kpi").exists()
     K.write_kpi(of([("a", "x", 1.0)]), of([("a", "x", 2.0)]), p)
-    assert [tuple(r) for r in spark.read.parquet(p).collect()] == [("a", "x", 2.0)]
+    assert [tuple(r) for r in K.read_kpi(spark, p).collect()] == [("a", "x", 2.0)]
+    K.write_kpi(K.read_kpi(spark, p), of([("a", "y", 3.0)]), p)  # from and to the same path
+    assert sorted(tuple(r) for r in K.read_kpi(spark, p).collect()) == [("a", "x", 2.0), ("a", "y", 3.0)]
 
 
 def test_stream_resumes(spark, tmp_path):
