@@ -1,10 +1,14 @@
 import importlib.util
+import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 from sieveworks.llm import decontam, jaccard_join, langid, packing, secret_scan
 
 from .fixtures import benchmark, documents
+from .test_jaccard import brute as brute_components
+from .test_native import base_spans, brute_contamination
 
 
 def test_stages_chain_and_take_effect(spark, tmp_path):
@@ -41,6 +45,47 @@ def test_stages_chain_and_take_effect(spark, tmp_path):
     assert whole.count() == now.count()
 
 
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Each stage by plain Python over awkward rows: unlike texts under one id, repeated rows, nulls, extra columns."""
+    import corpus_pipeline as C
+
+    stage = dict(C.STAGES)
+    docs = documents(spark, 5)
+    more = spark.createDataFrame([(3, "some other text under an id that is there", "en", "s", 5), (30, "some other text under an id that is there", "en", "s", 5), (None, None, None, None, None)], docs.schema)
+    docs = docs.unionByName(more).withColumn("h", docs["doc_id"]).withColumn("secrets", docs["text"])
+    benchmark(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    texts_of = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+    # one row of each component: rows of one component at most once, every component still there, nothing else changed
+    kept = texts_of(stage["near_duplicates"](spark, docs, str(tmp_path)))
+    with_id = sorted({r for r in rows if r[0] is not None}, key=str)
+    root = {k: r for k, (_, r) in brute_components([(k, t) for k, (_, t) in enumerate(with_id)]).items()}
+    least = {}
+    for k, row in enumerate(with_id):
+        least.setdefault(root[k], []).append(row[0])
+    of = {row: root[k] for k, row in enumerate(with_id)}
+    assert all(n == 1 for row, n in kept.items() if row[0] is not None)
+    assert Counter(of[row] for row in kept if row[0] is not None) == Counter(dict.fromkeys(least, 1))
+    assert all(row[0] == min(least[of[row]]) for row in kept if row[0] is not None)
+    assert Counter({r: n for r, n in kept.items() if r[0] is None}) == Counter(r for r in rows if r[0] is None)
+
+    clean = texts_of(stage["benchmark_decontamination"](spark, docs, str(tmp_path)))
+    items = [tuple(r) for r in benchmark(spark).collect()]
+    assert clean == Counter(r for r in rows if brute_contamination(r[1], items)[1] == 0)
+
+    masked = stage["secrets"](spark, docs, str(tmp_path)).collect()
+    assert len(masked) == len(rows) and all(not base_spans(r["text"]) for r in masked)
+    plain = Counter(r for r in rows if not base_spans(r[1]))
+    assert sum((plain & Counter((r["doc_id"], r["text"]) for r in masked)).values()) >= sum(plain.values()) - 3  # the method's own spans
+    for r in masked:
+        assert r["n_chars"] is None or r["text"] is None or r["n_chars"] == len(r["text"]) or (r["doc_id"], r["text"]) in Counter(rows)
+
+    spoken = texts_of(stage["language"](spark, docs, str(tmp_path)))
+    assert spoken <= Counter(rows) and all(re.search(r"[^\W\d_]", t or "") for _, t in spoken)
+    assert sum(spoken.values()) > 0.7 * len(rows)
+
+
 def test_entry_lists_all_eleven():
     import __spark_entry__ as e
 
