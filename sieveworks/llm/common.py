@@ -44,8 +44,19 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of all tables and files that the operators of this application write."""
+    return f"{shared_root(spark)}/sieveworks/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/sieveworks/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> bool:
+    """Deletes what this application's operators have written beside their results, which must have been used by then: results read it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
