@@ -92,14 +92,28 @@ def pools(read) -> DataFrame:
     return Sm.split_records(read("documents"), "doc_id", SEED, SHARES)
 
 
-@query("split_pool_counts", f"SELECT pool, n, n::DOUBLE / total AS share, round({wilson_sql('n', 'total', '-')}, 9) AS lo, round({wilson_sql('n', 'total', '+')}, 9) AS hi FROM (SELECT pool, count(*) AS n, (sum(count(*)) OVER ())::BIGINT AS total FROM {POOL_SQL} GROUP BY pool)")
+@query("split_pool_counts", f"""
+SELECT pool, n, n::DOUBLE / total AS share, round({wilson_sql('n', 'total', '-')}, 9) AS lo, round({wilson_sql('n', 'total', '+')}, 9) AS hi
+FROM (SELECT pool, count(*) AS n, (sum(count(*)) OVER ())::BIGINT AS total
+FROM {POOL_SQL}
+GROUP BY pool)""")
 def split_pool_counts(read):
     n = pools(read).groupBy("pool").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
     ci = St.wilson(F.col("n"), F.col("total"))
     return n.select("pool", "n", (F.col("n").cast("double") / F.col("total")).alias("share"), F.round(ci["lo"], 9).alias("lo"), F.round(ci["hi"], 9).alias("hi"))
 
 
-@query("split_verify", "SELECT id, rule, detail FROM (SELECT doc_id::VARCHAR AS id, 'without pool' AS rule, '' AS detail FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id::VARCHAR, 'repeated id', '2' FROM documents WHERE doc_id % 10 = 1 UNION ALL SELECT (doc_id + 1000000)::VARCHAR, 'without record', '' FROM documents WHERE doc_id % 10 = 2)")
+@query("split_verify", """
+SELECT id, rule, detail
+FROM (SELECT doc_id::VARCHAR AS id, 'without pool' AS rule, '' AS detail
+FROM documents
+WHERE doc_id % 10 = 0
+UNION ALL SELECT doc_id::VARCHAR, 'repeated id', '2'
+FROM documents
+WHERE doc_id % 10 = 1
+UNION ALL SELECT (doc_id + 1000000)::VARCHAR, 'without record', ''
+FROM documents
+WHERE doc_id % 10 = 2)""")
 def split_verify(read):
     """Planted defects: ids without a pool, twice, and of no record."""
     s = pools(read)
@@ -109,7 +123,19 @@ def split_verify(read):
     return Ck.split_problems(records, planted.unionByName(strange), [p for p, _ in SHARES], "doc_id")
 
 
-@query("pool_overlap", f"WITH s AS (SELECT * FROM {POOL_SQL} UNION ALL SELECT doc_id, 'reserve' FROM documents WHERE doc_id % 7 = 0) SELECT a.pool AS a, b.pool AS b, count(DISTINCT x.doc_id) AS n FROM (SELECT unnest(['test', 'test', 'verifier_train']) AS pool, unnest(['verifier_train', 'reserve', 'reserve']) AS other) a JOIN (SELECT DISTINCT pool FROM s) b ON b.pool = a.other LEFT JOIN (SELECT y.doc_id, y.pool AS p, z.pool AS q FROM s y JOIN s z USING (doc_id)) x ON x.p = a.pool AND x.q = b.pool GROUP BY ALL")
+@query("pool_overlap", f"""
+WITH s AS (SELECT *
+FROM {POOL_SQL}
+UNION ALL SELECT doc_id, 'reserve'
+FROM documents
+WHERE doc_id % 7 = 0) SELECT a.pool AS a, b.pool AS b, count(DISTINCT x.doc_id) AS n
+FROM (SELECT unnest(['test', 'test', 'verifier_train']) AS pool, unnest(['verifier_train', 'reserve', 'reserve']) AS other) a
+JOIN (SELECT DISTINCT pool
+FROM s) b ON b.pool = a.other
+LEFT JOIN (SELECT y.doc_id, y.pool AS p, z.pool AS q
+FROM s y
+JOIN s z USING (doc_id)) x ON x.p = a.pool AND x.q = b.pool
+GROUP BY ALL""")
 def pool_overlap(read):
     s = pools(read).select("doc_id", "pool")
     return Se.overlap_counts(s.unionByName(read("documents").where("doc_id % 7 = 0").select("doc_id", F.lit("reserve").alias("pool"))), "doc_id", [p for p, _ in SHARES])
@@ -120,20 +146,31 @@ def index_stats(read):
     return read("documents").select(F.col("source").alias("lib"), F.trim(F.substring("text", 1, 20)).alias("name")).groupBy("lib").agg(F.count("*").alias("n"), F.count_if(F.col("name") != "").alias("named"))
 
 
-@query("filled_fields", "SELECT c_custkey, array_to_string(list_filter([CASE WHEN trim(c_name) != '' THEN 'c_name' END, CASE WHEN trim(c_mktsegment) != '' AND c_custkey % 3 != 0 THEN 'c_mktsegment' END], lambda x: x IS NOT NULL), '|') AS filled_fields FROM customer")
+@query("filled_fields", """
+SELECT c_custkey, array_to_string(list_filter([CASE WHEN trim(c_name) != '' THEN 'c_name' END, CASE WHEN trim(c_mktsegment) != '' AND c_custkey % 3 != 0 THEN 'c_mktsegment' END], lambda x: x IS NOT NULL), '|') AS filled_fields
+FROM customer""")
 def filled_fields(read):
     c = read("customer").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")))
     names = F.filter(F.array(*[F.when(F.trim(F.col(x)) != "", F.lit(x)) for x in ("c_name", "c_mktsegment")]), lambda x: x.isNotNull())
     return c.select("c_custkey", F.array_join(names, "|").alias("filled_fields"))
 
 
-@query("leak_check_prefix60", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents f WHERE f.doc_id % 5 = 0 AND f.doc_id != d.doc_id AND substr(f.text, 1, 60) = substr(d.text, 1, 60)) AND doc_id % 5 != 0")
+@query("leak_check_prefix60", """
+SELECT doc_id
+FROM documents d
+WHERE NOT EXISTS (SELECT 1
+FROM documents f
+WHERE f.doc_id % 5 = 0 AND f.doc_id != d.doc_id AND substr(f.text, 1, 60) = substr(d.text, 1, 60)) AND doc_id % 5 != 0""")
 def leak_check_prefix60(read):
     d = read("documents").select("doc_id", "text")
     return Jn.prefix_leak(d.where("doc_id % 5 != 0"), d.where("doc_id % 5 = 0"), "text").select("doc_id")
 
 
-@query("dedup_last_wins", "SELECT conv_id, role, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1")
+@query("dedup_last_wins", """
+SELECT conv_id, role, turn, text
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS r
+FROM conversations)
+WHERE r = 1""")
 def dedup_last_wins(read):
     return Sm.last_wins(read("conversations"), ["conv_id", "role"], [F.col("turn")]).select("conv_id", "role", "turn", "text")
 
@@ -175,13 +212,22 @@ def allocation_sensitivity(read):
     return allocated(d.join(read("labels"), "doc_id"), "lang", "quality")
 
 
-@query("freq_rollup", f"SELECT scenario, lang, sum(n_chars)::BIGINT AS freq, count(*) AS n FROM (SELECT *, {CLASSIFY_SQL} AS scenario FROM documents) WHERE scenario != 'other' GROUP BY ROLLUP (scenario, lang)")
+@query("freq_rollup", f"""
+SELECT scenario, lang, sum(n_chars)::BIGINT AS freq, count(*) AS n
+FROM (SELECT *, {CLASSIFY_SQL} AS scenario
+FROM documents)
+WHERE scenario != 'other'
+GROUP BY ROLLUP (scenario, lang)""")
 def freq_rollup(read):
     rows = read("documents").withColumn("scenario", X.classify(F.col("text"), RULES, "other", "-")["scenario"]).where("scenario != 'other'")
     return rows.rollup("scenario", "lang").agg(F.sum("n_chars").alias("freq"), F.count("*").alias("n"))
 
 
-@query("topn_per_stratum", f"SELECT lang, doc_id, r AS rank FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN contains(text, 'license') THEN 0 ELSE 1 END, sha256('{SEED}:' || lang || ':' || doc_id), doc_id) AS r FROM documents) WHERE r <= 5")
+@query("topn_per_stratum", f"""
+SELECT lang, doc_id, r AS rank
+FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN contains(text, 'license') THEN 0 ELSE 1 END, sha256('{SEED}:' || lang || ':' || doc_id), doc_id) AS r
+FROM documents)
+WHERE r <= 5""")
 def topn_per_stratum(read):
     return Sm.top_n_per_stratum(read("documents").select("doc_id", "lang", "text"), "lang", "doc_id", 5, SEED, F.col("text").contains("license")).select("lang", "doc_id", F.col("rank").cast("long").alias("rank"))
 
@@ -195,13 +241,20 @@ def bucket_quota_sample(read):
     return Sm.quota_sample(rows, "bucket", "doc_id", 40, BUCKET_SHARES, SEED).select("bucket", "doc_id")
 
 
-@query("stratified_label_sample", f"SELECT doc_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY sha256('{SEED}:' || doc_id), doc_id::VARCHAR) AS r FROM labels) WHERE r <= 20")
+@query("stratified_label_sample", f"""
+SELECT doc_id, quality
+FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY sha256('{SEED}:' || doc_id), doc_id::VARCHAR) AS r
+FROM labels)
+WHERE r <= 20""")
 def stratified_label_sample(read):
     return Sm.stratified_sample(read("labels"), "quality", F.col("doc_id").cast("string"), 20, SEED).select("doc_id", "quality")
 
 
 RULE_ROWS_SQL = "(" + " UNION ALL ".join(f"SELECT '{n}' AS scenario, {i} AS place, doc_id FROM documents WHERE {contains_sql('text', w)}" for i, (n, w) in enumerate(RULES)) + ")"
-GREEDY_SQL = f"WITH c AS (SELECT scenario, place, doc_id, sha256('{SEED}:' || scenario || ':' || doc_id) AS h FROM {RULE_ROWS_SQL}), o AS (SELECT scenario, row_number() OVER (ORDER BY count(*), min(place)) AS i FROM c GROUP BY scenario)"
+GREEDY_SQL = f"""WITH c AS (SELECT scenario, place, doc_id, sha256('{SEED}:' || scenario || ':' || doc_id) AS h
+FROM {RULE_ROWS_SQL}), o AS (SELECT scenario, row_number() OVER (ORDER BY count(*), min(place)) AS i
+FROM c
+GROUP BY scenario)"""
 for _i in range(1, len(RULES) + 1):
     _taken = " AND ".join(f"doc_id NOT IN (SELECT doc_id FROM p{j})" for j in range(1, _i)) or "true"
     GREEDY_SQL += f", p{_i} AS (SELECT scenario, doc_id FROM c WHERE scenario = (SELECT scenario FROM o WHERE i = {_i}) AND {_taken} ORDER BY h, doc_id LIMIT 10)"
@@ -218,13 +271,23 @@ def greedy_exclusive_sample(read):
     return Sm.greedy_exclusive(rows, "scenario", "doc_id", {n: 10 for n, _ in RULES}, SEED).select("scenario", "doc_id")
 
 
-@query("holdout_split", "WITH x AS (SELECT l.doc_id, l.quality = 0 AS fail, sha256('holdout:' || substr(d.text, 1, 64)) AS h, d.text FROM labels l JOIN documents d USING (doc_id)), n AS (SELECT round_even(count(*) * 0.2::DOUBLE, 0)::BIGINT AS size, count_if(fail) AS fails FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY fail ORDER BY h, text, doc_id) AS k FROM x, n) SELECT pool, fail, count(*) AS n FROM (SELECT fail, CASE WHEN CASE WHEN fail THEN k <= least(fails, round_even(size * 0.3::DOUBLE, 0)::BIGINT) ELSE k <= size - least(fails, round_even(size * 0.3::DOUBLE, 0)::BIGINT) END THEN 'holdout' ELSE 'train' END AS pool FROM r) GROUP BY ALL")
+@query("holdout_split", """
+WITH x AS (SELECT l.doc_id, l.quality = 0 AS fail, sha256('holdout:' || substr(d.text, 1, 64)) AS h, d.text
+FROM labels l
+JOIN documents d USING (doc_id)), n AS (SELECT round_even(count(*) * 0.2::DOUBLE, 0)::BIGINT AS size, count_if(fail) AS fails
+FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY fail ORDER BY h, text, doc_id) AS k
+FROM x, n) SELECT pool, fail, count(*) AS n
+FROM (SELECT fail, CASE WHEN CASE WHEN fail THEN k <= least(fails, round_even(size * 0.3::DOUBLE, 0)::BIGINT) ELSE k <= size - least(fails, round_even(size * 0.3::DOUBLE, 0)::BIGINT) END THEN 'holdout' ELSE 'train' END AS pool
+FROM r)
+GROUP BY ALL""")
 def holdout_split(read):
     rows = read("labels").join(read("documents").select("doc_id", "text"), "doc_id").withColumn("fail", F.col("quality") == 0)
     return Sm.holdout_split(rows, "fail", "text", 0.2, 0.3).groupBy("pool", "fail").agg(F.count("*").alias("n"))
 
 
-@query("train_val_split", "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY sha256('rx:' || doc_id), doc_id) <= greatest(1, floor(count(*) OVER () * 0.05::DOUBLE)::BIGINT) THEN 'val' ELSE 'train' END AS pool FROM documents")
+@query("train_val_split", """
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY sha256('rx:' || doc_id), doc_id) <= greatest(1, floor(count(*) OVER () * 0.05::DOUBLE)::BIGINT) THEN 'val' ELSE 'train' END AS pool
+FROM documents""")
 def train_val_split(read):
     return Sm.train_val_split(read("documents").select("doc_id"), "doc_id")
 
@@ -242,13 +305,25 @@ def source_share_cap(read):
     return Sm.cap_source_share(read("documents").select("doc_id", "source"), "source", "doc_id", 0.06)
 
 
-@query("source_concentration", "SELECT max(n)::BIGINT AS largest, sum(n)::BIGINT AS total, max(n)::DOUBLE / sum(n)::DOUBLE AS share FROM (SELECT count(*) AS n FROM documents GROUP BY source)")
+@query("source_concentration", """
+SELECT max(n)::BIGINT AS largest, sum(n)::BIGINT AS total, max(n)::DOUBLE / sum(n)::DOUBLE AS share
+FROM (SELECT count(*) AS n
+FROM documents
+GROUP BY source)""")
 def source_concentration(read):
     by = read("documents").groupBy("source").agg(F.count("*").alias("n"))
     return by.agg(F.max("n").alias("largest"), F.sum("n").alias("total"), (F.max("n").cast("double") / F.sum("n")).alias("share"))
 
 
-@query("kind_quota", "SELECT lang AS kind, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) JOIN (SELECT d.lang AS l, count(*) AS n FROM documents d JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY 1) ON l = lang AND r <= n")
+@query("kind_quota", """
+SELECT lang AS kind, doc_id
+FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r
+FROM documents)
+JOIN (SELECT d.lang AS l, count(*) AS n
+FROM documents d
+JOIN labels USING (doc_id)
+WHERE quality = 0
+GROUP BY 1) ON l = lang AND r <= n""")
 def kind_quota(read):
     d = read("documents").withColumnRenamed("lang", "kind")
     quota = d.join(read("labels").where("quality = 0"), "doc_id").groupBy("kind").agg(F.count("*").alias("n"))
@@ -263,12 +338,17 @@ def dense_sample_ids(read):
     return Sm.dense_ids(left, order, "u", 30).select("id", "conv_id", "turn")
 
 
-@query("clean_html", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '[ \t\x{3000}]+', ' ', 'g'), '\n{2,}', chr(10), 'g'), '^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}]+|[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}]+$', '', 'g') AS text FROM pages")
+@query("clean_html", r"""
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '[ \t\x{3000}]+', ' ', 'g'), '\n{2,}', chr(10), 'g'), '^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}]+|[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}]+$', '', 'g') AS text
+FROM pages""")
 def clean_html(read):
     return read("pages").select("page_id", X.clean(F.col("html")).alias("text"))
 
 
-@query("length_band_filter", f"SELECT doc_id, length(text)::BIGINT AS n FROM documents WHERE length(text) BETWEEN 40 AND 1200 AND NOT {contains_sql('text', ['password', 'AKIA'])} AND length(regexp_replace(text, '[^@]', '', 'g')) < 2")
+@query("length_band_filter", f"""
+SELECT doc_id, length(text)::BIGINT AS n
+FROM documents
+WHERE length(text) BETWEEN 40 AND 1200 AND NOT {contains_sql('text', ['password', 'AKIA'])} AND length(regexp_replace(text, '[^@]', '', 'g')) < 2""")
 def length_band_filter(read):
     bad = X.excluded_population(F.col("text"), None, ["password", "AKIA"], [], "") | (F.regexp_count("text", F.lit("@")) >= 2)
     return read("documents").where(F.length("text").between(40, 1200) & ~bad).select("doc_id", F.length("text").cast("long").alias("n"))
@@ -279,13 +359,19 @@ def relevance(read):
     return read("documents").select("doc_id", X.relevance(F.substring("text", 1, 20), F.col("text"), TERMS).alias("elder_match"))
 
 
-@query("sentence_stats", r"SELECT doc_id, n_sentences, chars::BIGINT AS n_visible, CASE WHEN n_sentences > 0 THEN chars::DOUBLE / n_sentences ELSE 0.0::DOUBLE END AS mean_sentence FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?;\n]+'), lambda s: length(regexp_replace(s, '\s', '', 'g')) > 0))::BIGINT AS n_sentences, length(regexp_replace(text, '\s', '', 'g')) AS chars FROM documents)")
+@query("sentence_stats", r"""
+SELECT doc_id, n_sentences, chars::BIGINT AS n_visible, CASE WHEN n_sentences > 0 THEN chars::DOUBLE / n_sentences ELSE 0.0::DOUBLE END AS mean_sentence
+FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?;\n]+'), lambda s: length(regexp_replace(s, '\s', '', 'g')) > 0))::BIGINT AS n_sentences, length(regexp_replace(text, '\s', '', 'g')) AS chars
+FROM documents)""")
 def sentence_stats(read):
     n, chars = F.size(X.sentences(F.col("text"), r"[.!?;\n]+")).cast("long"), X.visible_length(F.col("text")).cast("long")
     return read("documents").select("doc_id", n.alias("n_sentences"), chars.alias("n_visible")).withColumn("mean_sentence", F.when(F.col("n_sentences") > 0, F.col("n_visible").cast("double") / F.col("n_sentences")).otherwise(0.0))
 
 
-@query("key_points", r"WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.;\n]'), lambda s: trim(s)), lambda s: length(s) >= 12) AS parts FROM documents) SELECT doc_id, array_to_string(CASE WHEN len(parts) <= 6 THEN parts ELSE list_transform(list_sort(list_distinct(list_transform(range(6), lambda i: round_even(i * (len(parts) - 1) / 5.0::DOUBLE, 0)::BIGINT))), lambda i: parts[i + 1]) END, '|') AS points FROM p")
+@query("key_points", r"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.;\n]'), lambda s: trim(s)), lambda s: length(s) >= 12) AS parts
+FROM documents) SELECT doc_id, array_to_string(CASE WHEN len(parts) <= 6 THEN parts ELSE list_transform(list_sort(list_distinct(list_transform(range(6), lambda i: round_even(i * (len(parts) - 1) / 5.0::DOUBLE, 0)::BIGINT))), lambda i: parts[i + 1]) END, '|') AS points
+FROM p""")
 def key_points(read):
     return read("documents").select("doc_id", F.array_join(X.key_points(F.col("text"), pattern=r"[.;\n]"), "|").alias("points"))
 
@@ -298,7 +384,9 @@ def mask_datetime(read):
     return read("documents").select("doc_id", X.mask_datetime(F.col("text"), DATE_LATIN).alias("text"))
 
 
-PAIRS_SQL = "(SELECT u.conv_id || '-' || u.turn AS case_id, u.text AS source_text, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')"
+PAIRS_SQL = """(SELECT u.conv_id || '-' || u.turn AS case_id, u.text AS source_text, a.text AS answer
+FROM conversations u
+JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')"""
 
 
 def pairs(read) -> DataFrame:
@@ -328,7 +416,8 @@ def numbered_pairs(read) -> DataFrame:
 
 PACKED = r"regexp_replace({}, '[\s\x{{85}}\x{{A0}}\x{{0B}}]+', '', 'g')"
 DIGITS_SQL = rf"(SELECT case_id, k, source_text, answer, regexp_extract_all({PACKED.format('source_text')}, '[0-9]+(?:\.[0-9]+)?') AS s, regexp_extract_all({PACKED.format('answer')}, '[0-9]+(?:\.[0-9]+)?') AS a FROM {NUMBERED_SQL})"
-CANDIDATES_SQL = f"(SELECT case_id, k, source_text, answer, s, unnest(list_distinct(list_filter(a, lambda x: NOT list_contains(s, x)))) AS candidate_text FROM {DIGITS_SQL})"
+CANDIDATES_SQL = f"""(SELECT case_id, k, source_text, answer, s, unnest(list_distinct(list_filter(a, lambda x: NOT list_contains(s, x)))) AS candidate_text
+FROM {DIGITS_SQL})"""
 
 
 @query("digit_grounding", f"SELECT case_id, candidate_text, 'digit' AS kind, 2::BIGINT AS red_line_guess FROM {CANDIDATES_SQL}")
@@ -367,7 +456,12 @@ def lexicon_grounding(read):
     return Cd.extract_candidates(pairs(read), bench_terms(read), nfkc=False).where("kind = 'lexicon'").select("case_id", "candidate_text")
 
 
-@query("list_ordinals", r"SELECT doc_id, c AS candidate FROM (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS c FROM (SELECT doc_id, (doc_id % 4) || '. first' || chr(10) || text AS text FROM documents)) WHERE regexp_matches(text, '(?m)^\s*' || c || '[.、)]')")
+@query("list_ordinals", r"""
+SELECT doc_id, c AS candidate
+FROM (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS c
+FROM (SELECT doc_id, (doc_id % 4) || '. first' || chr(10) || text AS text
+FROM documents))
+WHERE regexp_matches(text, '(?m)^\s*' || c || '[.、)]')""")
 def list_ordinals(read):
     d = read("documents").select("doc_id", F.concat((F.col("doc_id") % 4).cast("string"), F.lit(". first\n"), "text").alias("text"))
     rows = d.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))).alias("candidate"))
@@ -414,14 +508,21 @@ def readability_score(read):
 HARD_SQL = ", ".join(f"'{w}'" for w in HARD_WORDS)
 
 
-@query("term_density", f"SELECT doc_id, n_tokens, n_terms, CASE WHEN n_tokens > 0 THEN 100.0::DOUBLE * n_terms / n_tokens ELSE 0.0::DOUBLE END AS density FROM (SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_filter(w, lambda x: x IN ({HARD_SQL})))::BIGINT AS n_terms FROM (SELECT doc_id, regexp_extract_all(text, '{WORDS}') AS w FROM documents))")
+@query("term_density", f"""
+SELECT doc_id, n_tokens, n_terms, CASE WHEN n_tokens > 0 THEN 100.0::DOUBLE * n_terms / n_tokens ELSE 0.0::DOUBLE END AS density
+FROM (SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_filter(w, lambda x: x IN ({HARD_SQL})))::BIGINT AS n_terms
+FROM (SELECT doc_id, regexp_extract_all(text, '{WORDS}') AS w
+FROM documents))""")
 def term_density(read):
     w = read("documents").select("doc_id", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("w"))
     n = w.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.filter("w", lambda x: x.isin(HARD_WORDS))).cast("long").alias("n_terms"))
     return n.withColumn("density", F.when(F.col("n_tokens") > 0, 100.0 * F.col("n_terms") / F.col("n_tokens")).otherwise(0.0))
 
 
-SCORED_SQL = f"(SELECT d.doc_id, d.lang, l.quality, 1.0::DOUBLE - len(list_filter(w, lambda x: x IN ({HARD_SQL})))::DOUBLE * 4 / greatest(len(w), 1) AS score FROM (SELECT *, regexp_extract_all(text, '{WORDS}') AS w FROM documents) d JOIN labels l USING (doc_id))"
+SCORED_SQL = f"""(SELECT d.doc_id, d.lang, l.quality, 1.0::DOUBLE - len(list_filter(w, lambda x: x IN ({HARD_SQL})))::DOUBLE * 4 / greatest(len(w), 1) AS score
+FROM (SELECT *, regexp_extract_all(text, '{WORDS}') AS w
+FROM documents) d
+JOIN labels l USING (doc_id))"""
 
 
 def scored(read) -> DataFrame:
@@ -430,44 +531,88 @@ def scored(read) -> DataFrame:
     return d.select("doc_id", "lang", "quality", (1.0 - F.size(F.filter("w", lambda x: x.isin(HARD_WORDS))).cast("double") * 4 / F.greatest(F.size("w"), F.lit(1))).alias("score"))
 
 
-@query("headroom_rollup", f"SELECT lang, (grouping(lang) = 1) AS is_total, count(*) AS n, count_if(score >= 0.9) AS passed, round({rate_sql('count_if(score >= 0.9)', 'count(*)')}, 9) AS pass_rate, count_if(score < 0.9) AS headroom, round(avg(score), 9) AS mean FROM {SCORED_SQL} GROUP BY ROLLUP (lang)")
+@query("headroom_rollup", f"""
+SELECT lang, (grouping(lang) = 1) AS is_total, count(*) AS n, count_if(score >= 0.9) AS passed, round({rate_sql('count_if(score >= 0.9)', 'count(*)')}, 9) AS pass_rate, count_if(score < 0.9) AS headroom, round(avg(score), 9) AS mean
+FROM {SCORED_SQL}
+GROUP BY ROLLUP (lang)""")
 def headroom_rollup(read):
     out = scored(read).rollup("lang").agg((F.grouping("lang") == 1).alias("is_total"), F.count("*").alias("n"), F.count_if(F.col("score") >= 0.9).alias("passed"), F.count_if(F.col("score") < 0.9).alias("headroom"), F.round(F.avg("score"), 9).alias("mean"))
     return out.withColumn("pass_rate", F.round(St.rate(F.col("passed"), F.col("n")), 9))
 
 
-@query("positional_quantiles", "SELECT lang, count(*) AS n, list_sort(list(n_chars))[least(floor(count(*) * 0.5::DOUBLE), count(*) - 1)::BIGINT + 1] AS median, list_sort(list(n_chars))[least(floor(count(*) * 0.9::DOUBLE), count(*) - 1)::BIGINT + 1] AS p90 FROM documents GROUP BY lang")
+@query("positional_quantiles", """
+SELECT lang, count(*) AS n, list_sort(list(n_chars))[least(floor(count(*) * 0.5::DOUBLE), count(*) - 1)::BIGINT + 1] AS median, list_sort(list(n_chars))[least(floor(count(*) * 0.9::DOUBLE), count(*) - 1)::BIGINT + 1] AS p90
+FROM documents
+GROUP BY lang""")
 def positional_quantiles(read):
     return Ev.positional_quantile(read("documents"), ["lang"], "n_chars", {"median": 0.5, "p90": 0.9}).withColumn("n", F.col("n").cast("long"))
 
 
-RATES_SQL = f"slice, tp, fp, fn, tn, round({rate_sql('fn', '(tp + fn)')}, 9) AS miss_rate, round({rate_sql('fp', '(fp + tn)')}, 9) AS false_alarm, round(CASE WHEN tp + fn > 0 THEN 1 - {wilson_sql('tp', '(tp + fn)', '-')} ELSE 1.0::DOUBLE END, 9) AS miss_rate_upper"
-FLAG_ROWS_SQL = "(SELECT l.doc_id, d.lang, l.quality = 0 AS label, contains(d.text, '!!') OR d.n_chars < 300 AS flag FROM labels l JOIN documents d USING (doc_id))"
+RATES_SQL = f"""slice, tp, fp, fn, tn, round({rate_sql('fn', '(tp + fn)')}, 9) AS miss_rate, round({rate_sql('fp', '(fp + tn)')}, 9) AS false_alarm, round(CASE WHEN tp + fn > 0 THEN 1 - {wilson_sql('tp', '(tp + fn)', '-')} ELSE 1.0::DOUBLE END, 9) AS miss_rate_upper"""
+FLAG_ROWS_SQL = """(SELECT l.doc_id, d.lang, l.quality = 0 AS label, contains(d.text, '!!') OR d.n_chars < 300 AS flag
+FROM labels l
+JOIN documents d USING (doc_id))"""
 
 
 def flag_rows(read) -> DataFrame:
     return read("labels").join(read("documents").select("doc_id", "lang", "text", "n_chars"), "doc_id").select("doc_id", "lang", (F.col("quality") == 0).alias("label"), (F.col("text").contains("!!") | (F.col("n_chars") < 300)).alias("flag"))
 
 
-@query("confusion_slices", f"SELECT {RATES_SQL} FROM (SELECT slice, count_if(label AND flag) AS tp, count_if(NOT label AND flag) AS fp, count_if(label AND NOT flag) AS fn, count_if(NOT label AND NOT flag) AS tn FROM (SELECT 'overall' AS slice, label, flag FROM {FLAG_ROWS_SQL} UNION ALL SELECT 'lang:' || lang, label, flag FROM {FLAG_ROWS_SQL} UNION ALL SELECT 'negatives', label, flag FROM {FLAG_ROWS_SQL} WHERE NOT label) GROUP BY slice)")
+@query("confusion_slices", f"""
+SELECT {RATES_SQL}
+FROM (SELECT slice, count_if(label AND flag) AS tp, count_if(NOT label AND flag) AS fp, count_if(label AND NOT flag) AS fn, count_if(NOT label AND NOT flag) AS tn
+FROM (SELECT 'overall' AS slice, label, flag
+FROM {FLAG_ROWS_SQL}
+UNION ALL SELECT 'lang:' || lang, label, flag
+FROM {FLAG_ROWS_SQL}
+UNION ALL SELECT 'negatives', label, flag
+FROM {FLAG_ROWS_SQL}
+WHERE NOT label)
+GROUP BY slice)""")
 def confusion_slices(read):
     slices = {"overall": F.lit(True), "negatives": ~F.col("label")} | {f"lang:{x}": F.col("lang") == x for x in ("en", "de", "fr", "es")}
     out = Ev.confusion_slices(flag_rows(read), F.col("label"), F.col("flag"), slices)
     return out.select("slice", "tp", "fp", "fn", "tn", r9("miss_rate"), r9("false_alarm"), r9("miss_rate_upper"))
 
 
-@query("kappa", f"SELECT n, round(agreement, 9) AS agreement, round(CASE WHEN n = 0 THEN 0 WHEN pe = 1 THEN 1 ELSE (agreement - pe) / (1 - pe) END, 9) AS kappa FROM (SELECT n, (tp + tn)::DOUBLE / n AS agreement, ((tp + fp) * (tp + fn) + (tn + fp) * (tn + fn)) / (n::DOUBLE * n::DOUBLE) AS pe FROM (SELECT count(*) AS n, count_if(label AND flag) AS tp, count_if(NOT label AND flag) AS fp, count_if(label AND NOT flag) AS fn, count_if(NOT label AND NOT flag) AS tn FROM {FLAG_ROWS_SQL}))")
+@query("kappa", f"""
+SELECT n, round(agreement, 9) AS agreement, round(CASE WHEN n = 0 THEN 0 WHEN pe = 1 THEN 1 ELSE (agreement - pe) / (1 - pe) END, 9) AS kappa
+FROM (SELECT n, (tp + tn)::DOUBLE / n AS agreement, ((tp + fp) * (tp + fn) + (tn + fp) * (tn + fn)) / (n::DOUBLE * n::DOUBLE) AS pe
+FROM (SELECT count(*) AS n, count_if(label AND flag) AS tp, count_if(NOT label AND flag) AS fp, count_if(label AND NOT flag) AS fn, count_if(NOT label AND NOT flag) AS tn
+FROM {FLAG_ROWS_SQL}))""")
 def kappa(read):
     rows = flag_rows(read)
     return Ev.with_rates(rows.agg(*Ev.confusion_counts(F.col("label"), F.col("flag")))).select("n", r9("agreement"), r9("kappa"))
 
 
-@query("mixed_groups", "SELECT conv_id, all_correct, n AS rows FROM (SELECT conv_id, count(DISTINCT label) AS k, bool_and(label = flag) AS all_correct, count(*) AS n FROM (SELECT conv_id, length(text) > 200 AS label, contains(text, '.') AND length(text) > 180 AS flag FROM conversations) GROUP BY conv_id) WHERE k = 2")
+@query("mixed_groups", """
+SELECT conv_id, all_correct, n AS rows
+FROM (SELECT conv_id, count(DISTINCT label) AS k, bool_and(label = flag) AS all_correct, count(*) AS n
+FROM (SELECT conv_id, length(text) > 200 AS label, contains(text, '.') AND length(text) > 180 AS flag
+FROM conversations)
+GROUP BY conv_id)
+WHERE k = 2""")
 def mixed_groups(read):
     return Ev.mixed_groups(read("conversations").withColumn("long", F.length("text")), "conv_id", F.col("long") > 200, F.col("text").contains(".") & (F.col("long") > 180)).select("conv_id", "all_correct", "rows")
 
 
-@query("miss_policies", "WITH g AS (SELECT doc_id, quality = 1 AS gold FROM labels), p AS (SELECT doc_id, toxic = 0 AS pred FROM labels WHERE doc_id % 4 != 0) SELECT (SELECT count(*) FROM g LEFT JOIN p USING (doc_id) WHERE pred IS NULL) AS missing, (SELECT count(*) FROM g JOIN p USING (doc_id) WHERE gold = pred) AS agree_evaluable, (SELECT count(*) FROM g JOIN p USING (doc_id)) AS evaluable, (SELECT count(*) FROM g LEFT JOIN p USING (doc_id) WHERE coalesce(gold = pred, false)) AS agree_all, (SELECT count(*) FROM g) AS all_rows")
+@query("miss_policies", """
+WITH g AS (SELECT doc_id, quality = 1 AS gold
+FROM labels), p AS (SELECT doc_id, toxic = 0 AS pred
+FROM labels
+WHERE doc_id % 4 != 0) SELECT (SELECT count(*)
+FROM g
+LEFT JOIN p USING (doc_id)
+WHERE pred IS NULL) AS missing, (SELECT count(*)
+FROM g
+JOIN p USING (doc_id)
+WHERE gold = pred) AS agree_evaluable, (SELECT count(*)
+FROM g
+JOIN p USING (doc_id)) AS evaluable, (SELECT count(*)
+FROM g
+LEFT JOIN p USING (doc_id)
+WHERE coalesce(gold = pred, false)) AS agree_all, (SELECT count(*)
+FROM g) AS all_rows""")
 def miss_policies(read):
     gold = read("labels").select("doc_id", (F.col("quality") == 1).alias("gold"))
     pred = read("labels").where("doc_id % 4 != 0").select("doc_id", (F.col("toxic") == 0).alias("pred"))
@@ -476,7 +621,12 @@ def miss_policies(read):
     return a.join(b)
 
 
-@query("array_position_join", "SELECT conv_id, pos, gold, pred FROM (SELECT conv_id, unnest(range(len(g)))::BIGINT AS pos, unnest(g) AS gold, unnest(list_transform(range(len(g)), lambda i: coalesce(p[i + 1], false))) AS pred FROM (SELECT conv_id, list(length(text) > 150 ORDER BY turn) AS g, list(contains(text, 'a') ORDER BY turn) FILTER (turn < 3) AS p FROM conversations GROUP BY conv_id HAVING count(*) FILTER (turn < 3) > 0))")
+@query("array_position_join", """
+SELECT conv_id, pos, gold, pred
+FROM (SELECT conv_id, unnest(range(len(g)))::BIGINT AS pos, unnest(g) AS gold, unnest(list_transform(range(len(g)), lambda i: coalesce(p[i + 1], false))) AS pred
+FROM (SELECT conv_id, list(length(text) > 150 ORDER BY turn) AS g, list(contains(text, 'a') ORDER BY turn) FILTER (turn < 3) AS p
+FROM conversations
+GROUP BY conv_id HAVING count(*) FILTER (turn < 3) > 0))""")
 def array_position_join(read):
     c = read("conversations")
     of = lambda rows, value: F.transform(F.array_sort(F.collect_list(F.struct("turn", value.alias("v")))), lambda x: x["v"])
@@ -488,14 +638,20 @@ def array_position_join(read):
 GRID = St.need_grid()
 
 
-@query("positives_needed", f"WITH m AS (SELECT unnest([0.0, 0.01, 0.02, 0.04, 0.05, 0.2])::DOUBLE AS miss), g AS (SELECT unnest({GRID})::BIGINT AS n) SELECT miss, coalesce((SELECT min(n) FROM g WHERE 1 - {wilson_sql('round_even(n * (1 - miss), 0)', 'n', '-')} <= 0.05), -1) AS needed FROM m")
+@query("positives_needed", f"""
+WITH m AS (SELECT unnest([0.0, 0.01, 0.02, 0.04, 0.05, 0.2])::DOUBLE AS miss), g AS (SELECT unnest({GRID})::BIGINT AS n) SELECT miss, coalesce((SELECT min(n)
+FROM g
+WHERE 1 - {wilson_sql('round_even(n * (1 - miss), 0)', 'n', '-')} <= 0.05), -1) AS needed
+FROM m""")
 def positives_needed(read):
     spark = read("region").sparkSession
     rows = spark.createDataFrame([(x,) for x in (0.0, 0.01, 0.02, 0.04, 0.05, 0.2)], "miss double")
     return rows.select("miss", F.coalesce(St.positives_needed(F.col("miss"), F.lit(0.05)).cast("long"), F.lit(-1).cast("long")).alias("needed"))
 
 
-PROBE_ROWS_SQL = "(SELECT doc_id, quality = 0 AS label, contains(text, '!!') AS shouting, n_chars < 300 AS short, contains(text, 'http') AS linked FROM labels JOIN documents USING (doc_id))"
+PROBE_ROWS_SQL = """(SELECT doc_id, quality = 0 AS label, contains(text, '!!') AS shouting, n_chars < 300 AS short, contains(text, 'http') AS linked
+FROM labels
+JOIN documents USING (doc_id))"""
 
 
 @query("probe_youden", "SELECT probe, tp, fp, fn, tn, round(abs(tpr - fpr), 9) AS j FROM (SELECT probe, tp, fp, fn, tn, " + rate_sql("tp", "(tp + fn)") + " AS tpr, " + rate_sql("fp", "(fp + tn)") + " AS fpr FROM (SELECT probe, count_if(label AND hit) AS tp, count_if(NOT label AND hit) AS fp, count_if(label AND NOT hit) AS fn, count_if(NOT label AND NOT hit) AS tn FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS probe, label, {p} AS hit FROM {PROBE_ROWS_SQL}" for p in ("shouting", "short", "linked")) + ") GROUP BY probe))")
@@ -524,7 +680,10 @@ def shortcut_probes(read):
 
 
 SWAP_SQL = "(('0x' || right(sha256('ab:' || conv_id || ':' || judge), 1))::BIGINT % 2 = 1)"
-VOTES_SQL = f"(SELECT conv_id, judge, CASE WHEN swapped AND raw IN ('A', 'B') THEN translate(raw, 'AB', 'BA') ELSE raw END AS vote FROM (SELECT conv_id, judge, {SWAP_SQL} AS swapped, CASE (length(text) + judge) % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'tie' ELSE 'unsure' END AS raw FROM conversations, unnest(range(3)) j(judge) WHERE turn = 1))"
+VOTES_SQL = f"""(SELECT conv_id, judge, CASE WHEN swapped AND raw IN ('A', 'B') THEN translate(raw, 'AB', 'BA') ELSE raw END AS vote
+FROM (SELECT conv_id, judge, {SWAP_SQL} AS swapped, CASE (length(text) + judge) % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'tie' ELSE 'unsure' END AS raw
+FROM conversations, unnest(range(3)) j(judge)
+WHERE turn = 1))"""
 
 
 def votes(read) -> DataFrame:
@@ -539,51 +698,86 @@ def ab_votes(read):
     return Ev.vote_tallies(votes(read), ["overall"])
 
 
-@query("ab_majority", f"SELECT winner, count(*) AS cases FROM (SELECT conv_id, CASE WHEN count_if(vote = 'A') > count_if(vote = 'B') THEN 'A' WHEN count_if(vote = 'B') > count_if(vote = 'A') THEN 'B' ELSE 'tie' END AS winner FROM {VOTES_SQL} GROUP BY conv_id) GROUP BY winner")
+@query("ab_majority", f"""
+SELECT winner, count(*) AS cases
+FROM (SELECT conv_id, CASE WHEN count_if(vote = 'A') > count_if(vote = 'B') THEN 'A' WHEN count_if(vote = 'B') > count_if(vote = 'A') THEN 'B' ELSE 'tie' END AS winner
+FROM {VOTES_SQL}
+GROUP BY conv_id)
+GROUP BY winner""")
 def ab_majority(read):
     return Ev.case_majority(votes(read), "conv_id", "overall")
 
 
-@query("budget_cutoff", "SELECT event_id, user_id, round(spent, 6) AS spent_before, spent <= 500 AS submitted FROM (SELECT event_id, user_id, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS spent FROM events)")
+@query("budget_cutoff", """
+SELECT event_id, user_id, round(spent, 6) AS spent_before, spent <= 500 AS submitted
+FROM (SELECT event_id, user_id, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS spent
+FROM events)""")
 def budget_cutoff(read):
     return Sm.budget_cutoff(read("events"), F.col("value"), [F.col("event_id")], 500.0, by=["user_id"]).select("event_id", "user_id", F.round("spent_before", 6).alias("spent_before"), "submitted")
 
 
-@query("token_cost", "SELECT event_type, round(sum((event_id % 97 * 9.5::DOUBLE + event_id % 31 * 1.0::DOUBLE) / 1000000.0::DOUBLE), 9) AS cost FROM events GROUP BY event_type")
+@query("token_cost", """
+SELECT event_type, round(sum((event_id % 97 * 9.5::DOUBLE + event_id % 31 * 1.0::DOUBLE) / 1000000.0::DOUBLE), 9) AS cost
+FROM events
+GROUP BY event_type""")
 def token_cost(read):
     return read("events").groupBy("event_type").agg(F.round(F.sum(Ev.cost(F.col("event_id") % 31, F.col("event_id") % 97)), 9).alias("cost"))
 
 
-@query("train_set_preflight", "SELECT n, positives, round(positives::DOUBLE / n, 9) AS share, CASE WHEN positives = 0 THEN 'none' WHEN positives::DOUBLE / n <= 0.05 THEN 'low' WHEN positives::DOUBLE / n <= 0.5 THEN 'normal' ELSE 'high' END AS band FROM (SELECT count(*) AS n, count_if(toxic = 1) AS positives FROM labels)")
+@query("train_set_preflight", """
+SELECT n, positives, round(positives::DOUBLE / n, 9) AS share, CASE WHEN positives = 0 THEN 'none' WHEN positives::DOUBLE / n <= 0.05 THEN 'low' WHEN positives::DOUBLE / n <= 0.5 THEN 'normal' ELSE 'high' END AS band
+FROM (SELECT count(*) AS n, count_if(toxic = 1) AS positives
+FROM labels)""")
 def train_set_preflight(read):
     return Ev.train_set_preflight(read("labels"), F.col("toxic") == 1).select("n", "positives", r9("share"), "band")
 
 
-@query("json_strict_bool", "SELECT event_id, k, coalesce(k = 87, false) AS flagged FROM (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+@query("json_strict_bool", """
+SELECT event_id, k, coalesce(k = 87, false) AS flagged
+FROM (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+FROM events)""")
 def json_strict_bool(read):
     p = X.json_object(F.concat(F.lit("answer: "), "props", F.lit(" done")), "k BIGINT")
     return read("events").select("event_id", p["k"].alias("k")).withColumn("flagged", X.strict_true(F.col("k") == 87))
 
 
-@query("target_roundtrip", "SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS keep, '' AS explain FROM (SELECT doc_id, w[1:3] AS list_distinct_ordered FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{4,}') AS w FROM documents))")
+@query("target_roundtrip", """
+SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS keep, '' AS explain
+FROM (SELECT doc_id, w[1:3] AS list_distinct_ordered
+FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{4,}') AS w
+FROM documents))""")
 def target_roundtrip(read):
     words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)), 1, 3)
     line = X.format_target(words, F.array().cast("array<string>"))
     return read("documents").select("doc_id", X.parse_target(line).alias("p")).select("doc_id", F.array_join("p.keep", "|").alias("keep"), F.array_join("p.explain", "|").alias("explain"))
 
 
-@query("sft_messages", f"SELECT case_id AS id, 'user: ' || source_text || chr(10) || 'assistant: ' || answer AS prompt, CASE WHEN row_number() OVER (ORDER BY sha256('rx:' || case_id), case_id) <= greatest(1, floor(count(*) OVER () * 0.05::DOUBLE)::BIGINT) THEN 'val' ELSE 'train' END AS pool FROM {PAIRS_SQL}")
+@query("sft_messages", f"""
+SELECT case_id AS id, 'user: ' || source_text || chr(10) || 'assistant: ' || answer AS prompt, CASE WHEN row_number() OVER (ORDER BY sha256('rx:' || case_id), case_id) <= greatest(1, floor(count(*) OVER () * 0.05::DOUBLE)::BIGINT) THEN 'val' ELSE 'train' END AS pool
+FROM {PAIRS_SQL}""")
 def sft_messages(read):
     rows = pairs(read).select(F.col("case_id").alias("id"), F.concat(F.lit("user: "), "source_text", F.lit("\nassistant: "), "answer").alias("prompt"))
     return Sm.train_val_split(rows, "id").select("id", "prompt", "pool")
 
 
-@query("shard_packets", "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 14)::BIGINT AS shard, ((row_number() OVER (ORDER BY doc_id) - 1) % 14)::BIGINT AS position FROM documents")
+@query("shard_packets", """
+SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 14)::BIGINT AS shard, ((row_number() OVER (ORDER BY doc_id) - 1) % 14)::BIGINT AS position
+FROM documents""")
 def shard_packets(read):
     return Sm.shards(read("documents").select("doc_id"), [F.col("doc_id")], 14)
 
 
-@query("case_problems", "SELECT id, rule, detail FROM (SELECT doc_id::VARCHAR AS id, 'short text' AS rule, n_chars::VARCHAR AS detail FROM documents WHERE n_chars < 60 UNION ALL SELECT doc_id::VARCHAR, 'language', lang FROM documents WHERE lang NOT IN ('en', 'de', 'fr') UNION ALL SELECT doc_id::VARCHAR, 'count is off', '' FROM documents WHERE length(text) != n_chars)")
+@query("case_problems", """
+SELECT id, rule, detail
+FROM (SELECT doc_id::VARCHAR AS id, 'short text' AS rule, n_chars::VARCHAR AS detail
+FROM documents
+WHERE n_chars < 60
+UNION ALL SELECT doc_id::VARCHAR, 'language', lang
+FROM documents
+WHERE lang NOT IN ('en', 'de', 'fr')
+UNION ALL SELECT doc_id::VARCHAR, 'count is off', ''
+FROM documents
+WHERE length(text) != n_chars)""")
 def case_problems(read):
     return Ck.problems(read("documents"), "doc_id", {"short text": (F.col("n_chars") < 60, F.col("n_chars")), "language": (~F.col("lang").isin("en", "de", "fr"), F.col("lang")), "count is off": (F.length("text") != F.col("n_chars"), None)})
 
@@ -600,14 +794,34 @@ def fail_rates(read):
     return Ck.fail_rates(labels, of, [*BUCKET_SHARES, "none"]).select("bucket", "n", "fails", r9("fail_rate"), "enough")
 
 
-@query("vocabulary_sets", "WITH f AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS term FROM documents WHERE lang = 'en'), a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS term FROM documents WHERE lang = 'de'), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS term FROM benchmark) SELECT term FROM a WHERE term NOT IN (SELECT term FROM f) AND term NOT IN (SELECT term FROM b) UNION SELECT term FROM b WHERE term IN (SELECT term FROM f) AND term IN (SELECT term FROM a)")
+@query("vocabulary_sets", """
+WITH f AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS term
+FROM documents
+WHERE lang = 'en'), a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS term
+FROM documents
+WHERE lang = 'de'), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS term
+FROM benchmark) SELECT term
+FROM a
+WHERE term NOT IN (SELECT term
+FROM f) AND term NOT IN (SELECT term
+FROM b) UNION SELECT term
+FROM b
+WHERE term IN (SELECT term
+FROM f) AND term IN (SELECT term
+FROM a)""")
 def vocabulary_sets(read):
     of = lambda d: d.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))).alias("term"))
     en, de, b = of(read("documents").where("lang = 'en'")), of(read("documents").where("lang = 'de'")), of(read("benchmark"))
     return de.subtract(en).subtract(b).union(b.intersect(en).intersect(de))
 
 
-@query("section_forward_fill", "WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS line, unnest(ls) AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), s AS (SELECT *, last_value(CASE WHEN length(value) > 60 THEN left(value, 10) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS section FROM l) SELECT doc_id, section, count(*) AS n FROM s GROUP BY ALL")
+@query("section_forward_fill", """
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS line, unnest(ls) AS value
+FROM (SELECT doc_id, string_split(text, chr(10)) AS ls
+FROM documents)), s AS (SELECT *, last_value(CASE WHEN length(value) > 60 THEN left(value, 10) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS section
+FROM l) SELECT doc_id, section, count(*) AS n
+FROM s
+GROUP BY ALL""")
 def section_forward_fill(read):
     lines = read("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
     head = F.when(F.length("value") > 60, F.left("value", F.lit(10)))
@@ -635,17 +849,29 @@ def snap_phrases(read):
     return d.select("doc_id", phrase.alias("phrase"), snap(phrase, F.col("text")).alias("snapped"))
 
 
-@query("content_hash", "SELECT sha256(string_agg(h, '' ORDER BY doc_id)) AS content_hash, count(*) AS n_rows FROM (SELECT doc_id, sha256(doc_id || chr(31) || quality || chr(31) || toxic) AS h FROM labels)")
+@query("content_hash", """
+SELECT sha256(string_agg(h, '' ORDER BY doc_id)) AS content_hash, count(*) AS n_rows
+FROM (SELECT doc_id, sha256(doc_id || chr(31) || quality || chr(31) || toxic) AS h
+FROM labels)""")
 def content_hash(read):
     return Hs.content_hash(read("labels"), "doc_id", ["doc_id", "quality", "toxic"])
 
 
-@query("digest_mod", "SELECT doc_id, (list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256(doc_id::VARCHAR), ''), lambda c: ('0x' || c)::BIGINT)), lambda a, c: (a * 16 + c) % 3))::BIGINT AS pick FROM documents")
+@query("digest_mod", """
+SELECT doc_id, (list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256(doc_id::VARCHAR), ''), lambda c: ('0x' || c)::BIGINT)), lambda a, c: (a * 16 + c) % 3))::BIGINT AS pick
+FROM documents""")
 def digest_mod(read):
     return read("documents").select("doc_id", Hs.digest_mod(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), 3).alias("pick"))
 
 
-@query("kpi_table", f"SELECT 'split' AS metric_id, pool AS field, n::DOUBLE AS value FROM (SELECT pool, count(*) AS n FROM {POOL_SQL} GROUP BY pool) UNION ALL SELECT 'labels', 'positives', count_if(toxic = 1)::DOUBLE FROM labels UNION ALL SELECT 'old', 'kept', 1.0::DOUBLE")
+@query("kpi_table", f"""
+SELECT 'split' AS metric_id, pool AS field, n::DOUBLE AS value
+FROM (SELECT pool, count(*) AS n
+FROM {POOL_SQL}
+GROUP BY pool)
+UNION ALL SELECT 'labels', 'positives', count_if(toxic = 1)::DOUBLE
+FROM labels
+UNION ALL SELECT 'old', 'kept', 1.0::DOUBLE""")
 def kpi_table(read):
     old = read("region").sparkSession.createDataFrame([("old", "kept", 1.0), ("labels", "positives", -1.0)], "metric_id string, field string, value double")
     counts = pools(read).groupBy("pool").agg(F.count("*").cast("double").alias("value")).select(F.lit("split").alias("metric_id"), F.col("pool").alias("field"), "value")
@@ -658,13 +884,23 @@ def mock_outputs(read):
     return read("documents").select("doc_id", X.mock_output(F.col("text"), F.col("doc_id").cast("string"), pattern=r"[.;\n]").alias("output"))
 
 
-@query("slot_replacement", "WITH s AS (SELECT lang, doc_id AS slot, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents WHERE n_chars < 200), p AS (SELECT lang, doc_id AS key, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents WHERE n_chars BETWEEN 2000 AND 2500) SELECT s.lang, slot, coalesce(key, -1) AS key FROM s LEFT JOIN p ON s.lang = p.lang AND s.k = p.k")
+@query("slot_replacement", """
+WITH s AS (SELECT lang, doc_id AS slot, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k
+FROM documents
+WHERE n_chars < 200), p AS (SELECT lang, doc_id AS key, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k
+FROM documents
+WHERE n_chars BETWEEN 2000 AND 2500) SELECT s.lang, slot, coalesce(key, -1) AS key
+FROM s
+LEFT JOIN p ON s.lang = p.lang AND s.k = p.k""")
 def slot_replacement(read):
     d = read("documents")
     return Sm.replace_slots(d.where("n_chars < 200").select("lang", F.col("doc_id").alias("slot")), d.where("n_chars BETWEEN 2000 AND 2500").select("lang", F.col("doc_id").alias("key")), "lang", [F.col("key")]).na.fill(-1, ["key"])
 
 
-@query("event_windows", "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+@query("event_windows", """
+SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total
+FROM events
+GROUP BY ALL""")
 def event_windows(read):
     from ..streaming.resume import windowed_counts
 
