@@ -235,11 +235,11 @@ def within_bound(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 def open_groups(docs: DataFrame, queries: DataFrame, members: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Verified links (a, b) between query and member classes.
 
-    queries, members: (g, digest, n, doc). The first link of a query in each block of a group is enough.
+    queries, members: (g, digest, n, doc); members of groups that no query asks are left out. The first link of a query in each block of a group is enough.
     """
     sizes = members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
     asked = queries.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("salts"))
-    plan = asked.join(sizes, "g")
+    plan = saved(asked.join(sizes, "g"), "plan")  # a join of two tables by the group alone, so that Spark can split a large group
     hashed = F.xxhash64("digest")
     m = members.join(plan, "g").select("g", "doc", F.pmod(hashed, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "digest")
     q = queries.join(plan, "g").select("g", "doc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(hashed, "salts").cast("int").alias("salt"), F.lit(1).alias("role"), "digest")
@@ -350,7 +350,7 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ask = saved(small.select("g", "digest", "n", "doc").distinct().unionByName(ask.where(F.col("g_size") > SMALL_GROUP).select("g", "digest", "n", "doc")), "asked")
 
     # 3. open
-    more = saved(open_groups(docs, ask, everyone.join(ask.select("g").distinct(), "g", "left_semi"), id_col, text_col, k, percent), "links")
+    more = saved(open_groups(docs, ask, everyone, id_col, text_col, k, percent), "links")
     final = components(links.unionByName(more))
     named = classes.join(final.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "n", "doc", F.coalesce("comp", "digest").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
