@@ -24,6 +24,8 @@ operator's output columns replace input columns of the same names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,8 +103,20 @@ def _length_class(n: str) -> str:
 
 
 def _candidates(text: Column) -> Column:
-    """Candidate tokens of a text that mix digits and letters, in order (with the others, as NULL p)."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    """Candidate tokens of a text, in order; none of a text without a digit or a long run, as only tokens that mix digits and letters have a p."""
+    return F.when(text.rlike("[0-9]") & text.rlike("[A-Za-z0-9+/_-]{20}"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(_none())
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _may_match(kind: str, text: Column) -> Column:
+    """False where plain substrings rule a base kind out."""
+    if kind == "access":
+        return text.contains("AKIA")
+    low = F.lower(text)
+    return reduce(Column.__or__, [low.contains(w) for w in ("passw", "secret", "token", "api")]) if kind == "assign" else F.lit(True)
 
 
 MIXED = "(t RLIKE '[0-9]' AND t RLIKE '[A-Za-z]')"
@@ -135,8 +149,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rate: float = 0.05) ->
     kinds = len(BASE_KINDS) + 1
     own = ["secrets", "__text", "__tokens", "__p"] + [f"__{x}{i}" for x in "mgvls" for i in range(kinds)]
     out = without(docs, *own).withColumn("__text", text)
-    for i, (_, pattern, group, _) in enumerate(BASE_KINDS):
-        out = out.withColumn(f"__m{i}", F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)))
+    for i, (kind, pattern, group, _) in enumerate(BASE_KINDS):
+        out = out.withColumn(f"__m{i}", F.when(_may_match(kind, F.col("__text")), F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))).otherwise(_none()))
         out = out.withColumn(f"__g{i}", F.when(F.size(f"__m{i}") > 0, F.split("__text", pattern, -1)))
         out = out.withColumn(f"__v{i}", F.when(F.size(f"__m{i}") > 0, F.regexp_extract_all("__text", F.lit(pattern), F.lit(group))))
     out = out.withColumn("__tokens", _candidates(F.col("__text")))
