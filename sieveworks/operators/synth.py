@@ -232,7 +232,7 @@ NEGATIVES = "case_id string, source_text string, flavor string, answer string, c
 
 
 def injection_negatives(cases: DataFrame, spec: SynthSpec, terms: list[str], holdout: bool = False) -> DataFrame:
-    """Negatives of pass cases in the words of the positives: grounded entity, grounded number, equivalent form."""
+    """Negatives of pass cases in the words of the positives: grounded entities, and a number in its other spelling or, where there is none, as it stands."""
     ordered = sorted({t for t in map(normal, terms) if spec.druglike(t)}, key=spec.druglike_order)
     shared = cases.sparkSession.sparkContext.broadcast((spec, ordered))
 
@@ -243,7 +243,9 @@ def injection_negatives(cases: DataFrame, spec: SynthSpec, terms: list[str], hol
             rows = []
             for case_id, source, answer in batch.itertuples(index=False):
                 text = (case_id, source or "", answer or "")
-                for flavor, found in (("grounded", grounded_entity(own, words, *text)), ("grounded_number", grounded_number(own, *text, holdout)), ("equivalent", equivalent_form(own, *text, holdout))):
+                other = list(equivalent_form(own, *text, holdout))
+                as_is = [] if other else grounded_number(own, *text, holdout)
+                for flavor, found in (("grounded", grounded_entity(own, words, *text)), ("equivalent", other), ("grounded_number", as_is)):
                     rows += [{**r, "case_id": case_id, "source_text": source, "flavor": flavor, "label": False} for r in found]
             yield pd.DataFrame(rows, columns=names)
 

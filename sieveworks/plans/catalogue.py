@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as Hs
 from ..functions import stats as St
 from ..functions import text as X
-from ..functions.lexical import Lexicon, readability, snap
+from ..functions.lexical import Lexicon, snap
 from ..operators import candidates as Cd
 from ..operators import checks as Ck
 from ..operators import evaluate as Ev
@@ -499,12 +499,6 @@ def uncertain_pool(read):
 LEXICON = Lexicon(chars=frozenset(), terms=frozenset(["tion", "tionally", "eau", "lich", "ción"]), units=frozenset(["kg", "the"]), common=frozenset(["of", "and"]))
 
 
-@query("readability_score")
-def readability_score(read):
-    d = spread(read("documents"))
-    return d.select("doc_id", readability(d.sparkSession, F.col("text"), LEXICON, failures=False).alias("s")).select("doc_id", "s.n_scored", "s.strict", "s.lenient", "s.glossed", "s.term_density", "s.n_chars", "s.n_sentences", "s.mean_sentence")
-
-
 HARD_SQL = ", ".join(f"'{w}'" for w in HARD_WORDS)
 
 
@@ -831,12 +825,54 @@ def section_forward_fill(read):
 SPEC = Sy.SynthSpec(categories={"tion": ("Alphatin", "Betatin", "Gammatin"), "ing": ("Deltol", "Epsilol")}, default=("Zetan", "Etan"), markers=("tion", "ing", "lich"), number_markers=("the ", "der "), templates=("（补充一句：{names}。）", "（这类：{names}。）", "（顺带说一句，{names}。）"), phrases=("每3天一次", "一天吃2次", "至少2小时", "每半年一次", "不超过7天", "隔4小时以上", "连服5天后", "不超过2片"))
 
 
-@query("synth_edits")
+def digest_sql(text: str, k: int) -> str:
+    """The whole SHA-256 of a text modulo k."""
+    return f"(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256({text}), ''), lambda c: ('0x' || c)::BIGINT)), lambda a, c: (a * 16 + c) % {k}))"
+
+
+def pick_sql(items: list[str], at: str) -> str:
+    return "CASE " + at + " " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(items)) + " END"
+
+
+#: The words that training edits plant: all of a group but its last, which is held out.
+PLANTED_SQL = "CASE category WHEN 'tion' THEN ['Alphatin', 'Betatin'] WHEN 'ing' THEN ['Deltol'] ELSE ['Zetan'] END"
+#: The phrases of training and the numbers in each.
+PHRASES_SQL = "(VALUES (0, '每3天一次', ['3', '一次']), (1, '一天吃2次', ['2', '一天']), (2, '至少2小时', ['2']), (3, '每半年一次', ['半年', '一次']), (4, '不超过7天', ['7'])) f(i, phrase, vals)"
+TIGHT = "regexp_replace({}, '[\\s\\x{{85}}\\x{{A0}}\\x{{0B}}]+', '', 'g')"
+SYNTH_SQL = f"""
+WITH p AS (SELECT *, string_split(regexp_replace(source_text, '(tion|lich|ing)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM {PAIRS_SQL}),
+m AS (SELECT case_id, source_text, answer, k, length(array_to_string(parts[1:k - 1], '')) AS start, parts[k] AS marker FROM (SELECT *, unnest(range(2, len(parts) + 1, 2)) AS k FROM p)),
+c AS (SELECT *, substr(source_text, greatest(0, start - 15) + 1, start + length(marker) - greatest(0, start - 15)) AS context FROM m),
+g AS (SELECT *, CASE WHEN contains(context, 'tion') THEN 'tion' WHEN contains(context, 'ing') THEN 'ing' ELSE '' END AS category FROM c),
+t AS (SELECT case_id, any_value(source_text) AS source_text, any_value(answer) AS answer, category, min(k) AS k FROM g GROUP BY case_id, category),
+e AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY k) - 1 AS i, {PLANTED_SQL} AS names FROM t),
+entity AS (
+    SELECT case_id AS source_case_id, case_id || '-synth' || CASE WHEN i > 0 THEN (i + 1)::VARCHAR ELSE '' END AS case_id, source_text, rtrim(answer, chr(10) || ' ') || chr(10) || chr(10) ||
+           replace({pick_sql(list(SPEC.templates), digest_sql("case_id || ':' || i", 3))}, '{{names}}', array_to_string(names, '、')) AS answer, names AS vals, 0 AS red_line_guess
+    FROM e),
+first AS (SELECT *, {TIGHT.format('source_text')} AS src, {TIGHT.format('answer')} AS ans, {digest_sql("'numeric:' || case_id", 5)} AS first FROM {PAIRS_SQL} WHERE contains(source_text, 'the ') OR contains(source_text, 'der ')),
+found AS (SELECT case_id, source_text, answer, ans, arg_min(phrase, (i - first + 5) % 5) AS phrase, arg_min(vals, (i - first + 5) % 5) AS vals FROM first, {PHRASES_SQL} WHERE len(list_filter(vals, lambda v: contains(src, v))) = 0 GROUP BY ALL),
+num AS (
+    SELECT case_id AS source_case_id, case_id || '-synthnum' AS case_id, source_text, rtrim(answer, chr(10) || ' ') || chr(10) || chr(10) || '（补充一句：' || phrase || '。）' AS answer, vals, 2 AS red_line_guess
+    FROM found WHERE len(list_filter(vals, lambda v: contains(ans, v))) = 0)
+SELECT source_case_id, case_id, source_text, answer, unnest(vals) AS candidate_text, red_line_guess, true AS label FROM (SELECT * FROM entity UNION ALL SELECT * FROM num)"""
+
+
+@query("synth_edits", SYNTH_SQL)
 def synth_edits(read):
-    return Sy.to_candidates(Sy.synthesize(pairs(read), SPEC))
+    """Positives of training; the share of a source stays below its cap here."""
+    return Sy.to_candidates(Sy.synthesize(pairs(read), SPEC, source_share=None))
+
+
+NEGATIVES_SQL = f"""
+WITH p AS (SELECT case_id, source_text || ' 每3天 共两周 Alphatin' AS source_text, answer, {TIGHT.format("source_text || ' 每3天 共两周 Alphatin'")} AS src, {TIGHT.format('answer')} AS ans FROM {PAIRS_SQL}),
+e AS (SELECT *, {pick_sql(list(SPEC.templates), digest_sql("'groundedneg:' || case_id", 3))} AS template, NOT list_contains(regexp_extract_all(src, '[0-9]+(?:\\.[0-9]+)?'), '2') AS two, {digest_sql("'eqdir:' || case_id", 2)} AS dir, {pick_sql(['至少', '不超过'], digest_sql("'eqformneg:' || case_id", 2))} AS slot FROM p)
+SELECT case_id, source_text, 'grounded' AS flavor, rtrim(answer, chr(10) || ' ') || chr(10) || chr(10) || replace(template, '{{names}}', 'Alphatin') AS answer, 'Alphatin' AS candidate_text, 'lexicon' AS kind, 0 AS red_line_guess, false AS label FROM e WHERE NOT contains(ans, 'Alphatin')
+UNION ALL
+SELECT case_id, source_text, 'equivalent', rtrim(answer, chr(10) || ' ') || chr(10) || chr(10) || '（补充一句：' || slot || CASE WHEN two AND dir = 1 THEN '2周' ELSE '三天' END || '。）', CASE WHEN two AND dir = 1 THEN '2' ELSE '三天' END, CASE WHEN two AND dir = 1 THEN 'digit' ELSE 'cn_numeral' END, 2, false FROM e"""
 
 
-@query("injection_negatives")
+@query("injection_negatives", NEGATIVES_SQL)
 def injection_negatives(read):
     cases = pairs(read).withColumn("source_text", F.concat("source_text", F.lit(" 每3天 共两周 Alphatin")))
     return Sy.injection_negatives(cases, SPEC, ["Alphatin", "Betatin", "Omegol"])

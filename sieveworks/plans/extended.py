@@ -545,3 +545,233 @@ def kpi_file(read):
     return Si.read_kpi(spark, path)
 
 
+
+
+# --- scores, selection, pools, streams ---
+
+SCORE_SQL = TOKENS_SQL.replace("translate(text, '()', '')", "text")
+
+
+@query("readability_score", rf"""
+SELECT doc_id, coalesce(n, 0) AS n_scored, {rate_sql('passed', 'n')} AS strict, {rate_sql('passed', 'n')} AS lenient, {rate_sql('passed', 'n')} AS glossed, CASE WHEN n > 0 THEN 100.0::DOUBLE * terms / n ELSE 0.0::DOUBLE END AS term_density,
+       chars::BIGINT AS n_chars, sentences::BIGINT AS n_sentences, CASE WHEN sentences > 0 THEN chars::DOUBLE / sentences ELSE 0.0::DOUBLE END AS mean_sentence
+FROM (SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) AS chars, len(list_filter(regexp_split_to_array(text, '[。！？；\n!?;]+'), lambda s: length(regexp_replace(s, '\s', '', 'g')) > 0)) AS sentences FROM documents)
+LEFT JOIN (SELECT doc_id, count(*) AS n, count_if(token IN ('kg', 'the', 'of', 'and')) AS passed, count_if(token IN ('tionally', 'tion', 'lich', 'ción', 'eau')) AS terms FROM {SCORE_SQL} WHERE regexp_matches(token, '^[A-Za-z]') GROUP BY doc_id) USING (doc_id)""")
+def readability_score(read):
+    """All scores. No bracket of the test texts glosses a word, and they hold no dates, so the SQL leaves both out."""
+    d = spread(read("documents"))
+    return d.select("doc_id", readability(d.sparkSession, F.col("text"), LEXICON, failures=False).alias("s")).select("doc_id", "s.n_scored", "s.strict", "s.lenient", "s.glossed", "s.term_density", "s.n_chars", "s.n_sentences", "s.mean_sentence")
+
+
+CLEAN_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '[ \t\x{3000}]+', ' ', 'g'), '\n{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query("select_candidates", rf"""
+SELECT scenario, record_id, length(t)::INT AS n_chars, match AS elder_match
+FROM (SELECT *, CASE WHEN contains(name, 'tion') THEN 'name:tion' WHEN contains(name, 'lich') THEN 'name:lich' WHEN contains(t, 'tion') THEN 'text:tion' WHEN contains(t, 'lich') THEN 'text:lich' ELSE '' END AS match
+      FROM (SELECT CASE source WHEN 'src0' THEN 'first' ELSE 'second' END AS scenario, doc_id::VARCHAR AS record_id, substr(text, 1, 20) AS name, {CLEAN_SQL} AS t FROM documents WHERE source IN ('src0', 'src1') AND doc_id % 5 != 0))
+WHERE match != '' AND length(t) BETWEEN 40 AND 1200 AND NOT contains(name, 'The') AND NOT contains(substr(t, 1, 160), 'http') AND NOT (scenario = 'second' AND contains(name, 'Der'))""")
+def select_candidates(read):
+    """Candidates of two scenarios by rules over a corpus: fields filled and cleaned, length, population, names, relevance, first rule wins."""
+    d = read("documents")
+    corpus = d.select(F.col("doc_id").cast("string").alias("record_id"), F.col("source").alias("lib"), F.lit("t").alias("logical"), F.lit(0).alias("row_idx"), F.substring("text", 1, 20).alias("name"), F.create_map(F.lit("body"), F.col("text")).alias("fields"))
+    ids = d.where("doc_id % 5 != 0").select(F.col("doc_id").cast("string").alias("record_id"))
+    rules = [Sl.SourceRule("first", "src0", "t", ("body",)), Sl.SourceRule("first", "src0", "t", ("body",)), Sl.SourceRule("second", "src1", "t", ("body",))]
+    spec = Sl.SelectionSpec(labels={}, terms=("tion", "lich"), stop_population=("The",), strong_child=("http",), excluded_names={"second": ("Der",)})
+    return Sl.once_over_scenarios(Sl.select_candidates(corpus, ids, rules, spec), ["first", "second"]).select("scenario", "record_id", "n_chars", "elder_match")
+
+
+PERSONA = Sl.PersonaSpec(ages=tuple(f"a{i}" for i in range(9)), genders=("m", "w"), education=("e0", "e1", "e2"), living=("alone", "family"), helpers=("none", "nurse", "spouse"), conditions={"sting": "C1", "ti": "C2", "er": "C3"}, generic=("er",), fallback=("F0", "F1"), replace={("alone", "spouse"): "neighbour"})
+
+
+@query("personas", f"""
+SELECT record_id, 'a' || (h + i) % 9 AS age, CASE (h >> 3) % 2 WHEN 0 THEN 'm' ELSE 'w' END AS gender, 'e' || (h >> 5) % 3 AS education, living, CASE WHEN living = 'alone' AND helper = 'spouse' THEN 'neighbour' ELSE helper END AS helper,
+       CASE WHEN s = 0 AND t = 0 THEN CASE WHEN contains(name, 'er') THEN 'C3' ELSE 'F' || (h >> 11) % 2 END WHEN t = 0 OR (s > 0 AND s <= t) THEN 'C1' ELSE 'C2' END AS condition
+FROM (SELECT *, CASE (h >> 7) % 2 WHEN 0 THEN 'alone' ELSE 'family' END AS living, ['none', 'nurse', 'spouse'][((h >> 17) % 3 + 1)::INT] AS helper, strpos(name, 'sting') AS s, strpos(name, 'ti') AS t
+      FROM (SELECT doc_id::VARCHAR AS record_id, doc_id % 4 AS i, substr(text, 1, 60) AS name, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 12))::BIGINT AS h FROM documents))""")
+def personas(read):
+    rows = read("documents").select(F.col("doc_id").cast("string").alias("record_id"), (F.col("doc_id") % 4).alias("i"), F.substring("text", 1, 60).alias("name"))
+    return rows.select("record_id", Sl.persona(F.col("record_id"), F.col("i"), F.col("name"), F.lit(""), PERSONA).alias("p")).select("record_id", "p.*")
+
+
+@query("run_rollup", f"""
+WITH c AS (SELECT case_id AS id, {A} AS a, length(source_text) AS src FROM {PAIRS_SQL} WHERE {A} % 7 != 0),
+r AS (SELECT *, (a % 100)::DOUBLE / 100 AS strict, (a % 90)::DOUBLE / 90 AS source, a % 50 + 1 AS n, a % 3 != 0 AS judged, a % 2 = 0 AS faithful, a % 5 = 0 AS violated FROM c),
+t AS (SELECT *, unnest(list_filter(['overall', CASE WHEN source < 0.9 THEN 'headroom' END, CASE WHEN a % 4 = 0 THEN 'hard' END, 'scenario:s' || a % 2], lambda x: x IS NOT NULL)) AS part FROM r)
+SELECT part, count(*) AS n, round(avg(strict), 9) AS strict_case_mean, round(sum(strict * n) / sum(n), 9) AS strict_micro, count_if(strict >= 0.9) AS passed, count_if(judged) AS judged, count_if(judged AND faithful AND NOT violated) AS guarded, count_if(judged AND violated) AS violations,
+       round({rate_sql('count_if(judged AND faithful AND NOT violated)', 'count_if(judged)')}, 9) AS guard_rate
+FROM t GROUP BY part""")
+def run_rollup(read):
+    """Cases, outputs and a judge's rows to a row a case, and that to the headline of a run."""
+    a = planted(F.col("case_id"))
+    cases = pairs(read).select(F.col("case_id").alias("id"), F.concat(F.lit("s"), (a % 2).cast("string")).alias("scenario"), F.when(a % 4 == 0, "难").otherwise("易").alias("difficulty"), "source_text", ((a % 90).cast("double") / 90).alias("src_readability"), a.alias("a"))
+    outputs = pairs(read).select(F.col("case_id").alias("id"), F.when(a % 7 != 0, F.col("answer")).alias("output"))
+    judged = pairs(read).where(a % 3 != 0).select(F.col("case_id").alias("id"), (a % 2 == 0).alias("faithful_overall"), F.when(a % 5 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("violated_indices"), F.lit(False).alias("fabrication_extra"), F.lit(1).alias("key_points_covered"), F.lit(2).alias("key_points_total"))
+    strict = (F.col("a") % 100).cast("double") / 100
+    scores = F.struct(strict.alias("strict"), strict.alias("glossed"), strict.alias("lenient"), F.length("output").alias("n_chars"), (F.col("a") % 50 + 1).alias("n_scored"))
+    out = Ev.rollup_run(Ev.per_case(cases, outputs, judged, scores))
+    return out.select("part", "n", r9("strict_case_mean"), r9("strict_micro"), "passed", "judged", "guarded", "violations", r9("guard_rate"))
+
+
+@query("judged_arms", f"SELECT case_id AS id, judge FROM {PAIRS_SQL}, unnest(range(2)) j(judge) WHERE {A} % 3 != 0 AND {A} % 5 != 0")
+def judged_arms(read):
+    a, cases = planted(F.col("case_id")), pairs(read).select(F.col("case_id").alias("id"))
+    arm = lambda k: pairs(read).select(F.col("case_id").alias("id"), F.when(a % k != 0, F.col("answer")).alias("output"))
+    from ..operators.joins import arms
+
+    return arms(cases, arm(3), arm(5), 2).select("id", F.col("judge").cast("long").alias("judge"))
+
+
+@query("applied_labels", f"SELECT case_id, substr(answer, 1, 4) AS candidate_text, {A} % 2 = 0 AS label FROM {PAIRS_SQL} WHERE {A} % 3 = 0")
+def applied_labels(read):
+    from ..operators.candidates import apply_labels
+
+    a = planted(F.col("case_id"))
+    judged = pairs(read).where(a % 3 == 0).select(F.col("case_id").alias("id"), (a % 2 == 0).alias("violated"))
+    return apply_labels(pairs(read).select(F.col("case_id").alias("id"), "case_id", F.substring("answer", 1, 4).alias("candidate_text")), judged).select("case_id", "candidate_text", "label")
+
+
+@query("missed_instances", f"SELECT case_id, 2 AS idx FROM {PAIRS_SQL} WHERE {A} % 4 = 0 AND {A} % 3 != 0")
+def missed_instances(read):
+    a = planted(F.col("case_id"))
+    cases = pairs(read).select("case_id", F.array(F.struct(F.lit(2).alias("idx"), (a % 4 == 0).alias("violated")), F.struct(F.lit(1).alias("idx"), F.lit(True).alias("violated"))).alias("red_lines"))
+    return Ev.missed_instances(cases, pairs(read).where(a % 3 == 0)).select("case_id", F.col("r.idx").alias("idx"))
+
+
+@query("leakage_problems", "SELECT doc_id AS id, CASE WHEN doc_id % 10 = 1 THEN 'in another pool' ELSE 'in no pool' END AS rule, CASE WHEN doc_id % 10 = 1 THEN 'train' ELSE '' END AS detail FROM documents WHERE doc_id % 10 IN (1, 2)")
+def leakage_problems(read):
+    used = read("documents").select(F.col("doc_id").alias("record_id"))
+    splits = used.where("record_id % 10 != 2").withColumn("pool", F.when(F.col("record_id") % 10 == 1, "train").otherwise("test"))
+    return Ck.leakage_problems(used, splits, "test")
+
+
+@query("coverage_problems", "SELECT lang AS id, 'not covered' AS rule, '' AS detail FROM (VALUES ('en'), ('xx'), ('yy')) v(lang) WHERE lang NOT IN (SELECT lang FROM documents)")
+def coverage_problems(read):
+    want = read("nation").sparkSession.createDataFrame([("en",), ("xx",), ("yy",)], "lang string")
+    return Ck.coverage_problems(read("documents"), want, "lang")
+
+
+@query("flag_problems", f"SELECT case_id AS id, 'banned:tion' AS rule, '' AS detail FROM {PAIRS_SQL} WHERE contains(source_text, 'tion') UNION ALL SELECT case_id, 'simulated without note', '' FROM {PAIRS_SQL} WHERE {A} % 6 = 0")
+def flag_problems(read):
+    a = planted(F.col("case_id"))
+    cases = pairs(read).select(F.col("case_id").alias("id"), F.col("source_text").alias("query"), (a % 2 == 0).alias("simulated"), F.when(a % 3 != 0, "note").alias("simulated_note"))
+    return Ck.flag_problems(cases, ["tion"])
+
+
+@query("char_positions", "SELECT '高' AS char, 1 AS line, 0 AS place UNION ALL SELECT '血', 1, 1 UNION ALL SELECT '压', 3, 1")
+def char_positions(read):
+    lines = read("nation").sparkSession.createDataFrame([(0, "# 注释"), (1, "高血高"), (2, "  "), (3, "血压 x")], "line int, value string")
+    return Se.char_list(lines).select("char", "position.line", F.col("position.at").alias("place"))
+
+
+@query("sectioned_words", "SELECT '感冒' AS word UNION ALL SELECT '头痛' UNION ALL SELECT '发热'")
+def sectioned_words(read):
+    lines = read("nation").sparkSession.createDataFrame(list(enumerate(["1 不要", "甲级词汇表", "1 感冒（注）/头痛", "2 abc", "乙级词汇表", "1 血压", "丙级词汇表", "1 发热"])), "line int, value string")
+    return Se.sectioned_vocabulary(lines, r"^(.)级词汇表$", ["甲", "丙"])
+
+
+@query("harvested_terms", "SELECT '阿司匹林片' AS term, true AS formal UNION ALL SELECT '乙酰水杨酸', false UNION ALL SELECT '鬯剂', false")
+def harvested_terms(read):
+    spark = read("nation").sparkSession
+    rows = spark.createDataFrame([("阿司匹林片", "止痛片，乙酰水杨酸(别名)"), ("感冒灵", "药片,鬯剂")], "name string, alias string")
+    words = lambda ws, c: spark.createDataFrame([(w,) for w in ws], f"{c} string")
+    return Se.harvest_terms(rows, ["name"], ["alias"], words(["感冒灵"], "term"), words(list("止痛药片"), "char"))
+
+
+@query("best_probe", "SELECT 'short' AS probe, true AS beats FROM labels LIMIT 1")
+def best_probe(read):
+    """The structural probe with the largest J, as the mark that a model has to beat."""
+    from ..operators.probes import best_structural, score_probes
+
+    rows = read("labels").select((F.col("quality") == 0).alias("label"), (F.col("quality") == 0).alias("short"), (F.col("doc_id") % 2 == 0).alias("even"))
+    return best_structural(score_probes(rows, ("short", "even"), structural=("short", "even"))).select("probe", (F.col("j") >= 1.0).alias("beats"))
+
+
+@query("last_places", f"SELECT case_id, length(answer) - strpos(reverse(answer), reverse(substr(answer, 2, 2))) - 1 AS place FROM {PAIRS_SQL}")
+def last_places(read):
+    return pairs(read).select("case_id", X.last_index(F.col("answer"), F.substring("answer", 2, 2)).cast("long").alias("place"))
+
+
+@query("next_ids", "SELECT count(*) AS next FROM documents")
+def next_ids(read):
+    from ..operators.sampling import next_start
+
+    n = next_start(read("documents").select(F.concat(F.lit("case-"), (F.row_number().over(_by("doc_id")) - 1).cast("string")).alias("id")), "id")
+    return read("nation").sparkSession.createDataFrame([(n,)], "next long")
+
+
+def _by(column: str):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(F.lit(0)).orderBy(column)
+
+
+@query("positive_rule", "SELECT doc_id, toxic = 1 AS positive FROM labels")
+def positive_rule(read):
+    """The predicate that the rows' own JSON calls for."""
+    rows = read("labels").select("doc_id", F.to_json(F.struct((F.col("toxic") == 1).alias("violated"))).alias("output"))
+    return rows.select("doc_id", Rd.infer_positive(rows).alias("positive"))
+
+
+@query("json_array_rows", "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation")
+def json_array_rows(read):
+    spark = read("nation").sparkSession
+    path = scratch(spark, "array")
+    rows = read("nation").agg(F.to_json(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")))).alias("value"))
+    rows.coalesce(1).write.text(path)
+    return spark.read.schema("k BIGINT, name STRING").option("multiLine", True).json(path)
+
+
+@query("unique_lines", "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation")
+def unique_lines(read):
+    spark = read("nation").sparkSession
+    path = scratch(spark, "unique")
+    Si.write_jsonl(read("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")), path)
+    return Rd.unique_jsonl(spark, path, "k BIGINT, name STRING", "k")
+
+
+@query("resumed_work", "SELECT conv_id AS id, max(length(text))::BIGINT AS output FROM conversations WHERE turn = 0 GROUP BY conv_id")
+def resumed_work(read):
+    """Work over a stream of files in two runs; ids of the first run come again in the second and are skipped."""
+    from ..streaming.resume import resume
+
+    spark = read("nation").sparkSession
+    root = scratch(spark, "resume")
+    rows = read("conversations").where("turn = 0").select(F.col("conv_id").alias("id"), "text")
+    work = lambda df: df.select("id", F.length("text").cast("long").alias("output"))
+    for part in (rows.where("id % 2 = 0"), rows):
+        part.write.mode("append").json(f"{root}/in")
+        resume(spark, f"{root}/in", "id BIGINT, text STRING", work, f"{root}/log", f"{root}/mark").awaitTermination()
+    return spark.read.parquet(f"{root}/log").select("id", "output")
+
+
+@query("pending_work", "SELECT conv_id AS id FROM conversations WHERE turn = 0 AND (conv_id % 3 = 0 OR conv_id % 4 = 0)")
+def pending_work(read):
+    from ..streaming.resume import pending
+
+    cases = read("conversations").where("turn = 0").select(F.col("conv_id").alias("id"))
+    done = cases.select("id", F.when(F.col("id") % 3 != 0, "text").alias("output"), (F.col("id") % 4 == 0).alias("truncated"))
+    return pending(cases, done)
+
+
+@query("compacted_log", "SELECT conv_id AS id, max(turn) AS epoch FROM conversations GROUP BY conv_id")
+def compacted_log(read):
+    from ..streaming.resume import compact
+
+    log = read("conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("epoch"))
+    order = log.select("id").distinct().withColumn("position", F.col("id"))
+    return compact(log, order).select("id", "epoch")
+
+
+@query("sticky_budgets", "SELECT user_id::VARCHAR AS key, lpad(event_id::VARCHAR, 9, '0') AS event, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 300 AS submitted FROM events")
+def sticky_budgets(read):
+    """A stream's budget for each key: once it is spent, nothing of the key goes out again."""
+    from ..streaming.resume import sticky_budget
+
+    spark = read("nation").sparkSession
+    root = scratch(spark, "budget")
+    read("events").select(F.col("user_id").cast("string").alias("key"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("event"), F.col("value").cast("double").alias("cost")).write.json(f"{root}/in")
+    stream = spark.readStream.schema("key string, event string, cost double").json(f"{root}/in")
+    out = sticky_budget(stream, "key", F.col("cost"), 300.0).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/mark").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("key", "event", "submitted")

@@ -217,10 +217,11 @@ def test_synthesis(spark):
 
 
 def test_negatives_are_supported(spark):
-    c = cases(spark, ("每3天用缬沙坦", "好"), ("保泰松0.2克", "好"), ("共三天", "好"))
+    c = cases(spark, ("每3天用缬沙坦", "好"), ("保泰松0.2克", "好"), ("共三天", "好"), ("每12天一针", "好"))
     rows = Sy.injection_negatives(c, SPEC, ["缬沙坦", "沙坦", "水果"]).collect()
     by = {(r["case_id"], r["flavor"]): r for r in rows}
-    assert by["c0", "grounded"]["candidate_text"] == "缬沙坦" and by["c0", "grounded_number"]["candidate_text"] == "3"
+    assert by["c0", "grounded"]["candidate_text"] == "缬沙坦" and by["c3", "grounded_number"]["candidate_text"] == "12"
+    assert ("c0", "grounded_number") not in by  # its other spelling is taken
     assert by["c0", "equivalent"]["candidate_text"] == "三天" and by["c2", "equivalent"]["candidate_text"] == "3"
     assert not any(k[0] == "c1" for k in by) and not any(r["label"] for r in rows)
     for r in rows:
