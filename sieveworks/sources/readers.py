@@ -8,8 +8,10 @@ import json
 import os
 import re
 import unicodedata
+import zipfile
 from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -172,6 +174,34 @@ def query_log(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.select(freq.alias("freq"), F.regexp_replace(value, mark, "").alias("text"))
 
 
+def _sheet_column(raw: bytes) -> list[str]:
+    """The first column of a workbook's first sheet, its header row left out; shared and inline strings, numbers as they are written."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as book:
+        names = book.namelist()
+        of = lambda node: "".join(t.text or "" for t in node.iter() if t.tag.rpartition("}")[2] == "t")
+        shared = [of(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+        out = []
+        for cell in (c for c in ElementTree.fromstring(book.read(sheet)).iter() if c.tag.rpartition("}")[2] == "c"):
+            if re.fullmatch(r"A(?!1$)\d+", cell.get("r", "")):
+                value = next((v.text or "" for v in cell if v.tag.rpartition("}")[2] == "v"), None)
+                out.append(of(cell) if value is None else shared[int(value)] if cell.get("t") == "s" else value)
+    return out
+
+
+def xlsx_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, row, value): the first column of the first sheet of each workbook; a workbook is read as a whole."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, raw in batch.itertuples(index=False):
+                values = _sheet_column(bytes(raw))
+                yield pd.DataFrame({"source_file": [name.rsplit("/", 1)[-1]] * len(values), "row": range(len(values)), "value": values})
+
+    return files.mapInPandas(parse, "source_file string, row int, value string")
+
+
 def infer_positive(rows: DataFrame, output: str = "output") -> Column:
     """The predicate that marks positives, from the first row's JSON: `violated`, or `verdict` being fail."""
     first = rows.select(output).limit(1).collect()

@@ -143,3 +143,15 @@ def test_streamed_budget(spark, tmp_path):
 def test_windows_on_a_table(spark):
     e = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:00:00", "a", 4.0)], "ts string, k string, v double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((str(r["window_start"]), r["n"], r["total"]) for r in S.windowed_counts(e, "ts", "k", "v").collect()) == [("2024-01-01 00:00:00", 2, 3.0), ("2024-01-01 01:00:00", 1, 4.0)]
+
+
+def test_workbook_column(spark, tmp_path):
+    import zipfile
+
+    cell = lambda ref, body, kind="": f'<c r="{ref}"{kind}>{body}</c>'
+    rows = [cell("A1", "<v>0</v>", ' t="s"') + cell("B1", "<v>1</v>"), cell("A2", "<v>1</v>", ' t="s"') + cell("B2", "<v>9</v>"), cell("A3", "<is><t>plain</t></is>", ' t="inlineStr"'), cell("A12", "<v>7.5</v>")]
+    with zipfile.ZipFile(tmp_path / "faq.xlsx", "w") as book:
+        book.writestr("xl/sharedStrings.xml", '<sst xmlns="http://x"><si><t>header</t></si><si><r><t>[频次:12] </t></r><r><t>吃药</t></r></si></sst>')
+        book.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://x"><sheetData>' + "".join(f"<row>{r}</row>" for r in rows) + "</sheetData></worksheet>")
+    lines = R.xlsx_lines(spark, str(tmp_path))
+    assert sorted((r["freq"], r["text"]) for r in R.query_log(lines).collect()) == [(0, "7.5"), (0, "plain"), (12, "吃药")]
