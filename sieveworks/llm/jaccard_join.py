@@ -25,7 +25,8 @@ by block. Intermediate tables lie in the shared folder, so lost executors cost o
 
 Defined results: null, empty or blank text: no shingles, component is the document's own id. Fewer words than a shingle: the whole
 sequence is one. Repeated rows give one result each, the same. A text whose every row lacks an id is linked with nothing (no text can be fetched
-without an id); its component is null. Extra columns are ignored.
+without an id); its component is null. Rows of one id with unlike texts each have the component of their text. Ids may be of any type that has an order. An empty
+table gives an empty result; very long texts are sets like all others; ties do no harm, as the least id names a component. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ is ever shuffled, a hot source changes nothing, and a lost task gives the same s
 made of the partition's number and a counter in it.
 
 Defined results: null text counts as empty (one id, the end id); an empty table gives no rows; repeated rows are
-packed once for each row; ties in length keep input order; null ids pass through; other columns are ignored.
+packed once for each row; ties in length keep input order; null ids pass through; other columns are ignored, whatever their names; a very long
+text is encoded as a whole and cut into full windows.
 """
 
 from __future__ import annotations
