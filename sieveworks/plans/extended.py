@@ -20,17 +20,14 @@ from ..operators import selection as Sl
 from ..operators import sets as Se
 from ..sources import readers as Rd
 from ..sources import sinks as Si
-from ..sources.tables import spread
+from ..sources.tables import shared_root, spread
 from .catalogue import FLAG_ROWS_SQL, LEXICON, PAIRS_SQL, flag_rows, h8, pairs, planted, query, r9, rate_sql, wilson_sql
 
 
 
 def scratch(spark, name: str) -> str:
     """A folder that driver and executors share, for files that a query writes and reads."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/sieveworks-files/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/sieveworks-files/{name}-{uuid.uuid4().hex}"
 
 
 # --- joins with accounting, hints, outputs ---

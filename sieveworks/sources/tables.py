@@ -1,10 +1,27 @@
-"""Reading tables so that there is work for every core."""
+"""Reading tables so that there is work for every core, and the folder that all share."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Only where all tasks run on the driver's machine, as in tests, a folder of its own stands in for one that is unset.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="sieveworks-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Deals rows out where a table has fewer files than the session has cores, as a file of one row group is one task.
 
