@@ -1,7 +1,7 @@
 """Synthesis of matched counterexamples: positives with a planted value, negatives with a supported one in the same words.
 
-All word lists, templates and phrases are in a SynthSpec. Rules run for each case alone, so they are one Arrow pass
-over the cases; quotas, caps and unions around it are DataFrame operators.
+All word lists, templates and phrases are in a SynthSpec. Positives are column expressions over the cases; negatives, whose rules
+look at several spellings of each number, are one Arrow pass; quotas, caps and unions around them are DataFrame operators.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import digest_mod
+from ..functions.lexical import nfkc_packed
+from ..functions.text import contains_any
 from .candidates import DIGIT, UNITS, fraction_pattern, numeral_pattern
 from .sampling import cap_source_share
 
@@ -40,15 +43,18 @@ def numbers(text: str) -> dict[str, list[str]]:
 
 
 def word_pools(groups: list[tuple[str, ...]]) -> dict[str, str]:
-    """One pool for each word over all groups: each group gives its last word that is not in training yet to the hold-out."""
-    pool: dict[str, str] = {}
+    """The pool of each word, holdout or train, one for all groups that it is in.
+
+    A word is held out if some group gives it up: the last of the group's words that earlier groups do not train on, or the last of all
+    if they train on each.
+    """
+    trained, given = set(), set()
     for group in groups:
-        free = [w for w in group if pool.get(w) != "train"]
-        kept = free[-1] if free else group[-1]
-        pool[kept] = "holdout"
-        for w in group:
-            pool.setdefault(w, "train")
-    return pool
+        kept = ([w for w in group if w not in trained] or list(group))[-1]
+        given.add(kept)
+        trained |= set(group) - given
+        trained.discard(kept)
+    return {w: "holdout" if w in given else "train" for group in groups for w in group}
 
 
 @dataclass(frozen=True)
@@ -74,28 +80,11 @@ class SynthSpec:
     def bigrams(self) -> frozenset[str]:
         return frozenset(w[-2:] for g in [*self.categories.values(), self.default] for w in g if len(w) > 1)
 
-    def category(self, context: str) -> str | None:
-        return next((c for c in self.categories if c in context), None)
-
-    def examples(self, context: str, holdout: bool) -> tuple[str, ...]:
-        group = self.categories.get(self.category(context), self.default)
-        own = tuple(w for w in group if (self.pools[w] == "holdout") == holdout)
-        return own or (group[-1:] if holdout else group[:1])
-
-    def triggers(self, source: str) -> list[str]:
-        """Contexts up to each marker, the first of each category (or of none)."""
-        words = "|".join(re.escape(m) for m in sorted(self.markers, key=lambda m: -len(m)))
-        seen: dict[str | None, str] = {}
-        for m in re.finditer(words, source) if words else ():
-            context = source[max(0, m.start() - self.window) : m.end()]
-            seen.setdefault(self.category(context), context)
-        return list(seen.values())
-
-    def number_trigger(self, source: str) -> str | None:
-        for marker in self.number_markers:
-            if (at := source.find(marker)) >= 0:
-                return source[max(0, at - self.window) : at + len(marker)]
-        return None
+    def examples(self, category: str | None, holdout: bool) -> tuple[str, ...]:
+        """What a trigger of the category plants: the group's words of that pool, or the group's last (held out) or first one if it has none."""
+        group = self.categories.get(category, self.default)
+        pool = "holdout" if holdout else "train"
+        return tuple(w for w in group if self.pools[w] == pool) or (group[-1 if holdout else 0],)
 
     def phrases_of(self, holdout: bool) -> tuple[str, ...]:
         return self.phrases[-self.held_phrases :] if holdout else self.phrases[: -self.held_phrases]
@@ -140,46 +129,71 @@ def numeral_units(text: str) -> list[tuple[str, str]]:
     return re.findall(rf"(?<![0-9])([{''.join(DIGIT_OF)}])({units})", text)
 
 
-def entity_edits(spec: SynthSpec, case_id: str, source: str, answer: str, holdout: bool) -> Iterator[dict]:
-    """A row for each trigger whose examples are in neither text; a skipped trigger leaves a gap in the numbering."""
-    src, ans = normal(source), normal(answer)
-    for i, context in enumerate(spec.triggers(source)):
-        names = spec.examples(context, holdout)
-        if any(normal(n) in src or normal(n) in ans for n in names):
-            continue
-        template = spec.templates[hash_pick(f"{case_id}:{i}", len(spec.templates))]
-        yield {"case_id": f"{case_id}-synth{i + 1 if i else ''}", "synthetic_answer": appended(answer, template.format(names="、".join(names))), "injected_examples": list(names), "red_line_idx": 0}
+EDITS = "case_id string, source_case_id string, source_text string, original_answer string, synthetic_answer string, injected_examples array<string>, red_line_idx int, verdict string"
 
 
-def number_edit(spec: SynthSpec, case_id: str, source: str, answer: str, holdout: bool) -> Iterator[dict]:
-    """The first phrase, from a hashed start on, whose numbers the source lacks; nothing if the answer has one of them."""
-    if spec.number_trigger(source) is None:
-        return
-    src, ans, pool = normal(source), normal(answer), spec.phrases_of(holdout)
-    first = hash_pick(f"numeric:{case_id}", len(pool)) if pool else 0
-    values = lambda p: list(dict.fromkeys([*numbers(p)["digit"], *numbers(p)["cn_numeral"]]))
-    phrase = next((p for p in pool[first:] + pool[:first] if not any(normal(v) in src for v in values(p))), None)
-    if phrase and values(phrase) and not any(normal(v) in ans for v in values(phrase)):
-        yield {"case_id": f"{case_id}-synthnum", "synthetic_answer": appended(answer, spec.wrapper.format(phrase)), "injected_examples": values(phrase), "red_line_idx": 2}
+def _contexts(source: Column, markers: tuple[str, ...], window: int) -> Column:
+    """For each marker, longest first, the text up to its end from at most `window` characters before it."""
+    words = "|".join(re.escape(m) for m in sorted(markers, key=lambda m: -len(m)))
+    # what stands before a match is read by a look-behind: the whole window, or else all there is since the start (a group that Java may have left over from places before)
+    pattern = rf"(?s)(?:(?<=(?=(.{{{window}}})).{{{window}}})|(?<=^(.{{0,{window - 1}}})))({words})"
+    groups = [F.regexp_extract_all(source, F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
+    return F.transform(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)]), lambda m: F.concat(F.when(F.length(m["g0"]) > 0, m["g0"]).otherwise(F.coalesce(m["g1"], F.lit(""))), m["g2"]))
 
 
-EDITS = "case_id string, source_case_id string, source_text string, original_answer string, synthetic_answer string, injected_examples array<string>, red_line_idx int, verdict string"
+def _pick(key: Column, n: int) -> Column:
+    """A place below n by the whole digest of a key."""
+    return digest_mod(F.sha2(key.cast("binary"), 256), n).cast("int")
 
 
-def synthesize(cases: DataFrame, spec: SynthSpec, holdout: bool = False, source_share: float | None = 0.05) -> DataFrame:
-    """Positives of all cases (case_id, source_text, answer); with a share, no source case gives more than that of them."""
-    shared = cases.sparkSession.sparkContext.broadcast(spec)
+def _planted(answer: Column, phrase: Column) -> Column:
+    return F.concat(F.regexp_replace(answer, r"(?U)\s+$", ""), F.lit("\n\n"), phrase)
+
+
+def entity_edits(cases: DataFrame, spec: SynthSpec, holdout: bool) -> DataFrame:
+    """A row for each trigger whose examples are in neither text: the first context of each category, or of none, in the order of the text.
+
+    cases: (case_id, source_text, answer, __src, __ans), the last two normalised. A trigger that is skipped leaves a gap in the numbering.
+    """
+    if not spec.markers:
+        return cases.sparkSession.createDataFrame([], EDITS)
+    kinds = [*spec.categories, None]
+    at = F.transform(_contexts(F.col("source_text"), spec.markers, spec.window), lambda c, i: F.struct(i.alias("place"), F.coalesce(*[F.when(c.contains(k), F.lit(n)) for n, k in enumerate(spec.categories)], F.lit(len(kinds) - 1)).alias("kind")))
+    of_kind = lambda n: F.get(F.filter("__at", lambda x: x["kind"] == n), F.lit(0))
+    first = F.array(*[of_kind(n) for n in range(len(kinds))])
+    rows = cases.withColumn("__at", at).withColumn("__first", F.array_sort(F.filter(first, lambda x: x.isNotNull())))
+    rows = rows.select("*", F.posexplode("__first").alias("__i", "__t"))
+    named = F.array(*[F.array(*map(F.lit, spec.examples(k, holdout))) for k in kinds])
+    rows = rows.withColumn("__names", F.get(named, F.col("__t.kind")))
+    plain = F.array(*[F.array(*[F.lit(normal(w)) for w in spec.examples(k, holdout)]) for k in kinds])
+    known = F.exists(F.get(plain, F.col("__t.kind")), lambda w: F.col("__src").contains(w) | F.col("__ans").contains(w))
+    template = F.get(F.array(*map(F.lit, spec.templates)), _pick(F.concat_ws(":", "case_id", F.col("__i").cast("string")), len(spec.templates)))
+    suffix = F.when(F.col("__i") > 0, (F.col("__i") + 1).cast("string")).otherwise("")
+    return rows.where(~known).select(F.concat("case_id", F.lit("-synth"), suffix).alias("case_id"), F.col("case_id").alias("source_case_id"), "source_text", F.col("answer").alias("original_answer"), _planted(F.col("answer"), F.replace(template, F.lit("{names}"), F.array_join("__names", "、"))).alias("synthetic_answer"), F.col("__names").alias("injected_examples"), F.lit(0).alias("red_line_idx"), F.lit("fail").alias("verdict"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in EDITS.split(", ")]
-        for batch in batches:
-            rows = []
-            for case_id, source, answer in batch.itertuples(index=False):
-                for make in (entity_edits, number_edit):
-                    rows += [{**r, "source_case_id": case_id, "source_text": source, "original_answer": answer, "verdict": "fail"} for r in make(shared.value, case_id, source or "", answer or "", holdout)]
-            yield pd.DataFrame(rows, columns=names)
 
-    out = cases.select("case_id", "source_text", "answer").mapInPandas(run, EDITS)
+def number_edits(cases: DataFrame, spec: SynthSpec, holdout: bool) -> DataFrame:
+    """At most one row a case with a number marker: the first phrase, from a hashed start on, whose numbers the source lacks; none if the answer has one of them."""
+    pool = spec.phrases_of(holdout)
+    if not pool or not spec.number_markers:
+        return cases.sparkSession.createDataFrame([], EDITS)
+    values = lambda p: list(dict.fromkeys([*numbers(p)["digit"], *numbers(p)["cn_numeral"]]))
+    strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    phrases = F.array(*[F.struct(F.lit(p).alias("phrase"), strings(values(p)).alias("values"), strings([normal(v) for v in values(p)]).alias("plain")) for p in pool])
+    start = _pick(F.concat(F.lit("numeric:"), "case_id"), len(pool))
+    turned = F.transform(F.sequence(F.lit(0), F.lit(len(pool) - 1)), lambda o: F.get(phrases, (start + o) % len(pool)))
+    holds = lambda text: lambda p: F.exists(p["plain"], lambda v: F.col(text).contains(v))
+    rows = cases.where(contains_any(F.col("source_text"), spec.number_markers)).withColumn("__p", F.get(F.filter(turned, lambda p: ~holds("__src")(p)), F.lit(0)))
+    rows = rows.where(F.col("__p").isNotNull() & (F.size("__p.values") > 0) & ~holds("__ans")(F.col("__p")))
+    before, after = spec.wrapper.split("{}")
+    return rows.select(F.concat("case_id", F.lit("-synthnum")).alias("case_id"), F.col("case_id").alias("source_case_id"), "source_text", F.col("answer").alias("original_answer"), _planted(F.col("answer"), F.concat(F.lit(before), "__p.phrase", F.lit(after))).alias("synthetic_answer"), F.col("__p.values").alias("injected_examples"), F.lit(2).alias("red_line_idx"), F.lit("fail").alias("verdict"))
+
+
+def synthesize(cases: DataFrame, spec: SynthSpec, holdout: bool = False, source_share: float | None = 0.05) -> DataFrame:
+    """Positives of all cases (case_id, source_text, answer); with a share, no source case gives more than that of them. Null texts count as empty."""
+    filled = cases.select("case_id", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("source_text", "answer")])
+    rows = filled.withColumns({"__src": nfkc_packed("source_text"), "__ans": nfkc_packed("answer")})
+    out = entity_edits(rows, spec, holdout).unionByName(number_edits(rows, spec, holdout))
     return out if source_share is None else cap_source_share(out, "source_case_id", "case_id", source_share)
 
 

@@ -198,7 +198,7 @@ SPEC = Sy.SynthSpec(
 
 
 def test_word_pools_are_disjoint():
-    for context in ("激素类药", "降压类药", "类药"):
+    for context in ("激素", "降压", None):
         assert not set(SPEC.examples(context, True)) & set(SPEC.examples(context, False))
     held = {w for c in ("激素", "降压", "") for w in SPEC.examples(c, True)}
     assert not held & {w for c in ("激素", "降压", "") for w in SPEC.examples(c, False)}
