@@ -390,7 +390,7 @@ JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role
 
 
 def pairs(read) -> DataFrame:
-    c = read("conversations")
+    c = spread(read("conversations"))
     u, a = c.where("role = 'user'"), c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return u.join(a, ["conv_id", "turn"]).select(F.concat_ws("-", "conv_id", "turn").alias("case_id"), F.col("text").alias("source_text"), "answer")
 
