@@ -29,7 +29,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+def _host_sql(url: str) -> str:
+    return f"translate(regexp_extract(coalesce({url}, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _rules_sql(of: str) -> str:
+    """The rule's text or verdict of the longest rule that fits; null if none does."""
+    ordered = sorted(url_filter.RULES, key=lambda r: -len(r.text))
+    return "CASE " + " ".join(f"WHEN (host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text if of == 'rule' else r.verdict}'" for r in ordered) + " END"
+
+
 ORACLE_SQL: dict[str, str] = {
+    # masses as the sum over walks of each length from the seeds, which the operator's rounds converge to
+    "op3_url_filter": rf"""
+WITH RECURSIVE u AS (
+    SELECT page_id, html, {_host_sql('url')} AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+j AS (SELECT *, {_rules_sql('rule')} AS rule, {_rules_sql('verdict')} AS fit FROM u),
+h AS (SELECT host, count_if(fit = 'allow') AS allowed, count_if(fit = 'block') AS blocked, count(*) AS n, regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) AS parent FROM j WHERE host != '' GROUP BY host),
+l AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)\bhref\s*=\s*["'']?\s*((?:https?:)?//[^"''\s<>]+)', 1)) AS link FROM j),
+e AS (SELECT DISTINCT src, dst FROM (
+        SELECT src, {_host_sql("regexp_replace(link, '^(?i:https?:)?//', 'x://')")} AS dst FROM l UNION ALL SELECT host, parent FROM h UNION ALL SELECT parent, host FROM h) WHERE src != '' AND dst != '' AND src != dst),
+w AS (SELECT *, count(*) OVER (PARTITION BY kind, src) AS degree FROM (SELECT 'trust' AS kind, src, dst FROM e UNION ALL SELECT 'distrust', dst, src FROM e)),
+s AS (SELECT 'trust' AS kind, host, allowed::DOUBLE / n AS mass FROM h WHERE allowed > 0 UNION ALL SELECT 'distrust', host, blocked::DOUBLE / n FROM h WHERE blocked > 0),
+p AS (SELECT 0 AS k, kind, host, mass FROM s UNION ALL SELECT k + 1, kind, dst, sum(mass / degree) FROM p JOIN w USING (kind) WHERE p.host = w.src AND k < 150 GROUP BY k, kind, dst),
+m AS (SELECT kind, host, sum(0.15::DOUBLE * pow(0.85::DOUBLE, k) * mass) AS mass FROM p GROUP BY kind, host),
+f AS (SELECT kind, (SELECT sum(mass) FROM s WHERE s.kind = m.kind) / sum(mass) AS scale FROM m GROUP BY kind),
+r AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN mass * scale ELSE 0 END) AS trust, sum(CASE WHEN kind = 'distrust' THEN mass * scale ELSE 0 END) AS distrust FROM m JOIN f USING (kind) GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(fit, CASE WHEN coalesce(distrust > trust AND distrust > 2 * trust AND distrust >= 0.001, false) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN r ON r.host = j.host""",
     "op9_jaccard": r"""
 WITH RECURSIVE d AS (
     SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w

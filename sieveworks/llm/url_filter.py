@@ -7,7 +7,7 @@ shrinks when other hosts are added. A host is blocked when its distrust is above
 `least`, as a share of one seed. Rounds go on until no mass changes by more than `tolerance`.
 
 Edges are links between different hosts (distinct pairs, summed in each task before the shuffle), and a host and its parent domain name
-each other. A round is one join and one sum; both are on host keys with partial sums before the shuffle, and
+each other. A round is one join and one sum; both are on (kind, host) keys, so the join takes the sums as they lie, with partial sums before the shuffle, and
 lineage is cut by a table in the shared folder every `cut` rounds. Mass that reaches a host without edges on its way goes back to the seeds, which is
 the same as scaling what is left to the seeds' sum. Masses are rounded to 12 digits, so the order of sums decides nothing. Verdicts go to the pages by a
 broadcast where their bytes were summed and are few, and by a join that splits skewed keys otherwise.
@@ -91,7 +91,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: floa
     seeds = saved(seeds, "host-seeds")
     mass = cut_off = seeds
     for i in range(rounds):
-        sent = mass.withColumnRenamed("host", "src").join(ways, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((F.sum(F.col("mass") / F.col("degree")) * damping).alias("mass"))
+        sent = mass.withColumnRenamed("host", "src").join(ways, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("mass") / F.col("degree") * damping).alias("mass"))
         kept = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
         mass = sent.unionByName(kept).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
         if (i + 1) % cut == 0 and i + 1 < rounds:
