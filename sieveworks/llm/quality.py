@@ -41,6 +41,9 @@ VOCABULARY, OTHER, FIRST = 1 << 15, 0, 1
 BITS = VOCABULARY.bit_length() - 1
 SHARD_PAIRS, SHARDS_LEAST, SHARDS_MOST, SALT_DOCUMENTS, BLOCK_BYTES, MOST_TRUSTED = 2_000_000, 16, 1000, 500_000, 16 << 20, 2_000_000
 
+#: Bytes of text that are taken apart into words at once, which takes some 80 times as much memory.
+PIECE_BYTES = 1 << 19
+
 K, ORDER = 32, 4
 CELLS = K**ORDER
 
@@ -213,11 +216,22 @@ def vocabulary_of(trusted: DataFrame, text_col: str) -> np.ndarray:
     """The sorted hashes of the commonest words; at most VOCABULARY rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            word, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            for at, _ in pieces(data, offsets, 4 << 20):
-                word, n = np.unique(split_words(data, at)[3], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+            for at, _ in pieces(data, offsets, PIECE_BYTES):
+                held.append(split_words(data, at)[3])
+                size += len(held[-1])
+                if size >= 1_000_000:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
     counts = trusted.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     got = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 2).select("word").toArrow()
@@ -236,7 +250,7 @@ def count_pairs(trusted: DataFrame, shared, text_col: str) -> DataFrame:
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            for _, now, before, *_ in words.of(data, offsets, 4 << 20):
+            for _, now, before, *_ in words.of(data, offsets, PIECE_BYTES):
                 held.append((before << BITS | now).astype(np.uint32))
                 size += len(now)
                 if size >= 4_000_000:
@@ -332,12 +346,15 @@ def requests(docs: DataFrame, shared, carried: list[str], text_col: str, shards:
             nonlocal held, rows, kept, size, made, bytes_, n_words, log
             block, out, salt = first + made, [], made % salts
             if held:
-                key = np.sort(np.concatenate(held))  # shard, code, document
-                shard = (key >> np.uint64(BITS * 2 + local_bits)).astype(np.int64)
-                code, doc = (key >> np.uint64(local_bits)) & np.uint64((1 << 2 * BITS) - 1), (key & np.uint64((1 << local_bits) - 1)).astype(np.int64)
-                for s in np.unique(shard).tolist():
-                    a, b = np.searchsorted(shard, [s, s + 1])
-                    c, d = code[a:b], doc[a:b]
+                key = np.concatenate(held)  # shard, code, document
+                held = []
+                key.sort()
+                edges = np.searchsorted(key, np.arange(shards + 1, dtype=np.uint64) << np.uint64(BITS * 2 + local_bits))
+                for s in range(shards):
+                    own_key = key[edges[s] : edges[s + 1]]
+                    if not len(own_key):
+                        continue
+                    c, d = (own_key >> np.uint64(local_bits)) & np.uint64((1 << 2 * BITS) - 1), (own_key & np.uint64((1 << local_bits) - 1)).astype(np.int64)
                     begins = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
                     delta = np.diff(d, prepend=0)
                     delta[begins] = d[begins]
@@ -358,7 +375,7 @@ def requests(docs: DataFrame, shared, carried: list[str], text_col: str, shards:
             data, offsets = text_buffers(batch.column(len(carried)))
             n = batch.num_rows
             total, words_, logs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-            for row, now, before, spell, length in words.of(data, offsets, 1 << 20):
+            for row, now, before, spell, length in words.of(data, offsets, PIECE_BYTES):
                 part = model.log_b[before] + model.log_p[now] + np.where(now == OTHER, spell, 0.0)
                 logs += np.bincount(row, part, n)
                 words_ += np.bincount(row, minlength=n)
