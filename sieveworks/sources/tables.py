@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,22 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of all tables and files that this application writes beside its results."""
+    return f"{shared_root(spark)}/sieveworks/{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: writes df as Parquet in the shared folder and reads it again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Deals rows out where a table has fewer files than the session has cores, as a file of one row group is one task.
 
