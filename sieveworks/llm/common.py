@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_table, shared_root
+from ..sources.tables import read_table, run_folder, saved, shared_path  # noqa: F401  the operators take them from here
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,28 +26,12 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def run_folder(spark: SparkSession) -> str:
-    """The folder of all tables and files that the operators of this application write."""
-    return f"{shared_root(spark)}/sieveworks/{spark.sparkContext.applicationId}"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def clean_up(spark: SparkSession) -> bool:
     """Deletes what this application's operators have written beside their results, which must have been used by then: results read it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet in the shared folder and reads it again."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
