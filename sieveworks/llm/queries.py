@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, jaccard_join, langid, license_scan, media, mixing, packing, quality, secret_scan, url_filter
+from . import decontam, fill_middle, html_extract, jaccard_join, langid, license_scan, media, mixing, packing, quality, secret_scan, url_filter
 from .common import shared_path, table
 
 
@@ -67,6 +67,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return fill_middle.restore(made).select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_jaccard": op9_jaccard,
     "op10_quality": op10_quality,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "op12_mixing": op12_mixing,
 }
 
