@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fill_middle, html_extract, jaccard_join, langid, license_scan, media, mixing, packing, quality, secret_scan, url_filter
+from . import decontam, fill_middle, hard_negatives, html_extract, jaccard_join, langid, license_scan, media, mixing, packing, quality, secret_scan, url_filter
 from .common import shared_path, table
 
 
@@ -77,6 +77,11 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_mixing": op12_mixing,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -122,6 +128,19 @@ f AS (SELECT kind, (SELECT sum(mass) FROM s WHERE s.kind = m.kind) / sum(mass) A
 r AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN mass * scale ELSE 0 END) AS trust, sum(CASE WHEN kind = 'distrust' THEN mass * scale ELSE 0 END) AS distrust FROM m JOIN f USING (kind) GROUP BY host)
 SELECT page_id, j.host, path, rule, coalesce(fit, CASE WHEN coalesce(distrust > trust AND distrust > 2 * trust AND distrust >= 0.001, false) THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN r ON r.host = j.host""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS own, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.r != b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor, anchor_id, r, vec_id AS positive_id, score AS positive_score FROM s WHERE own
+      QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor = p.anchor AND NOT s.own AND 100 * s.score BETWEEN 30 * positive_score AND 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
     "op9_jaccard": r"""
 WITH RECURSIVE d AS (
     SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
