@@ -96,10 +96,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     total = sources.agg(F.sum("draws").alias("n")).first()["n"] or 0
 
     runs = sources.where("draws > 0").select("place", "blocks", "draws", "first_draw", F.explode(F.expr(f"sequence(0L, draws - 1, {RUN}L)")).alias("from"))
-    runs = runs.repartition(F.col("place"), F.col("from"))
+    runs = runs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place", "from")  # few rows, of much work each
     drawn = runs.select("place", "blocks", "first_draw", F.explode(F.expr(f"sequence(from, least(from + {RUN}, draws) - 1)")).alias("draw"))
     drawn = drawn.select("place", "blocks", (F.col("first_draw") + F.col("draw")).alias("card"), F.expr("draw DIV blocks").alias("pass"), (F.col("draw") % F.col("blocks")).alias("i"))
     drawn = drawn.select("place", "pass", F.expr(permuted("i", "blocks", f"{seed}, place, pass")).alias("block"), F.expr(permuted("card", f"{max(total, 1)}L", f"{seed}, 'deck'")).alias("slot"))
+    drawn = saved(drawn, "draws")  # a table's size is known, so it is only broadcast where it is small
 
     at = running_totals(rows, [F.col("doc_id"), F.col("size"), F.col("mark")], {"offset": F.col("size")}, by=["source"]).where("size > 0")
     placed = at.join(sources.select(F.col("source").alias("__s"), "place"), F.col("source").eqNullSafe(F.col("__s")))
