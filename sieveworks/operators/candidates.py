@@ -59,7 +59,7 @@ def _tagged(order: int, kind: str, red: int):
 def extract_candidates(cases: DataFrame, terms: DataFrame | None = None, nfkc: bool = True) -> DataFrame:
     """(case_id, candidate_text, kind, red_line_guess): unsupported spans, one row a text, the first kind wins.
 
-    cases: (case_id, source_text, answer), one row a case; terms: (term). The numeric arms stay in the row; the lexicon arm is an equi-join.
+    cases: (case_id, source_text, answer), one row a case; terms: (term). All arms read each text where it lies; only candidates are shuffled.
     """
     norm = cases.select("case_id", packed(F.col("source_text"), nfkc).alias("src"), packed(F.col("answer"), nfkc).alias("ans"))
     found = []
@@ -69,8 +69,7 @@ def extract_candidates(cases: DataFrame, terms: DataFrame | None = None, nfkc: b
     out = norm.select("case_id", F.explode(F.concat(*found)).alias("c")).select("case_id", "c.*")
     if terms is not None:
         named = terms.select(packed(F.col("term"), nfkc).alias("term")).where("term != ''").distinct()
-        hits = contains_join(norm.withColumnRenamed("case_id", "key"), named, text="ans").withColumnRenamed("key", "case_id")
-        lexicon = hits.join(norm, "case_id").where(~F.col("src").contains(F.col("term")))
+        lexicon = contains_join(norm, named, text="ans", key="case_id", unless="src")
         out = out.unionByName(lexicon.select("case_id", F.lit(0).alias("o"), F.col("term").alias("candidate_text"), F.lit("lexicon").alias("kind"), F.lit(0).alias("red_line_guess")))
     best = F.min(F.struct("o", "kind", "red_line_guess"))
     return out.groupBy("case_id", "candidate_text").agg(best.alias("b")).select("case_id", "candidate_text", "b.kind", "b.red_line_guess")

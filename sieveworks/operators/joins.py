@@ -2,32 +2,89 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Bytes of terms that automata may hold in all, and one automaton.
+MOST_BYTES, PART_BYTES = 64 << 20, 8 << 20
+
+_automata: dict[str, ahocorasick.Automaton | None] = {}
+
+
+def _automaton(key: str, terms: list[str]) -> ahocorasick.Automaton | None:
+    """The automaton of the terms, built once a worker; None of no terms. A worker keeps the few of its last joins."""
+    if key not in _automata:
+        while len(_automata) > 8:
+            del _automata[next(iter(_automata))]
+        made = ahocorasick.Automaton()
+        for t in terms:
+            made.add_word(t, t)
+        made.make_automaton()
+        _automata[key] = made if terms else None
+    return _automata[key]
+
+
+def _scan(rows: DataFrame, terms: DataFrame, key: str, text: str, unless: str | None, term: str) -> DataFrame:
+    """(key, term), distinct in each row, by an automaton of all terms: each text is read once, and work grows with texts and hits."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(sorted(r[0] for r in terms.collect()))
+    name = uuid.uuid4().hex
+    schema = T.StructType([rows.schema[key], T.StructField(term, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _automaton(name, shared.value)
+        for batch in batches:
+            at, hits = [], []
+            texts = [batch.column(i).to_pylist() for i in range(1, batch.num_columns)]
+            for i, t in enumerate(texts[0] if found is not None else []):
+                if not t:
+                    continue
+                own = {w for _, w in found.iter(t)}
+                if own and len(texts) > 1 and texts[1][i]:
+                    own.difference_update(w for _, w in found.iter(texts[1][i]))
+                at += [i] * len(own)
+                hits += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(hits, pa.string())], [key, term])
+
+    return rows.select(key, text, *([unless] if unless else [])).mapInArrow(run, schema)
+
+
+def _by_substrings(texts: DataFrame, named: DataFrame, key: str, text: str, term: str) -> DataFrame:
+    """(key, term) for vocabularies beyond what tasks hold: substrings whose first two characters begin a term meet the terms by equality."""
+    heads = named.groupBy(F.substring("__t", 1, 2).alias("__h")).agg(F.collect_set(F.length("__t")).alias("__n"))
+    places = texts.select(F.col(key), F.filter(F.split(F.col(text), ""), lambda c: c != "").alias("__c")).where("size(__c) > 0").select(key, "__c", F.explode(F.sequence(F.lit(0), F.size("__c") - 1)).alias("__i"))
+    first = F.get("__c", F.col("__i"))
+    tried = places.select(key, "__c", "__i", F.explode(F.array(first, F.concat(first, F.get("__c", F.col("__i") + 1)))).alias("__h")).join(heads, "__h")
+    grams = tried.select(key, "__c", "__i", F.explode("__n").alias("__l")).select(key, F.array_join(F.slice("__c", F.col("__i") + 1, F.col("__l")), "").alias("__t"))
+    return grams.join(named, "__t").select(key, F.col("__t").alias(term))
 
 
-#: Bytes of terms that may be broadcast.
-MOST_BYTES = 64 << 20
-
-
-def contains_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", key: str = "key", most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Distinct (key, term) where the text contains the term, without a cross join.
+def contains_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", key: str = "key", unless: str | None = None, most_bytes: int = MOST_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Distinct (key, term) where the text contains the term, and, where a column `unless` is given, the text there does not (keys are unique then), without a cross join.
 
-    At each place of a text its first two characters are looked up among the terms' heads, which give the lengths to try; only those
-    substrings meet the terms by equality. Heads and terms are broadcast where their bytes were summed and are few, so that texts and
-    substrings stay in their tasks and only hits are shuffled; larger vocabularies are joined by shuffle. Empty terms and null texts meet nothing.
+    Terms whose bytes were summed and are few become automata of at most some `part_bytes` each, terms dealt out by hash; every automaton reads
+    each text once, and only hits are shuffled. Larger vocabularies meet the texts' substrings by a shuffled equi-join. Empty terms and null texts meet nothing; a null key is a key.
     """
     named = terms.select(F.col(term).alias("__t")).where("__t != ''").distinct()
-    few = (named.agg(F.sum(F.octet_length("__t") + 64).alias("b")).first()["b"] or 0) <= most_bytes
-    send = F.broadcast if few else (lambda df: df)
-    heads = named.groupBy(F.substring("__t", 1, 2).alias("__h")).agg(F.collect_set(F.length("__t")).alias("__n"))
-    places = texts.select(F.col(key), F.filter(F.split(F.col(text), ""), lambda c: c != "").alias("__c")).where("size(__c) > 0").select(key, "__c", F.explode(F.sequence(F.lit(0), F.size("__c") - 1)).alias("__i"))
-    first = F.get("__c", F.col("__i"))
-    tried = places.select(key, "__c", "__i", F.explode(F.array(first, F.concat(first, F.get("__c", F.col("__i") + 1)))).alias("__h")).join(send(heads), "__h")
-    grams = tried.select(key, "__c", "__i", F.explode("__n").alias("__l")).select(key, F.array_join(F.slice("__c", F.col("__i") + 1, F.col("__l")), "").alias("__t"))
-    return grams.join(send(named), "__t").select(key, F.col("__t").alias(term)).distinct()
+    held = named.agg(F.sum(F.octet_length("__t") + 64).alias("b")).first()["b"] or 0
+    if held <= most_bytes:
+        parts = max(1, -(-held // part_bytes))
+        named = named.withColumn("__p", F.pmod(F.xxhash64("__t"), F.lit(parts)))
+        found = reduce(DataFrame.unionByName, [_scan(texts, named.where(F.col("__p") == p).select("__t"), key, text, unless, term) for p in range(parts)])
+        return found.distinct()
+    found = _by_substrings(texts, named, key, text, term).distinct()
+    if unless:
+        inside = _by_substrings(texts, named, key, unless, term).distinct().select(F.col(key).alias("__k"), F.col(term).alias("__t"))
+        found = found.join(inside, F.col(key).eqNullSafe(F.col("__k")) & (F.col(term) == F.col("__t")), "left_anti")
+    return found
 
 
 def token_join(texts: DataFrame, terms: DataFrame, tokens: Column, key: str = "key", term: str = "term") -> DataFrame:

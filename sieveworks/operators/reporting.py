@@ -15,6 +15,7 @@ from ..functions import stats as S
 from ..functions.text import composite_id
 from .evaluate import LIMITS, confusion_counts, with_rates
 from .joins import join_by_index, join_by_position
+from .ranges import with_rank
 from .sampling import kind_quota
 from .sets import union_rows
 
@@ -122,8 +123,8 @@ def training_pool(trusted: DataFrame, judged: DataFrame, synthetic: DataFrame, e
     """Trusted and judged candidates, synthetic positives, and negatives in their measure: as many entities as entity positives, numbers by the kinds of number positives."""
     numbers = synthetic.where("red_line_guess = 2").groupBy("kind").agg(F.count("*").alias("n"))
     entities = synthetic.where("red_line_guess = 0").agg(F.count("*").alias("__cap"))
-    ranked = entity_negatives.withColumn("__r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # negatives of one run: a bounded set
-    kept = ranked.join(F.broadcast(entities), F.col("__r") <= F.col("__cap")).drop("__r", "__cap")  # one row
+    ranked = with_rank(entity_negatives, order, "__r")
+    kept = ranked.join(F.broadcast(entities), F.col("__r") < F.col("__cap")).drop("__r", "__cap")  # one row
     columns = trusted.columns
     return union_rows(trusted, judged.select(*columns), synthetic.select(*columns), kept.select(*columns), kind_quota(number_negatives, "kind", numbers, order).select(*columns))
 
@@ -206,4 +207,4 @@ def recall_gate(counts: DataFrame) -> DataFrame:
 def table_lines(rows: DataFrame, columns: Sequence[tuple[str, int, str]], order: Sequence[Column]) -> DataFrame:
     """(position, line) of a report: (column, width, format) each; text is padded on the right, numbers by their printf format on the left."""
     cells = [F.rpad(F.col(c).cast("string"), w, " ") if not f else F.lpad(F.format_string(f, c), w, " ") for c, w, f in columns]
-    return rows.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).alias("position"), F.concat(*cells).alias("line"))  # a report's rows
+    return with_rank(rows, order, "__at").select(F.col("__at").cast("int").alias("position"), F.concat(*cells).alias("line"))

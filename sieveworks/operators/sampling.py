@@ -6,6 +6,7 @@ bounded; so a stratum that holds most rows sends n rows a task, not all of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hex_to_long, seeded, split_pool
 from ..functions.stats import half_even
+from .ranges import running_totals, with_rank
 
 
 def split_records(records: DataFrame, key: str, seed: str, shares: Sequence[tuple[str, int]]) -> DataFrame:
@@ -43,11 +45,11 @@ def stratified_sample(rows: DataFrame, label: str, key: Column, n: int, seed: st
 
 
 def dense_ids(rows: DataFrame, order: Sequence[Column], prefix: str, n: int | None = None, start: int = 0) -> DataFrame:
-    """The first n rows in that order, with ids prefix-000 and on. A sample's ids; the rows meet in one place, so give n for large inputs."""
+    """The first n rows in that order (all without n), with ids prefix-000 and on."""
     if n is not None:
         rows = rows.orderBy(*order).limit(n)
-    w = Window.orderBy(*order)
-    return rows.withColumn("id", F.format_string(f"{prefix}-%03d", F.row_number().over(w) - 1 + start))
+    ranked = with_rank(rows, order, "__rank")
+    return ranked.withColumn("id", F.format_string(f"{prefix}-%03d", F.col("__rank") + start)).drop("__rank")
 
 
 def next_start(ids: DataFrame, id_col: str) -> int:
@@ -205,22 +207,113 @@ def replace_slots(slots: DataFrame, spares: DataFrame, stratum: str, order: Sequ
 def budget_cutoff(rows: DataFrame, cost: Column, order: Sequence[Column], limit: float, by: Sequence[str] = ()) -> DataFrame:
     """Adds spent_before and submitted: a row goes out while what was spent before it is within the limit; later ones never do.
 
-    Costs are not negative, so the sum only grows. Give `by` to keep a budget for each key; one budget for all is a
-    running sum over all rows, in one task.
+    Costs are not negative, so the sum only grows. Give `by` to keep a budget for each key; one budget for all, or for a key of most rows, is summed over ranges
+    of the order, so no task holds more than a range.
     """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(F.coalesce(cost, F.lit(0.0))).over(w), F.lit(0.0))
-    return rows.withColumn("spent_before", spent).withColumn("submitted", F.col("spent_before") <= limit)
+    spent = running_totals(rows, order, {"spent_before": F.coalesce(cost.cast("double"), F.lit(0.0))}, by)
+    return spent.withColumn("submitted", F.col("spent_before") <= limit)
 
 
 def shards(rows: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
-    """Adds shard and position; `size` consecutive rows to each shard, order kept.
-
-    Ranks come from range-partitioned counts, not from one sort: sort by ranges, count a range, offset by the counts before.
+    """Adds shard and position; `size` consecutive rows to each shard, order kept. Ranks come from counts of ranges, not from one sort."""
+    at = with_rank(rows, order, "__at")
+    return at.withColumns({"shard": F.floor(F.col("__at") / size).cast("long"), "position": (F.col("__at") % size).cast("long")}).drop("__at")
+
+
+#: The published constants of the 32-bit Mersenne twister.
+STATE, SHIFT, MATRIX, UPPER_BIT, LOWER_BITS = 624, 397, 0x9908B0DF, 0x80000000, 0x7FFFFFFF
+SEED_STEP, SEED_BASE, KEY_ONE, KEY_TWO = 1812433253, 19650218, 1664525, 1566083941
+
+
+class Twister:
+    """The 32-bit Mersenne twister, seeded by an integer's 32-bit words as its authors' array seeding does."""
+
+    def __init__(self, seed: int) -> None:
+        number, key = abs(seed), []
+        while number or not key:
+            key.append(number & 0xFFFFFFFF)
+            number >>= 32
+        s = [SEED_BASE]
+        for i in range(1, STATE):
+            s.append((SEED_STEP * (s[-1] ^ s[-1] >> 30) + i) & 0xFFFFFFFF)
+        at = 1
+        for k in range(max(STATE, len(key))):
+            word = k % len(key)
+            s[at] = ((s[at] ^ (s[at - 1] ^ s[at - 1] >> 30) * KEY_ONE) + key[word] + word) & 0xFFFFFFFF
+            at += 1
+            if at == STATE:
+                s[0], at = s[-1], 1
+        for _ in range(STATE - 1):
+            s[at] = ((s[at] ^ (s[at - 1] ^ s[at - 1] >> 30) * KEY_TWO) - at) & 0xFFFFFFFF
+            at += 1
+            if at == STATE:
+                s[0], at = s[-1], 1
+        s[0] = UPPER_BIT
+        self.state, self.at = s, STATE
+
+    def word(self) -> int:
+        if self.at == STATE:
+            s = self.state
+            for i in range(STATE):
+                y = (s[i] & UPPER_BIT) | (s[(i + 1) % STATE] & LOWER_BITS)
+                s[i] = s[(i + SHIFT) % STATE] ^ y >> 1 ^ (MATRIX if y & 1 else 0)
+            self.at = 0
+        y = self.state[self.at]
+        self.at += 1
+        y ^= y >> 11
+        y ^= y << 7 & 0x9D2C5680
+        y ^= y << 15 & 0xEFC60000
+        return y ^ y >> 18
+
+    def bits(self, k: int) -> int:
+        """k random bits, low words first, the last word's high bits."""
+        out = 0
+        for i in range(0, k, 32):
+            out |= (self.word() >> max(0, 32 - (k - i))) << i
+        return out
+
+    def below(self, n: int) -> int:
+        """A number under n: as many bits as n has, drawn again until they are below it."""
+        k = n.bit_length()
+        while (r := self.bits(k)) >= n:
+            pass
+        return r
+
+
+def sample_places(population: int, n: int, seed: int) -> list[int]:
+    """The n places, in the order drawn, of a sample without replacement of a population: what drawing from a list whose drawn place the last free entry fills gives.
+
+    Only entries that were moved are held, so work and memory are those of n draws, whatever the population. Small samples of large populations draw again on a
+    place that is taken instead; which of the two holds is part of the result: it depends on 21 plus the power of four above 3n.
+    """
+    if not 0 <= n <= population:
+        raise ValueError(f"{n} of {population} rows")
+    draw = Twister(seed).below
+    least = 21 + (4 ** _ceil_log4(3 * n) if n > 5 else 0)
+    if population > least:
+        seen: dict[int, None] = {}
+        while len(seen) < n:
+            seen.setdefault(draw(population))
+        return list(seen)
+    moved, out = {}, []
+    for i in range(n):
+        free = population - i
+        at = draw(free)
+        out.append(moved.get(at, at))
+        moved[at] = moved.get(free - 1, free - 1)
+    return out
+
+
+def _ceil_log4(x: int) -> int:
+    return math.ceil(math.log(x, 4))
+
+
+def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """rows with `draw` (from 0): the n rows that a seeded sample of the sorted keys takes, in the order drawn. Keys are distinct.
+
+    The generator gives n numbers on the driver; ranks of the keys are exact and distributed, and the places drawn meet them by a join.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    local = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy("__i")))
-    counts = local.groupBy("__p").agg(F.count("*").alias("__c"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
-    at = local.join(before, "__p").withColumn("__at", F.col("__before") + F.col("__k") - 1)
-    return at.withColumns({"shard": F.floor(F.col("__at") / size).cast("long"), "position": (F.col("__at") % size).cast("long")}).drop("__p", "__i", "__k", "__before", "__at")
+    ranked = with_rank(rows, [F.col(key)], "__at")
+    places = sample_places(rows.count(), n, seed)
+    drawn = rows.sparkSession.createDataFrame(list(zip(places, range(n), strict=True)), "__at long, draw long")
+    return ranked.join(drawn, "__at").drop("__at")

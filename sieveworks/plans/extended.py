@@ -691,18 +691,14 @@ def last_places(read):
 
 @query("next_ids", "SELECT count(*) AS next FROM documents")
 def next_ids(read):
+    from ..operators.ranges import with_rank
     from ..operators.sampling import next_start
 
-    n = next_start(read("documents").select(F.concat(F.lit("case-"), (F.row_number().over(_by("doc_id")) - 1).cast("string")).alias("id")), "id")
+    ids = with_rank(read("documents").select("doc_id"), [F.col("doc_id")], "k").select(F.concat(F.lit("case-"), F.col("k").cast("string")).alias("id"))
+    n = next_start(ids, "id")
     return read("nation").sparkSession.createDataFrame([(n,)], "next long")
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy(column)
-
-
 @query("positive_rule", "SELECT doc_id, toxic = 1 AS positive FROM labels")
 def positive_rule(read):
     """The predicate that the rows' own JSON calls for."""

@@ -120,8 +120,17 @@ def test_contains_join_equals_brute_force(spark):
     rng = random.Random(1)
     word = lambda n: "".join(rng.choice("abc") for _ in range(n))
     texts, terms = [(i, word(rng.randint(0, 20))) for i in range(60)], sorted({word(rng.randint(1, 4)) for _ in range(30)})
-    got = Jn.contains_join(spark.createDataFrame(texts, "key int, text string"), spark.createDataFrame([(t,) for t in terms], "term string")).collect()
-    assert sorted((r["key"], r["term"]) for r in got) == sorted((i, w) for i, t in texts for w in terms if w in t)
+    terms, brute = [*terms, "é\U0001f600"], lambda keep: sorted((i, w) for i, t in texts for w in terms if w in (t or "") and keep(i, w))
+    texts += [(60, None), (61, "x é\U0001f600é"), (62, "a" * 5000)]
+    other = {i: word(6) for i, _ in texts}
+    df = spark.createDataFrame([(i, t, other[i]) for i, t in texts], "key int, text string, other string")
+    named = spark.createDataFrame([(t,) for t in [*terms, terms[0], ""]], "term string")
+    for how in ({}, {"part_bytes": 200}, {"most_bytes": 0}):  # one automaton, several, substrings
+        got = Jn.contains_join(df, named, **how).collect()
+        assert sorted((r["key"], r["term"]) for r in got) == brute(lambda i, w: True)
+        got = Jn.contains_join(df, named, unless="other", **how).collect()
+        assert sorted((r["key"], r["term"]) for r in got) == brute(lambda i, w: w not in other[i])
+    assert Jn.contains_join(df, named.where("false")).collect() == []
 
 
 def test_policies_for_missing_rows(spark):
@@ -355,3 +364,31 @@ def test_persona(spark):
         assert p["age"] == spec.ages[(h + i) % 2] and p["education"] == spec.education[(h >> 5) % 2]
         assert not (p["living"] == "nursing" and p["helper"] == "spouse")
     assert got[0]["gender"] == "男" and [p["condition"] for p in got[:3]] == ["病", "危象", "高血压"] and got[3]["condition"] in ("x", "y")
+
+
+def test_twister_and_places_equal_the_known_generator():
+    for seed in [0, 1, 7, 42, 2026, 20260810, 2**32 - 1, 2**32, 2**70 + 5, -9]:
+        rng, own = random.Random(seed), Sm.Twister(seed)
+        assert [own.bits(k) for k in (1, 7, 32, 33, 64, 100)] == [rng.getrandbits(k) for k in (1, 7, 32, 33, 64, 100)]
+        for population, n in [(1, 1), (5, 5), (21, 5), (22, 5), (30, 6), (85, 6), (100, 90), (1000, 3), (5000, 400), (10**9, 50), (7, 0)]:
+            assert Sm.sample_places(population, n, seed) == random.Random(seed).sample(range(population), n)
+    with pytest.raises(ValueError):
+        Sm.sample_places(3, 4, 1)
+
+
+def test_seeded_sample_equals_the_known_one(spark):
+    keys = [f"case-{i * 7919 % 1000:03d}" for i in range(300)]
+    df = spark.createDataFrame([(k,) for k in keys], "id string").repartition(5)
+    for seed, n in [(1, 12), (2026, 60), (5, 299), (9, 0)]:
+        got = [r["id"] for r in Sm.seeded_sample(df, "id", n, seed).orderBy("draw").collect()]
+        assert got == random.Random(seed).sample(sorted(keys), n)
+
+
+def test_one_budget_over_ranges_equals_one_pass(spark):
+    rng = random.Random(8)
+    rows = [(i, float(rng.randint(0, 20)) if i % 11 else None) for i in range(2000)]
+    got = {r["id"]: (r["spent_before"], r["submitted"]) for r in Sm.budget_cutoff(spark.createDataFrame(rows, "id long, cost double").repartition(6), F.col("cost"), [F.col("id")], 900.0).collect()}
+    spent = 0.0
+    for i, c in rows:
+        assert got[i] == (spent, spent <= 900)
+        spent += c or 0.0
