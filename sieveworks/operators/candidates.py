@@ -69,7 +69,7 @@ def extract_candidates(cases: DataFrame, terms: DataFrame | None = None, nfkc: b
     out = norm.select("case_id", F.explode(F.concat(*found)).alias("c")).select("case_id", "c.*")
     if terms is not None:
         named = terms.select(packed(F.col("term"), nfkc).alias("term")).where("term != ''").distinct()
-        lexicon = contains_join(norm, named, text="ans", key="case_id", unless="src")
+        lexicon = contains_join(norm, named, text="ans", key="case_id", unless="src", unique=True)
         out = out.unionByName(lexicon.select("case_id", F.lit(0).alias("o"), F.col("term").alias("candidate_text"), F.lit("lexicon").alias("kind"), F.lit(0).alias("red_line_guess")))
     best = F.min(F.struct("o", "kind", "red_line_guess"))
     return out.groupBy("case_id", "candidate_text").agg(best.alias("b")).select("case_id", "candidate_text", "b.kind", "b.red_line_guess")

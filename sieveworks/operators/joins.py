@@ -67,11 +67,12 @@ def _by_substrings(texts: DataFrame, named: DataFrame, key: str, text: str, term
     return grams.join(named, "__t").select(key, F.col("__t").alias(term))
 
 
-def contains_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", key: str = "key", unless: str | None = None, most_bytes: int = MOST_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def contains_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", key: str = "key", unless: str | None = None, unique: bool = False, most_bytes: int = MOST_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """Distinct (key, term) where the text contains the term, and, where a column `unless` is given, the text there does not (keys are unique then), without a cross join.
 
     Terms whose bytes were summed and are few become automata of at most some `part_bytes` each, terms dealt out by hash; every automaton reads
-    each text once, and only hits are shuffled. Larger vocabularies meet the texts' substrings by a shuffled equi-join. Empty terms and null texts meet nothing; a null key is a key.
+    each text once, and only hits are shuffled. Larger vocabularies meet the texts' substrings by a shuffled equi-join. Empty terms and null texts meet nothing; a null key is a key. unique: keys are, so
+    an automaton's hits are distinct as they come.
     """
     named = terms.select(F.col(term).alias("__t")).where("__t != ''").distinct()
     held = named.agg(F.sum(F.octet_length("__t") + 64).alias("b")).first()["b"] or 0
@@ -79,7 +80,7 @@ def contains_join(texts: DataFrame, terms: DataFrame, text: str = "text", term:
         parts = max(1, -(-held // part_bytes))
         named = named.withColumn("__p", F.pmod(F.xxhash64("__t"), F.lit(parts)))
         found = reduce(DataFrame.unionByName, [_scan(texts, named.where(F.col("__p") == p).select("__t"), key, text, unless, term) for p in range(parts)])
-        return found.distinct()
+        return found if unique else found.distinct()
     found = _by_substrings(texts, named, key, text, term).distinct()
     if unless:
         inside = _by_substrings(texts, named, key, unless, term).distinct().select(F.col(key).alias("__k"), F.col(term).alias("__t"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import io
 import json
 import os
@@ -14,11 +13,14 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DataContractError
+from .csv_ranges import HEAD, open_file, parse_ranges, plan_ranges
+from .tables import saved
 
 #: Charsets in the order in which they are tried, and how many characters decide.
 CHARSETS = ("utf-8-sig", "utf-8", "gb18030")
@@ -42,41 +44,38 @@ RECORDS = "lib string, logical string, stem string, source_file string, charset
 FILE = "skipped boolean"
 
 
-def read_libraries(spark: SparkSession, root: str, skip_dir: str = "url") -> DataFrame:
+def read_libraries(spark: SparkSession, root: str, skip_dir: str = "url", range_bytes: int = 64 << 20) -> DataFrame:
     """All logical records of the CSV files below a folder, with a row index that starts anew in each file.
 
-    A file is the unit of work: it is read whole, its charset is judged once, quoted line ends stay inside fields. Files that
-    no charset fits give one row with a null charset and no record.
+    Files are listed without their contents and read by ranges of `range_bytes`, so one file may be many tasks; quoted line ends stay inside fields. A file's head tells
+    its charset. Files that no charset fits give one row with a null charset and no record.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(root).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(root).select("path", "length")
     bare = lambda path: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", path)  # noqa: E731  Spark and callers may write one scheme in two ways
     base = bare(root).rstrip("/")
+    names = ["path", "length", "lib", "stem", "source_file", "charset"]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in RECORDS.split(", ")]
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, raw in batch.itertuples(index=False):
-                path = unquote(bare(path)) if base not in path else path
-                inner = path[path.rindex(base) + len(base) :].strip("/") if base in path else path.rsplit("/", 1)[-1]
+            rows = []
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                real = unquote(bare(path)) if base not in path else bare(path)
+                inner = real[real.rindex(base) + len(base) :].strip("/") if base in real else real.rsplit("/", 1)[-1]
                 parts = inner.split("/")
                 if skip_dir in parts[:-1]:
                     continue
-                lib, stem = parts[0], parts[-1].removesuffix(".csv")
-                raw = bytes(raw)
-                charset, rows = sniff(raw), []
-                if charset is None:
-                    yield pd.DataFrame([(lib, None, stem, inner, None, None, None, None)], columns=names)
-                    continue
-                for i, r in enumerate(csv.DictReader(io.StringIO(raw.decode(charset, errors="replace"), newline=""))):
-                    r.pop(None, None)
-                    rows.append((lib, None, stem, inner, charset, i, list(r), r))
-                    if len(rows) >= 5000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
-
-    return files.mapInPandas(parse, RECORDS)
+                where = path if not path.startswith("file:") else bare(path) if os.path.exists(bare(path)) else unquote(bare(path))
+                with open_file(where) as file:
+                    rows.append((where, length, parts[0], parts[-1].removesuffix(".csv"), inner, sniff(file.read(HEAD))))
+            kinds = [pa.string(), pa.int64(), *[pa.string()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    judged = saved(files.mapInArrow(judge, "path string, length long, lib string, stem string, source_file string, charset string"), "csv-files")
+    bad = judged.where("charset IS NULL")
+    rows = parse_ranges(plan_ranges(judged.where("charset IS NOT NULL"), range_bytes), ["lib", "stem", "source_file"])
+    lacking = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split(" ") for x in RECORDS.split(", "))]
+    shaped = rows.withColumn("logical", F.lit(None).cast("string")).select(*[x.split(" ")[0] for x in RECORDS.split(", ")])
+    return shaped.unionByName(bad.select("lib", lacking[1], "stem", "source_file", *lacking[4:]))
 
 
 def logical_name(stem: Column, mapped: dict[str, str]) -> Column:

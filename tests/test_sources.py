@@ -1,9 +1,14 @@
+import csv
+import io
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from sieveworks.errors import DataContractError
+from sieveworks.sources import csv_ranges as C
 from sieveworks.sources import readers as R
 from sieveworks.sources import sinks as K
 from sieveworks.streaming import resume as S
@@ -155,3 +160,46 @@ def test_workbook_column(spark, tmp_path):
         book.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://x"><sheetData>' + "".join(f"<row>{r}</row>" for r in rows) + "</sheetData></worksheet>")
     lines = R.xlsx_lines(spark, str(tmp_path))
     assert sorted((r["freq"], r["text"]) for r in R.query_log(lines).collect()) == [(0, "7.5"), (0, "plain"), (12, "吃药")]
+
+
+AWKWARD = {
+    "plain.csv": "name,note\na,1\nb,2\n",
+    "quoted.csv": 'name,note\r\n"a\r\nb","x ""y"" z"\r\n"c,\n\n,d",e"f\r\n\r\n"g"h,"i"\r\nlast,"open to\nthe end',
+    "stray.csv": 'na"me,note\n5" pipe,"a\n\n"b" c"\n"x"y"z,"\n"\n,\n"",""""\n',
+    "carriage.csv": 'name,note\ra,1\rb,"2\r3"\r\rc,3',
+    "blank-first.csv": "\n\na,b\nc\n",
+    "long.csv": "name,name,é\n" + "".join(f'{i},"line {i}\n{"x" * (i % 90)}","ü{i}"\n' if i % 3 else f"{i},short\n" for i in range(400)),
+    "wide.csv": "name,note\na,b,c,d\n" + '"' + "q" * 3000 + '\n",z\n',
+    "empty.csv": "",
+}
+
+
+@pytest.mark.parametrize("size", [64, 65, 97, 1000, 1 << 20])
+def test_ranges_of_files_give_the_records_of_whole_files(spark, tmp_path, size):
+    (tmp_path / "lib").mkdir()
+    want = Counter()
+    for i, (name, text) in enumerate(AWKWARD.items()):
+        for charset in ("utf-8", "utf-8-sig", "gb18030"):
+            inner = f"lib/{charset} {name}"
+            (tmp_path / inner).write_bytes(text.encode(charset))
+            raw = (tmp_path / inner).read_bytes()
+            for k, r in enumerate(csv.DictReader(io.StringIO(raw.decode(R.sniff(raw)), newline=""))):
+                r.pop(None, None)
+                want[inner, k, tuple(r), tuple(r.items())] += 1
+    got = Counter((r["source_file"], r["row_idx"], tuple(r["header"]), tuple(r["fields"].items())) for r in R.read_libraries(spark, str(tmp_path), range_bytes=size).collect())
+    key = lambda c: Counter({(f, k, h, tuple(sorted(x, key=str))): n for (f, k, h, x), n in c.items()})  # noqa: E731  maps have no order
+    assert key(got) == key(want)
+
+
+def test_ranges_end_in_the_states_that_a_reader_is_in(tmp_path):
+    rng = random.Random(4)
+    for n in range(60):
+        text = "".join(rng.choice(['"', '"', ",", "\n", "\r\n", "\r", "a", "b c", '""']) for _ in range(rng.randint(1, 60)))
+        (tmp_path / "f.csv").write_bytes(text.encode())
+        rows = list(csv.reader(io.StringIO(text, newline="")))
+        for size in (3, 7, 1000):
+            state, got = False, []
+            for start in range(0, len(text), size):
+                got += C.rows_of_range(str(tmp_path / "f.csv"), "utf-8", start, start + size, state)
+                state = C.summary(str(tmp_path / "f.csv"), start, start + size)[state]
+            assert got == [r for i, r in enumerate(rows) if r or i == 0], (text, size)
