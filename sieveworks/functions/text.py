@@ -27,15 +27,22 @@ def first_contained(text: Column, terms: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(text.contains(t), F.lit(t)) for t in terms], F.lit(None).cast("string"))
 
 
+#: A list of single-quoted items, as it stands in prose.
+LIST_LITERAL = r"\[\s*'[^']*'(?:\s*,\s*'[^']*')*\s*\]"
+
+
 def clean(text: Column) -> Column:
-    """A list literal becomes its items joined by 、; tags go; runs of space, tab and U+3000 become one space, runs of line ends one; trimmed."""
-    items = F.regexp_extract_all(text, F.lit(r"'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\""), F.lit(0))
-    listed = F.array_join(F.transform(items, lambda s: F.substring(s, 2, F.length(s) - 2)), "、")
-    out = F.when(text.rlike(r"^\s*\[\s*['\"].*['\"]\s*\]\s*$"), listed).otherwise(text)
+    """List literals, wherever they stand, become their items joined by 、; tags go; runs of space, tab and U+3000 become one space, runs of line ends one; trimmed. Null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(text, F.lit(LIST_LITERAL), F.lit(0))
+    items = F.transform(found, lambda s: F.array_join(F.regexp_extract_all(s, F.lit("'([^']*)'"), F.lit(1)), "、"))
+    between = F.split(text, LIST_LITERAL, -1)
+    listed = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get(items, i), F.lit("")))), "")
+    out = F.when(F.size(found) > 0, listed).otherwise(text)
     out = F.regexp_replace(out, r"<[^>]+>", "")
     out = F.regexp_replace(out, r"[ \t　]+", " ")
     out = F.regexp_replace(out, r"\n{2,}", "\n")
-    return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(out, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def strip_tags(html: Column) -> Column:
@@ -174,15 +181,20 @@ def grounded(evidence: Column, *texts: Column) -> Column:
 
 
 def format_target(keep: Column, explain: Column, heads: tuple[str, str] = ("保留", "解释"), sep: str = "、", none: str = "-") -> Column:
-    line = lambda head, items: F.concat(F.lit(head + "："), F.when(F.size(items) > 0, F.array_join(items, sep)).otherwise(F.lit(none)))
-    return F.concat_ws("\n", line(heads[0], keep), line(heads[1], explain))
+    """A line for each of two lists, `none` for an empty one; `none` alone where both are empty."""
+    line = lambda head, items: F.concat(F.lit(head + ": "), F.when(F.size(items) > 0, F.array_join(items, sep)).otherwise(F.lit(none)))
+    return F.when((F.size(keep) == 0) & (F.size(explain) == 0), F.lit(none)).otherwise(F.concat_ws("\n", line(heads[0], keep), line(heads[1], explain)))
 
 
 def parse_target(text: Column, heads: tuple[str, str] = ("保留", "解释"), sep: str = "、", none: str = "-") -> Column:
-    """struct(keep, explain); both kinds of colon are read."""
+    """struct(keep, explain): the items of all lines of a head, in order; colons of both widths are read. Null and other texts have none."""
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]", -1), trimmed)
+
     def items(head: str) -> Column:
-        body = F.trim(F.regexp_extract(text, rf"(?m)^\s*{head}[：:](.*)$", 1))
-        return F.when(body.isin("", none), F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(body, sep), lambda s: F.trim(s)), lambda s: s != ""))
+        bodies = F.transform(F.filter(lines, lambda s: s.rlike(rf"^{head}[:：]")), lambda s: trimmed(F.substring(s, len(head) + 2, F.length(s))))
+        parts = F.flatten(F.transform(F.filter(bodies, lambda s: ~s.isin("", none)), lambda s: F.split(s, sep, -1)))
+        return F.filter(F.transform(parts, trimmed), lambda s: s != "")
 
     return F.struct(items(heads[0]).alias("keep"), items(heads[1]).alias("explain"))
 

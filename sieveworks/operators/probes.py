@@ -64,9 +64,14 @@ def best_structural(scores: DataFrame) -> DataFrame:
     return scores.where("gated").agg(F.max_by("probe", F.struct("j", "probe")).alias("probe"), F.max("j").alias("j"))
 
 
+def kind_mismatches(pool: DataFrame) -> DataFrame:
+    """Rows of the pool whose kind differs from the shape of their text; rows without a kind fit."""
+    return pool.where(F.col("kind").isNotNull() & (F.col("kind") != infer_kind(F.col("candidate_text"))))
+
+
 def check_kinds(pool: DataFrame) -> DataFrame:
     """The pool; raises if a kind differs from the shape of its text."""
-    bad = pool.where(F.col("kind").isNotNull() & (F.col("kind") != infer_kind(F.col("candidate_text")))).select("candidate_text", "kind")
+    bad = kind_mismatches(pool).select("candidate_text", "kind")
     if found := bad.limit(5).collect():
         raise DataContractError(f"kinds that do not fit their texts: {[tuple(r) for r in found]}")
     return pool

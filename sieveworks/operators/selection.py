@@ -127,3 +127,14 @@ def packets(candidates: DataFrame, spec: PersonaSpec, modes: Sequence[str], pref
     w = Window.partitionBy("scenario")
     rows = candidates.withColumns({"position": F.row_number().over(w.orderBy("rank")) - 1, "total": F.count("*").over(w)})
     return rows.select(F.format_string(f"{prefix}-%s-%03d", "scenario", "position").alias("id"), "scenario", "source_text", F.col("name").alias("record_name"), persona(F.col("record_id"), F.col("position"), F.col("name"), F.col("elder_match"), spec).alias("persona"), suggested_difficulty(F.col("position"), F.col("total")).alias("suggested_difficulty"), F.array(*map(F.lit, modes)).alias("failure_mode_options"), "provenance")
+
+
+def merge_authored(cases: DataFrame, lexicon, source: str = "source_text", **rules) -> DataFrame:
+    """Authored cases of all files by id, with source_readability (strict, four places). rules: those of checks.case_problems; the first problems are raised, so a set is whole or absent."""
+    from ..errors import DataContractError
+    from ..functions.lexical import source_readability
+    from .checks import case_problems
+
+    if found := case_problems(cases, **rules).limit(40).collect():
+        raise DataContractError(f"{len(found)} problems or more: {[tuple(r) for r in found[:5]]}")
+    return cases.withColumn("source_readability", source_readability(cases.sparkSession, F.col(source), lexicon)).orderBy("id")

@@ -225,6 +225,13 @@ def setting_seed(value: str | None = None, default: int = 20260810) -> int:
         raise DataContractError(f"the seed {value!r} is no whole number") from None
 
 
+def env_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(key, value) of KEY=value lines of any number of files; comments and lines without = are skipped, quotes around values go."""
+    kept = lines.where(F.col(value).contains("=") & ~F.ltrim(value).startswith("#"))
+    key, rest = F.trim(F.substring_index(value, "=", 1)), F.trim(F.expr(f"substring({value}, instr({value}, '=') + 1)"))
+    return kept.select(key.alias("key"), F.regexp_replace(rest, "^[\"']+|[\"']+$", "").alias("value"))
+
+
 def env_pairs(text: str) -> dict[str, str]:
     """KEY=value lines; comments and blanks are skipped, quotes around values go."""
     pairs = (line.split("=", 1) for line in text.splitlines() if "=" in line and not line.lstrip().startswith("#"))
