@@ -38,10 +38,18 @@ class DoubleArray:
         """words: word to value, values not above 0."""
         ordered = sorted(words)
         codes = {c: i + 1 for i, c in enumerate(sorted({c for w in ordered for c in w}))}
-        size = 1024
-        base, check, value = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.ones(size, np.int64)
-        check[0] = 0
-        todo, free = [(0, 0, len(ordered), 0)], 1
+        used, base, owner, value = bytearray(1), [0], [0], [1]
+        used[0] = 1
+
+        def room(upto: int) -> None:
+            if upto >= len(used):
+                more = max(upto + 1 - len(used), len(used))
+                used.extend(bytes(more))
+                base.extend([0] * more)
+                owner.extend([-1] * more)
+                value.extend([1] * more)
+
+        todo, lone, several = [(0, 0, len(ordered), 0)], 1, 1
         while todo:
             state, lo, hi, depth = todo.pop()
             if lo < hi and len(ordered[lo]) == depth:
@@ -50,22 +58,22 @@ class DoubleArray:
             if lo == hi:
                 continue
             edges = [lo] + [i for i in range(lo + 1, hi) if ordered[i][depth] != ordered[i - 1][depth]] + [hi]
-            own = np.array([codes[ordered[i][depth]] for i in edges[:-1]], np.int64)
-            while check[free] >= 0:
-                free += 1
-                if free + 1 >= len(check):
-                    base, check, value = (np.append(a, np.full(len(a), fill, np.int64)) for a, fill in ((base, 0), (check, -1), (value, 1)))
-            start = max(1, free - int(own[0]))
-            while True:
-                while start + int(own[-1]) >= len(check):
-                    base, check, value = (np.append(a, np.full(len(a), fill, np.int64)) for a, fill in ((base, 0), (check, -1), (value, 1)))
-                if (check[start + own] < 0).all():
-                    break
-                start += 1
+            own = [codes[ordered[i][depth]] for i in edges[:-1]]
+            # a lone child takes the first free place; several look from where the last ones had to look far to
+            start, tries = (max(1, lone - own[0]), 0) if len(own) == 1 else (several, 0)
+            room(start + own[-1])
+            while any(used[start + c] for c in own):
+                start, tries = start + 1, tries + 1
+                room(start + own[-1])
+            if len(own) == 1:
+                lone = max(lone, start + own[0]) if start > 1 else lone
+            elif tries > 32:
+                several = start
             base[state] = start
-            check[start + own] = state
-            todo += [(start + int(c), a, b, depth + 1) for c, a, b in zip(own, edges[:-1], edges[1:], strict=True)]
-        return cls(base, check, value, codes)
+            for c, i, j in zip(own, edges[:-1], edges[1:], strict=True):
+                used[start + c], owner[start + c] = 1, state
+                todo.append((start + c, i, j, depth + 1))
+        return cls(np.array(base, np.int64), np.array(owner, np.int64), np.array(value, np.int64), codes)
 
     @cached_property
     def _lists(self) -> tuple[list[int], list[int], list[int]]:

@@ -52,12 +52,12 @@ scored AS (SELECT p.run, p.i, p.k, CASE WHEN p.k <= {LONGEST} THEN unseen.score
 ways AS (SELECT run, i, list({{'k': k, 's': greatest(coalesce(score, unknown), coalesce(unknown, score))}} ORDER BY k) AS w
          FROM scored WHERE score IS NOT NULL OR unknown IS NOT NULL GROUP BY run, i),
 best AS (
-    SELECT run, length(run) + 1 AS i, [0::BIGINT] AS rest, ''::VARCHAR AS path FROM runs
+    SELECT run, length(run) + 1 AS i, [0::BIGINT] AS rest, [''] AS paths FROM runs
     UNION ALL
-    SELECT run, i, list_prepend(top.s, rest), substr(run, i, top.k) || '|' || list_extract(string_split(path, ';'), top.k) || ';' || path
-    FROM (SELECT b.run, w.i, b.rest, b.path, list_max(list_transform(w.w, lambda x: {{'s': x.s + b.rest[x.k], 'k': x.k}})) AS top
+    SELECT run, i, list_prepend(top.s, rest), list_prepend(substr(run, i, top.k) || '|' || paths[top.k], paths)
+    FROM (SELECT b.run, w.i, b.rest, b.paths, list_max(list_transform(w.w, lambda x: {{'s': x.s + b.rest[x.k], 'k': x.k}})) AS top
           FROM best b JOIN ways w ON w.run = b.run AND w.i = b.i - 1)),
-done AS (SELECT run, rest[1]::BIGINT AS score, rtrim(list_extract(string_split(path, ';'), 1), '|') AS pieces FROM best WHERE i = 1)
+done AS (SELECT run, rest[1]::BIGINT AS score, rtrim(paths[1], '|') AS pieces FROM best WHERE i = 1)
 {last}"""
 
 
@@ -77,11 +77,11 @@ def segmented_words(read):
 
 @query("lattice_segments", paths_sql("SELECT word AS run FROM words", """,
 parts AS (SELECT doc_id, lower(text) AS t FROM documents),
-cut AS (SELECT doc_id, r.x AS run, count(*) AS times FROM parts, unnest(regexp_extract_all(t, '[a-z]+')) AS r(x) GROUP BY ALL),
+others AS (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z]+|[a-z0-9]+|\\s+|(?s:.)')) AS p FROM parts),
+cut AS (SELECT doc_id, p AS run, count(*) AS times FROM others WHERE regexp_full_match(p, '[a-z]+') GROUP BY ALL),
 inside AS (SELECT doc_id, sum(times * len(string_split(pieces, '|'))) AS n, max(list_max(list_transform(string_split(pieces, '|'), lambda p: length(p)))) AS longest
            FROM cut JOIN done USING (run) GROUP BY doc_id),
-others AS (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z]+|[0-9]+|\\s+|(?s:.)')) AS p FROM parts),
-outside AS (SELECT doc_id, count(*) AS n, max(length(p)) AS longest FROM others WHERE NOT regexp_matches(p, '^[a-z]') GROUP BY doc_id)
+outside AS (SELECT doc_id, count(*) AS n, max(length(p)) AS longest FROM others WHERE NOT regexp_full_match(p, '[a-z]+') GROUP BY doc_id)
 SELECT doc_id, (coalesce(inside.n, 0) + coalesce(outside.n, 0))::BIGINT AS n, length(t)::BIGINT AS chars, greatest(coalesce(inside.longest, 0), coalesce(outside.longest, 0))::BIGINT AS longest
 FROM parts LEFT JOIN inside USING (doc_id) LEFT JOIN outside USING (doc_id)"""))
 def lattice_segments(read):
@@ -148,7 +148,7 @@ def ranged_records(read):
     rows.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(f"{root}/docs")
     fields = Rd.read_libraries(rows.sparkSession, root, range_bytes=16 << 10).select("fields")
     text = lambda c: F.coalesce(F.col("fields")[c], F.lit(""))
-    return fields.select(text("doc_id").cast("long").alias("doc_id"), F.sha2(text("text").cast("binary"), 256).alias("digest"), text("source").alias("source"))
+    return fields.select(text("doc_id").try_cast("long").alias("doc_id"), F.sha2(text("text").cast("binary"), 256).alias("digest"), text("source").alias("source"))
 
 
 @query("loaded_table", """
@@ -353,12 +353,12 @@ def same_sets(read):
 @query("lexicon_integrity", """
 SELECT c.n AS n_chars, m.n AS n_more, t.n AS n_terms, c.n = m.n AND t.n > 0 AS ok
 FROM (SELECT count(DISTINCT x) AS n FROM (SELECT unnest(string_split(text, '')) AS x FROM documents) WHERE x != '') c,
-     (SELECT count(DISTINCT x) AS n FROM (SELECT unnest(string_split(upper(text), '')) AS x FROM documents) WHERE x != '') m,
+     (SELECT count(DISTINCT x) AS n FROM (SELECT unnest(string_split(text, '')) AS x FROM benchmark) WHERE x != '') m,
      (SELECT count(DISTINCT w) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark)) t""")
 def lexicon_integrity(read):
     """Sizes of word lists that the tables give, against a demand."""
-    chars = lambda c: spread(read("documents")).select(F.explode(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))).alias("x"))
-    one, more = chars(F.col("text")), chars(F.upper("text"))
+    chars = lambda name: spread(read(name)).select(F.explode(F.array_distinct(F.filter(F.split("text", ""), lambda x: x != ""))).alias("x"))
+    one, more = chars("documents"), chars("benchmark")
     n = more.distinct().count()
     return Lx.integrity(one, more, read("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))), n, n)
 
