@@ -633,14 +633,14 @@ GRID = St.need_grid()
 
 
 @query("positives_needed", f"""
-WITH m AS (SELECT unnest([0.0, 0.01, 0.02, 0.04, 0.05, 0.2])::DOUBLE AS miss), g AS (SELECT unnest({GRID})::BIGINT AS n) SELECT miss, coalesce((SELECT min(n)
+WITH m AS (SELECT source, round(avg(toxic), 2) AS miss FROM labels JOIN documents USING (doc_id) GROUP BY source), g AS (SELECT unnest({GRID})::BIGINT AS n) SELECT source, miss, coalesce((SELECT min(n)
 FROM g
-WHERE 1 - {wilson_sql('round_even(n * (1 - miss), 0)', 'n', '-')} <= 0.05), -1) AS needed
+WHERE 1 - {wilson_sql('round_even(n * (1 - miss), 0)', 'n', '-')} <= 0.2), -1) AS needed
 FROM m""")
 def positives_needed(read):
-    spark = read("region").sparkSession
-    rows = spark.createDataFrame([(x,) for x in (0.0, 0.01, 0.02, 0.04, 0.05, 0.2)], "miss double")
-    return rows.select("miss", F.coalesce(St.positives_needed(F.col("miss"), F.lit(0.05)).cast("long"), F.lit(-1).cast("long")).alias("needed"))
+    """Positives that each source's rate of toxic documents, taken as a miss rate, asks for."""
+    rows = read("labels").join(read("documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.round(F.avg("toxic"), 2).alias("miss"))
+    return rows.select("source", "miss", F.coalesce(St.positives_needed(F.col("miss"), F.lit(0.2)).cast("long"), F.lit(-1).cast("long")).alias("needed"))
 
 
 PROBE_ROWS_SQL = """(SELECT doc_id, quality = 0 AS label, contains(text, '!!') AS shouting, n_chars < 300 AS short, contains(text, 'http') AS linked

@@ -655,33 +655,68 @@ def flag_problems(read):
     return Ck.flag_problems(cases, ["tion"])
 
 
-@query("char_positions", "SELECT '高' AS char, 1 AS line, 0 AS place UNION ALL SELECT '血', 1, 1 UNION ALL SELECT '压', 3, 1")
-def char_positions(read):
-    lines = read("nation").sparkSession.createDataFrame([(0, "# 注释"), (1, "高血高"), (2, "  "), (3, "血压 x")], "line int, value string")
-    return Se.char_list(lines).select("char", "position.line", F.col("position.at").alias("place"))
+HAN_DIGITS = "零一二三四五六七八九"
 
 
-@query("sectioned_words", "SELECT '感冒' AS word UNION ALL SELECT '头痛' UNION ALL SELECT '发热'")
-def sectioned_words(read):
-    lines = read("nation").sparkSession.createDataFrame(list(enumerate(["1 不要", "甲级词汇表", "1 感冒（注）/头痛", "2 abc", "乙级词汇表", "1 血压", "丙级词汇表", "1 发热"])), "line int, value string")
-    return Se.sectioned_vocabulary(lines, r"^(.)级词汇表$", ["甲", "丙"])
+def han(column):
+    """A number in Han digits, as the test tables have no Han text."""
+    return F.translate(column.cast("string"), "0123456789", HAN_DIGITS)
 
 
-@query("harvested_terms", "SELECT '阿司匹林片' AS term, true AS formal UNION ALL SELECT '乙酰水杨酸', false UNION ALL SELECT '鬯剂', false")
-def harvested_terms(read):
-    spark = read("nation").sparkSession
-    rows = spark.createDataFrame([("阿司匹林片", "止痛片，乙酰水杨酸(别名)"), ("感冒灵", "药片,鬯剂")], "name string, alias string")
-    words = lambda ws, c: spark.createDataFrame([(w,) for w in ws], f"{c} string")
-    return Se.harvest_terms(rows, ["name"], ["alias"], words(["感冒灵"], "term"), words(list("止痛药片"), "char"))
+def han_sql(x: str) -> str:
+    return f"translate(({x})::VARCHAR, '0123456789', '{HAN_DIGITS}')"
+
+
+@query("char_positions", f"""
+SELECT char, min(line) AS line, arg_min(place, line * 1000 + place) AS place
+FROM (SELECT doc_id AS line, unnest(string_split({han_sql('doc_id')}, '')) AS char, generate_subscripts(string_split({han_sql('doc_id')}, ''), 1)::INT - 1 AS place FROM documents WHERE doc_id % 5 != 0)
+GROUP BY char""")
+def char_positions(read):
+    """Where each character stands first in a list of one line a document; every fifth line is a comment."""
+    lines = read("documents").select(F.col("doc_id").alias("line"), F.concat(F.when(F.col("doc_id") % 5 == 0, "# ").otherwise(""), han(F.col("doc_id")), F.lit(" x")).alias("value"))
+    return Se.char_list(lines).select("char", "position.line", F.col("position.at").alias("place"))
 
 
-@query("best_probe", "SELECT 'short' AS probe, true AS beats FROM labels LIMIT 1")
+@query("sectioned_words", f"""
+WITH l AS (SELECT source, doc_id, CASE WHEN doc_id // 20 % 4 = 0 THEN CASE WHEN doc_id // 20 % 8 = 0 THEN '甲' ELSE '乙' END END AS head FROM documents),
+s AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id) AS section FROM l)
+SELECT DISTINCT unnest([{han_sql('doc_id')}, {han_sql('doc_id * 3')}]) AS word FROM s WHERE head IS NULL AND section = '甲'""")
+def sectioned_words(read):
+    """Words of the kept sections of one list a source; a header holds until the next one."""
+    i = F.col("doc_id")
+    part = F.expr("doc_id DIV 20")
+    head = F.concat(F.when(part % 8 == 0, "甲").otherwise("乙"), F.lit("级词汇表"))
+    value = F.when(part % 4 == 0, head).otherwise(F.concat(F.lit("1 "), han(i), F.lit("（注）/"), han(i * 3)))
+    return Se.sectioned_vocabulary(read("documents").select("source", i.alias("line"), value.alias("value")), r"^(.)级词汇表$", ["甲"], by="source")
+
+
+@query("harvested_terms", f"""
+WITH t AS (SELECT {han_sql('doc_id + 10')} || '片' AS term, true AS formal FROM documents UNION ALL SELECT unnest([{han_sql('doc_id * 7 + 10')}, {han_sql('doc_id + 10')} || '片']), false FROM documents),
+g AS (SELECT term, bool_or(formal) AS formal FROM t GROUP BY term)
+SELECT term, formal FROM g
+WHERE NOT (NOT formal AND length(term) <= 4 AND regexp_full_match(term, '[一二三四]+')) AND term NOT IN (SELECT {han_sql('doc_id + 10')} || '片' FROM documents WHERE doc_id % 10 = 3)""")
+def harvested_terms(read):
+    """Terms of two columns; colloquial ones (alias only, short, of common characters) and excluded ones are left out."""
+    i = F.col("doc_id")
+    d = read("documents")
+    formal = F.concat(han(i + 10), F.lit("片"))
+    rows = d.select(formal.alias("name"), F.concat(han(i * 7 + 10), F.lit("(别名)，"), formal).alias("alias"))
+    common = d.sparkSession.createDataFrame([(c,) for c in "一二三四"], "char string")
+    return Se.harvest_terms(rows, ["name"], ["alias"], d.where(i % 10 == 3).select(formal.alias("term")), common)
+
+
+@query("best_probe", """
+SELECT arg_max(probe, {'j': j, 'p': probe}) AS probe, max(j) >= 0.3 AS beats
+FROM (SELECT probe, round(abs(coalesce(tp / nullif(tp + fn, 0), 0) - coalesce(fp / nullif(fp + tn, 0), 0)), 9) AS j
+      FROM (SELECT probe, count_if(label AND hit)::DOUBLE AS tp, count_if(NOT label AND hit)::DOUBLE AS fp, count_if(label AND NOT hit)::DOUBLE AS fn, count_if(NOT label AND NOT hit)::DOUBLE AS tn
+            FROM (SELECT quality = 0 AS label, unnest(['shouting', 'short', 'even']) AS probe, unnest([contains(text, '!!'), n_chars < 300, doc_id % 2 = 0]) AS hit FROM labels JOIN documents USING (doc_id)) GROUP BY probe))
+WHERE probe IN ('shouting', 'short')""")
 def best_probe(read):
     """The structural probe with the largest J, as the mark that a model has to beat."""
     from ..operators.probes import best_structural, score_probes
 
-    rows = read("labels").select((F.col("quality") == 0).alias("label"), (F.col("quality") == 0).alias("short"), (F.col("doc_id") % 2 == 0).alias("even"))
-    return best_structural(score_probes(rows, ("short", "even"), structural=("short", "even"))).select("probe", (F.col("j") >= 1.0).alias("beats"))
+    rows = read("labels").join(read("documents"), "doc_id").select((F.col("quality") == 0).alias("label"), F.col("text").contains("!!").alias("shouting"), (F.col("n_chars") < 300).alias("short"), (F.col("doc_id") % 2 == 0).alias("even"))
+    return best_structural(score_probes(rows, ("shouting", "short", "even"), structural=("shouting", "short"))).select("probe", (F.col("j") >= 0.3).alias("beats"))
 
 
 @query("last_places", f"SELECT case_id, length(answer) - strpos(reverse(answer), reverse(substr(answer, 2, 2))) - 1 AS place FROM {PAIRS_SQL}")
