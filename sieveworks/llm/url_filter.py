@@ -4,13 +4,14 @@ Rules (host and path prefix, longest wins) judge what they fit. For all other pa
 trust is a personalised PageRank from the hosts that allow rules fit, along the edges; distrust starts at the hosts
 that block rules fit and runs against them. Each seed starts with the share of its pages that such rules fit, 1 at most, so neither mass
 shrinks when other hosts are added. A host is blocked when its distrust is above its trust, above `floor` times its trust, and at least
-`least`, as a share of one seed. Rounds go on until no mass changes by more than `tolerance`.
+`least`, as a share of one seed.
 
-Edges are links between different hosts (distinct pairs, summed in each task before the shuffle), and a host and its parent domain name
-each other. A round is one join and one sum; both are on (kind, host) keys, so the join takes the sums as they lie, with partial sums before the shuffle, and
-lineage is cut by a table in the shared folder every `cut` rounds. Mass that reaches a host without edges on its way goes back to the seeds, which is
-the same as scaling what is left to the seeds' sum. Masses are rounded to 12 digits, so the order of sums decides nothing. Verdicts go to the pages by a
-broadcast where their bytes were summed and are few, and by a join that splits skewed keys otherwise.
+Edges are links between different hosts (distinct pairs, summed in each task before the shuffle). With `parents`, a host and its parent domain name each other too, but for
+domains that are public suffixes or no page's host; that is no link, and it is off unless asked for. Masses spread by pushing residuals: a host keeps what it has got
+until that is above `tolerance`, then keeps 1 - damping of it and sends the rest along its edges, so a round's work follows what still moves, and rounds end where nothing does. A round is one
+join of the hosts that push with their edges, where Spark splits a host of very many links, and one sum with partial sums before the shuffle; lineage is cut by a table in the shared folder every `cut` rounds.
+Mass that reaches a host without edges on its way goes back to the seeds, which is the same as scaling what is left to the seeds' sum. Masses are rounded to 12 digits, so the order of sums
+decides nothing. Verdicts go to the pages by a broadcast where their bytes were summed and are few, and by a join that splits skewed keys otherwise.
 
 Defined results: null url or no ://: empty host and path, no rule, and the method's verdict for an unknown host,
 allow. Null html has no links. Without seeds all hosts are allowed; no pages give no rows. Rules of equal length: the first in the list wins;
@@ -64,24 +65,24 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def host_edges(pages: DataFrame, url_col: str, html_col: str, hosts: DataFrame, parents: bool = True) -> DataFrame:
+#: Endings under which anyone may register, beside all one-label ones.
+PUBLIC_SUFFIXES = ["ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "github.io", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk", "blogspot.com", "herokuapp.com", "wordpress.com"]
+
+
+def host_edges(pages: DataFrame, url_col: str, html_col: str, hosts: DataFrame, parents: bool = False, suffixes: list[str] | None = None) -> DataFrame:
     """Distinct (src, dst) of different, non-empty hosts."""
     links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(LINK), F.lit(1))).alias("link"))
     edges = links.select("src", host_of(F.regexp_replace("link", r"^(?i:https?:)?//", "x://")).alias("dst"))
     if parents:
         parent = F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1)
-        up = hosts.select(F.col("host").alias("src"), parent.alias("dst"))
+        up = hosts.select(F.col("host").alias("src"), parent.alias("dst")).where(~F.col("dst").isin(suffixes or PUBLIC_SUFFIXES))
+        up = up.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst")
         edges = edges.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return edges.where("src != '' AND dst != '' AND src != dst").distinct()
 
 
-def _moved(before: DataFrame, after: DataFrame, tolerance: float) -> bool:
-    change = after.unionByName(before.withColumn("mass", -F.col("mass"))).groupBy("kind", "host").agg(F.abs(F.sum("mass")).alias("change"))
-    return (change.agg(F.max("change").alias("c")).first()["c"] or 0.0) > tolerance
-
-
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: float = 0.85, cut: int = 4, tolerance: float = 0.0) -> DataFrame:
-    """seeds: (host, kind, mass), kind trust or distrust. Gives (host, kind, mass) after so many rounds, or fewer once no mass has changed by more than `tolerance` since the last cut.
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 1000, damping: float = 0.85, cut: int = 4, tolerance: float = 1e-6) -> DataFrame:
+    """seeds: (host, kind, mass), kind trust or distrust. Gives (host, kind, mass) once no host holds more than `tolerance` that it has not passed on, or after so many rounds.
 
     The masses of a kind sum up to those of its seeds.
     """
@@ -89,18 +90,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: floa
     degree = ways.groupBy("kind", "src").agg(F.count("*").alias("degree"))
     ways = saved(ways.join(degree, ["kind", "src"]), "host-edges")
     seeds = saved(seeds, "host-seeds")
-    mass = cut_off = seeds
+    state = seeds.select("kind", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("held"))
+    pushes = F.col("held") > tolerance
     for i in range(rounds):
-        sent = mass.withColumnRenamed("host", "src").join(ways, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("mass") / F.col("degree") * damping).alias("mass"))
-        kept = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
-        mass = sent.unionByName(kept).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if (i + 1) % cut == 0 and i + 1 < rounds:
-            last, mass = cut_off, saved(mass, "host-mass")
-            cut_off = mass
-            if tolerance and not _moved(last, mass, tolerance):
+        sent = state.where(pushes).withColumnRenamed("host", "src").join(ways, ["kind", "src"]).select("kind", F.col("dst").alias("host"), F.lit(0.0).alias("mass"), (F.col("held") / F.col("degree") * damping).alias("held"))
+        kept = state.select("kind", "host", (F.col("mass") + F.when(pushes, F.col("held") * (1 - damping)).otherwise(0.0)).alias("mass"), F.when(pushes, 0.0).otherwise(F.col("held")).alias("held"))
+        state = kept.unionByName(sent).groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("held").alias("held"))
+        if (i + 1) % cut == 0:
+            state = saved(state, "host-mass")
+            if state.where(pushes).isEmpty():
                 break
     sums = lambda df: {r["kind"]: r["sum"] for r in df.groupBy("kind").agg(F.sum("mass").alias("sum")).collect()}  # noqa: E731  two rows
-    mass = saved(mass, "host-mass")
+    mass = saved(state.select("kind", "host", "mass"), "host-mass")
     had, left = sums(seeds), sums(mass)
     scale = F.lit(1.0)
     for kind, total in had.items():
@@ -108,7 +109,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: floa
     return mass.withColumn("mass", F.round(F.col("mass") * scale, 12))
 
 
-def judge(pages: DataFrame, rules: list[Rule] | None = None, url_col: str = "url", html_col: str = "html", parents: bool = True, rounds: int = 200, damping: float = 0.85, floor: float = 2.0, least: float = 1e-3, tolerance: float = 1e-3) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] | None = None, url_col: str = "url", html_col: str = "html", parents: bool = False, rounds: int = 1000, damping: float = 0.85, floor: float = 2.0, least: float = 1e-3) -> DataFrame:
     """pages without html, with host, path, rule, verdict, trust and distrust (of the host; null if the graph did not reach it)."""
     rules = RULES if rules is None else rules
     kept = without(pages, "host", "path", "rule", "verdict", "trust", "distrust", "__fit")
@@ -116,7 +117,7 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, url_col: str = "url
     hosts = saved(judged.groupBy("host").agg(F.count_if(F.col("__fit.verdict") == "allow").alias("allowed"), F.count_if(F.col("__fit.verdict") == "block").alias("blocked"), F.count("*").alias("pages")).where("host != ''"), "hosts")
     seed = lambda kind, column: hosts.where(F.col(column) > 0).select("host", F.lit(kind).alias("kind"), (F.col(column) / F.col("pages")).alias("mass"))
     seeds = seed("trust", "allowed").unionByName(seed("distrust", "blocked"))
-    mass = propagate(host_edges(kept, url_col, html_col, hosts, parents), seeds, rounds, damping, tolerance=tolerance)
+    mass = propagate(host_edges(kept, url_col, html_col, hosts, parents), seeds, rounds, damping, tolerance=least / 1000)
     sums = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)).alias(kind)
     reached = mass.groupBy("host").agg(sums("trust"), sums("distrust"))
     reached = saved(reached, "reached")
