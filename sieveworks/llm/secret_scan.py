@@ -1,7 +1,7 @@
 """Secret scans with DataFrame functions alone.
 
-Base kinds are regular expressions. The method adds spans of its own: every run of 20 or more characters of base64 or base64url that mixes digits
-and letters is a candidate (a run that mixes both alphabets is split at / - and _, and an inner = ends a run), its encoding is inferred (the smallest alphabet that holds all its characters), and a battery asks
+Base kinds are regular expressions. The method adds spans of its own: every run of 20 or more characters of base64 or base64url that has a letter
+is a candidate (a run that mixes both alphabets is split at / - and _, and an inner = ends a run), its encoding is inferred (the smallest alphabet that holds all its characters), and a battery asks
 whether it looks random in that alphabet:
 
 - chi-squared of the symbol counts against a uniform alphabet,
@@ -9,16 +9,17 @@ whether it looks random in that alphabet:
 - the lag-1 serial correlation of the symbols.
 
 The least of the three p-values, Bonferroni-corrected, is the candidate's p. Secrets are random, so their p spreads
-evenly over (0, 1); ordinary tokens pile up near 0. False-discovery control follows from that: in each class of length
-(short tokens are harder to tell apart) the even part is estimated from the upper half, and the smallest
+evenly over (0, 1); ordinary tokens pile up near 0. False-discovery control follows from that: in each class (of letters alone, or mixed with digits, by length:
+short tokens are harder to tell apart) the even part is estimated from the upper half, and the smallest
 threshold at which the estimated share of ordinary tokens among the accepted ones stays at or below `rate` is taken.
-The counts behind it cover the distinct tokens of all documents, so copies are one test; a class of fewer than `few` of them has no upper
-half to speak of and takes `rate` itself as its threshold. Each task drops its own copies before the shuffle by token, and cells are summed per class and bin (8 x 50).
+Small classes borrow from the others: each class's counts get `BORROWED` tokens spread as those of all classes, and these get `PRIOR` tokens, half of them even, half ordinary.
+So one function of the counts serves classes of any size. The counts cover the distinct tokens of all documents, so copies are one test. Each task drops its own copies before the
+shuffle by token, and cells are summed per class and bin (16 x 50).
 
 Two narrow passes over the texts and no join; hot sources and copies meet one row a task.
 
 Defined results: null and empty texts have no spans; an empty table gives an empty result; repeated rows are scanned each; without candidates
-no threshold is needed; spans of one start and kind order by their ends; very long texts and texts of many matches cost what their characters do; the
+thresholds are those of the prior and touch nothing; tokens of digits alone are no candidates; spans of one start and kind order by their ends; very long texts and texts of many matches cost what their characters do; the
 operator's output columns replace input columns of the same names.
 """
 
@@ -43,13 +44,20 @@ _NEXT = "[A-Za-z0-9+/_-]"
 TOKEN = rf"(?:(?<!{_NEXT})(?:[A-Za-z0-9+/]{{20,}}+|[A-Za-z0-9_-]{{20,}}+)(?!{_NEXT})|[A-Za-z0-9+]{{20,}}+)(?:=++(?!{_NEXT}))?"
 
 #: Alphabets in the order in which they are tried: name, pattern, symbols in their order.
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = [
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF"),
-    ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base36", "^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    ("base64", "^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    ("base64url", "^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("lower", "^[a-z]+$", _LOWER),
+    ("upper", "^[A-Z]+$", _UPPER),
+    ("base32", "^[A-Z2-7]+=*$", _UPPER + "234567"),
+    ("base36", "^[0-9a-z]+$", _DIGITS + _LOWER),
+    ("BASE36", "^[0-9A-Z]+$", _DIGITS + _UPPER),
+    ("letters", "^[A-Za-z]+=*$", _UPPER + _LOWER),
+    ("base58", "^[1-9A-HJ-NP-Za-km-z]+$", "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"),
+    ("base62", "^[0-9A-Za-z]+=*$", _DIGITS + _UPPER + _LOWER),
+    ("base64", "^[A-Za-z0-9+/]+=*$", _UPPER + _LOWER + _DIGITS + "+/"),
+    ("base64url", "^[A-Za-z0-9_-]+=*$", _UPPER + _LOWER + _DIGITS + "-_"),
 ]
 #: Lower ends of the length classes.
 LENGTHS = [20, 24, 32, 40, 48, 64, 96, 160]
@@ -98,13 +106,16 @@ def _battery(token: str) -> str:
     return let("t", token, body)
 
 
-def _length_class(n: str) -> str:
-    return "CASE " + " ".join(f"WHEN {n} >= {low} THEN {i}" for i, low in reversed(list(enumerate(LENGTHS)))) + " ELSE 0 END"
+def _class(t: str) -> str:
+    """Letters alone (and signs) come after tokens that mix letters and digits; inside both, classes of length."""
+    n = f"length({t})"
+    length = "CASE " + " ".join(f"WHEN {n} >= {low} THEN {i}" for i, low in reversed(list(enumerate(LENGTHS)))) + " ELSE 0 END"
+    return f"({length} + CASE WHEN {t} RLIKE '[0-9]' THEN 0 ELSE {len(LENGTHS)} END)"
 
 
 def _candidates(text: Column) -> Column:
-    """Candidate tokens of a text, in order; none of a text without a digit or a long run, as only tokens that mix digits and letters have a p."""
-    return F.when(text.rlike("[0-9]") & text.rlike("[A-Za-z0-9+/_-]{20}"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(_none())
+    """Candidate tokens of a text, in order; none of a text without a long run."""
+    return F.when(text.rlike("[A-Za-z0-9+/_-]{20}"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(_none())
 
 
 def _none() -> Column:
@@ -119,29 +130,38 @@ def _may_match(kind: str, text: Column) -> Column:
     return reduce(Column.__or__, [low.contains(w) for w in ("passw", "secret", "token", "api")]) if kind == "assign" else F.lit(True)
 
 
-MIXED = "(t RLIKE '[0-9]' AND t RLIKE '[A-Za-z]')"
-P_OF = f"transform(__tokens, t -> CASE WHEN {MIXED} THEN {_battery('t')} END)"
+#: Numbers are no secrets of this kind.
+P_OF = f"transform(__tokens, t -> CASE WHEN t RLIKE '[A-Za-z]' THEN {_battery('t')} END)"
+#: Tokens that each class borrows, and tokens known before any is counted.
+BORROWED, PRIOR = 100.0, 100.0
 
 
-def thresholds(docs: DataFrame, text_col: str = "text", rate: float = 0.05, few: int = 20) -> list[float]:
-    """For each length class the least p that is accepted; 2.0 accepts none. Counts the distinct tokens of all documents."""
-    tokens = docs.select(_candidates(F.coalesce(F.col(text_col), F.lit(""))).alias("__tokens")).where("size(__tokens) > 0")
-    scored = tokens.select("__tokens", F.expr(P_OF).alias("__p")).select(F.explode(F.arrays_zip("__tokens", "__p")).alias("c")).where("c.__p IS NOT NULL").select(F.col("c.__tokens").alias("token"), F.col("c.__p").alias("p")).distinct()
-    cells = scored.groupBy(F.expr(_length_class("length(token)")).alias("class"), F.expr(f"least({BINS - 1}, CAST(floor(p * {BINS}) AS INT))").alias("bin")).count().collect()
-    count = {(r["class"], r["bin"]): r["count"] for r in cells}
+def thresholds_of(counts: list[list[float]], rate: float) -> list[float]:
+    """For each class the least p that is accepted (2.0 accepts none), from its counts by bin."""
+    prior = [PRIOR * (0.5 / BINS + (0.5 if b == 0 else 0.0)) for b in range(BINS)]
+    every = [prior[b] + sum(c[b] for c in counts) for b in range(BINS)]
     found = []
-    for c in range(len(LENGTHS)):
-        per_bin = [count.get((c, b), 0) for b in range(BINS)]
-        even = min(sum(per_bin), 2 * sum(per_bin[BINS // 2 :])) / BINS  # secrets expected in each bin
-        best = 2.0 if sum(per_bin) >= few else rate
-        for b in range(BINS - 1, -1, -1) if sum(per_bin) >= few else ():
-            accepted = sum(per_bin[b:])
-            if accepted and max(0.0, accepted - even * (BINS - b)) / accepted <= rate:
+    for own in counts:
+        bins = [n + BORROWED * x / sum(every) for n, x in zip(own, every, strict=True)]
+        even = min(sum(bins), 2 * sum(bins[BINS // 2 :])) / BINS  # secrets expected in each bin
+        best = 2.0
+        for b in range(BINS - 1, -1, -1):
+            accepted = sum(bins[b:])
+            if max(0.0, accepted - even * (BINS - b)) / accepted <= rate:
                 best = b / BINS
         found.append(best)
     return found
 
 
+def thresholds(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> list[float]:
+    """For each class the least p that is accepted. Counts the distinct tokens of all documents."""
+    tokens = docs.select(_candidates(F.coalesce(F.col(text_col), F.lit(""))).alias("__tokens")).where("size(__tokens) > 0")
+    scored = tokens.select("__tokens", F.expr(P_OF).alias("__p")).select(F.explode(F.arrays_zip("__tokens", "__p")).alias("c")).where("c.__p IS NOT NULL").select(F.col("c.__tokens").alias("token"), F.col("c.__p").alias("p")).distinct()
+    cells = scored.groupBy(F.expr(_class("token")).alias("class"), F.expr(f"least({BINS - 1}, CAST(floor(p * {BINS}) AS INT))").alias("bin")).count().collect()
+    count = {(r["class"], r["bin"]): float(r["count"]) for r in cells}
+    return thresholds_of([[count.get((c, b), 0.0) for b in range(BINS)] for c in range(2 * len(LENGTHS))], rate)
+
+
 def find_secrets(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> DataFrame:
     """docs with secrets: array of (start, rank, stop, kind), by start and then kind; rank < 3 marks base kinds."""
     least = thresholds(docs, text_col, rate)
@@ -155,7 +175,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rate: float = 0.05) ->
         out = out.withColumn(f"__v{i}", F.when(F.size(f"__m{i}") > 0, F.regexp_extract_all("__text", F.lit(pattern), F.lit(group))))
     out = out.withColumn("__tokens", _candidates(F.col("__text")))
     out = out.withColumn("__g3", F.when(F.size("__tokens") > 0, F.split("__text", TOKEN, -1))).withColumn("__p", F.expr(P_OF))
-    of_class = "element_at(array(" + ", ".join(f"{x}D" for x in least) + f"), 1 + {_length_class('length(__tokens[x.i])')})"
+    of_class = "element_at(array(" + ", ".join(f"{x}D" for x in least) + f"), 1 + {_class('__tokens[x.i]')})"
     parts = [(kind, f"__m{i}", f"length(__v{i}[x.i]) >= {n}") for i, (kind, _, _, n) in enumerate(BASE_KINDS)]
     parts.append((RANDOM, "__tokens", f"coalesce(__p[x.i] >= {of_class}, false)"))
     for i, (kind, matches, keep) in enumerate(parts):

@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+import string
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -36,6 +39,58 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum(got[i] for i in range(60, 140)) <= 8
 
 
+def token_p(token):
+    """The battery again, in plain Python: (p, class)."""
+    symbols = next(x for _, pattern, x in S.ALPHABETS if re.match(pattern, token))
+    x = [symbols.index(c) for c in token.rstrip("=")]
+    n, k, sf = len(x), len(symbols), lambda z: 1 - 1 / (1 + math.exp(-(1.5976 * z + 0.07056 * z**3)))
+    chi = sum(v * v for v in Counter(x).values()) * k / n - n
+    z_chi = ((max(chi, 0.0001) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    high = sum(2 * e >= k for e in x)
+    runs = 1 + sum((2 * a >= k) != (2 * b >= k) for a, b in zip(x, x[1:]))
+    m = 2 * high * (n - high)
+    z_runs = 9.0 if high in (0, n) else abs(runs - (m / n + 1)) / math.sqrt(max(m * (m - n) / (n * n * (n - 1)), 0.01))
+    mean = sum(x) / n
+    power = sum((e - mean) ** 2 for e in x)
+    z_serial = 9.0 if power == 0 else abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / power + 1 / n) * math.sqrt(n)
+    length = max(i for i, low in enumerate(S.LENGTHS) if len(token) >= low)
+    return min(1.0, 3 * min(sf(max(z_chi, -6.0)), 2 * sf(z_runs), 2 * sf(z_serial))), length + (0 if re.search("[0-9]", token) else len(S.LENGTHS))
+
+
+KINDS = {"BASE36-40": (string.digits + string.ascii_uppercase, 40), "BASE36-64": (string.digits + string.ascii_uppercase, 64), "letters-32": (string.ascii_letters, 32), "base62-40": (string.ascii_letters + string.digits, 40), "base64-40": (string.ascii_letters + string.digits + "+/", 40), "base36-40": (string.digits + string.ascii_lowercase, 40)}
+
+
+def test_secrets_of_all_kinds_are_found_and_thresholds_equal_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(kind, "".join(rng.choice(symbols) for _ in range(n))) for kind, (symbols, n) in KINDS.items() for _ in range(200)]
+    rows += [("plain", "".join(rng.choice(["the", "report", "final", "version", "of", "year"]) + rng.choice(["-", "_"]) for _ in range(6)) + str(i)) for i in range(300)]
+    docs = spark.createDataFrame([(k, f"see {t} there") for k, t in rows], "kind string, text string").repartition(4)
+    got = S.find_secrets(docs).collect()
+    found = Counter((r["kind"]) for r in got if any(s["kind"] == "random" and s["start"] == 4 and s["stop"] == len(r["text"]) - 6 for s in r["secrets"]))
+    assert all(found[kind] >= 190 for kind in KINDS), found
+    counts = [[0.0] * S.BINS for _ in range(2 * len(S.LENGTHS))]
+    for token in {t for _, text in rows for t in re.findall(S.TOKEN, text) if re.search("[A-Za-z]", t)}:
+        p, c = token_p(token)
+        counts[c][min(S.BINS - 1, int(p * S.BINS))] += 1
+    least = S.thresholds_of(counts, 0.05)
+    assert S.thresholds(docs) == least
+    for r in got:
+        want = {m.span() for m in re.finditer(S.TOKEN, r["text"]) if re.search("[A-Za-z]", m[0]) and token_p(m[0])[0] >= least[token_p(m[0])[1]]}
+        assert {(s["start"], s["stop"]) for s in r["secrets"] if s["kind"] == "random"} == want
+
+
+def test_one_token_more_moves_thresholds_little():
+    """One function on both sides of any count."""
+    for upper in (0, 5, 30):
+        last = None
+        for n in range(0, 80):
+            counts = [[0.0] * S.BINS for _ in range(2 * len(S.LENGTHS))]
+            counts[3][0], counts[3][40] = float(n), float(upper)
+            now = S.thresholds_of(counts, 0.05)[3]
+            assert last is None or abs(now - last) <= 0.021
+            last = now
+
+
 def test_copies_of_a_secret_do_not_raise_its_threshold(spark):
     secret = [hashlib.sha256(str(i).encode()).hexdigest()[:40] for i in range(60)]
     docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(secret)], "doc_id long, text string")
