@@ -220,11 +220,8 @@ class Page:
         return [inside[node] or self.in_body[place] and self.key[place] in winners for place, (node, _, _) in zip(self.place, self.blocks, strict=True)]
 
     def text(self, winners: Iterable[int] | None) -> str:
-        won = set(winners or ())
-        taken = self.under(won) if won else [False] * len(self.blocks)
-        covered = sum(worth for use, (_, _, worth) in zip(taken, self.blocks, strict=True) if use)
-        if 2 * covered < sum(worth for _, _, worth in self.blocks) or not any(taken):
-            taken = self.under(won | chosen(*self.scores()))
+        """The host's winners and the page's own, so what only this page has beside the usual places is kept too."""
+        taken = self.under(set(winners or ()) | chosen(*self.scores()))
         return "\n".join(text for use, (_, text, _) in zip(taken, self.blocks, strict=True) if use)
 
 

@@ -4,14 +4,15 @@ The automaton holds the words of all license templates (each in a path of its ow
 each word the longest run ending there that occurs in some template. Maximal long runs become anchors, at every place of a template where the
 run occurs. The anchors of a template, with short gaps, make a stretch, and the longest chain of their words that keeps the
 order of both text and template is its span: pairs of places by text, then an increasing subsequence of template places, so the
-chain is exact at n log n for any number of anchors. A template whose chained words cover enough of it gives its
-label. Base phrases are looked up beside that, at every place.
+chain is exact at n log n for any number of anchors. Templates whose chained words cover enough of them compete where their spans overlap: the one with the fewest
+uncovered words, of the template and inside the span together, gives its label, of equals the one with more words chained. So a chain that skips the word that tells two licenses apart loses to
+the license that has it. Base phrases are looked up beside that, at every place.
 
 Words outside the templates' vocabulary cut runs, so only runs of known words walk the automaton. One narrow pass, no
 shuffle; the automaton is as large as the templates and goes out with the task.
 
 Defined results: null and empty texts have no words and no labels; an empty table gives an empty result; very long texts are scanned as a whole;
-repeated rows are scanned each; equal coverage keeps every label; of chains of equal length the one that ends first is the span; the operator's
+repeated rows are scanned each; templates that fit a stretch equally well all give their labels; of chains of equal length the one that ends first is the span; the operator's
 output columns replace input columns of the same names.
 """
 
@@ -39,8 +40,34 @@ TEMPLATES = {
     "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "bsd-3": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "gpl-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "lgpl-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "agpl-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "gfdl-1.3": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.",
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "mit-0": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+    "boost-1": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",
+    "postgresql": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "mpl-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/",
+    "cddl-1": "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License.",
+    "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl-1": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "eupl-1.2": "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission subsequent versions of the EUPL (the Licence); You may not use this work except in compliance with the Licence.",
+    "ofl-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ at",
+    "odbl-1": "This database is made available under the Open Database License: http://opendatacommons.org/licenses/odbl/1.0/. Any rights in individual contents of the database are licensed under the Database Contents License",
+    "cc0-1": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "cc-by-3": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "cc-by-sa-3": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
     "cc-by-nc": "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nd": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
 }
 
 #: Bytes of words to their lower case, all others to a space.
@@ -159,8 +186,8 @@ class LicenseModel:
         put(len(run))
         return found
 
-    def chains(self, anchors: list[tuple[int, int, int, int]], gap: int = 40) -> list[tuple[int, int, int, float]]:
-        """(template, first word, stop, coverage): the best chain of each stretch of a template's anchors."""
+    def chains(self, anchors: list[tuple[int, int, int, int]], gap: int = 40) -> list[tuple[int, int, int, int]]:
+        """(template, first word, stop, words chained): the best chain of each stretch of a template's anchors."""
         out = []
         by_template: dict[int, list[tuple[int, int, int]]] = {}
         for t, pos, at, n in anchors:
@@ -170,13 +197,23 @@ class LicenseModel:
             for a in [*sorted(own), None]:
                 if stretch and (a is None or a[0] - stop > gap):
                     first, last, words = longest_chain(stretch)
-                    out.append((t, first, last + 1, min(1.0, words / self.sizes[t])))
+                    out.append((t, first, last + 1, words))
                     stretch = []
                 if a is not None:
                     stop = max(stop, a[0] + a[2]) if stretch else a[0] + a[2]
                     stretch.append(a)
         return out
 
+    def chosen(self, spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Spans that no better one overlaps by half of the shorter of the two. Better: fewer uncovered words on both sides, then more chained ones."""
+        rank = lambda s: (self.sizes[s[0]] - s[3] + s[2] - s[1] - s[3], -s[3])
+        kept: list[tuple[int, int, int, int]] = []
+        for s in sorted(spans, key=lambda s: (rank(s), s)):
+            better = (k for k in kept if rank(k) < rank(s) and 2 * (min(k[2], s[2]) - max(k[1], s[1])) >= min(k[2] - k[1], s[2] - s[1]))
+            if next(better, None) is None:
+                kept.append(s)
+        return kept
+
     def scan(self, raw: bytes, least_cover: float = 0.5) -> dict:
         words = words_of(raw)
         known = bytes(map(self.vocabulary.__contains__, words))
@@ -191,9 +228,10 @@ class LicenseModel:
             if len(run) >= self.least_run:
                 anchors += self.anchors(run, m.start())
         spans = self.chains(anchors) if anchors else []
-        found = {self.labels[t] for t, _, _, cover in spans if cover >= least_cover}
-        score = 1.0 if base else max((c for *_, c in spans), default=0.0)
-        return {"n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | found)), "score": score, "spans": [{"label": self.labels[t], "start": a, "stop": b, "cover": c} for t, a, b, c in spans]}
+        cover = lambda s: min(1.0, s[3] / self.sizes[s[0]])
+        found = {self.labels[s[0]] for s in self.chosen([s for s in spans if cover(s) >= least_cover])}
+        score = 1.0 if base else max(map(cover, spans), default=0.0)
+        return {"n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | found)), "score": score, "spans": [{"label": self.labels[s[0]], "start": s[1], "stop": s[2], "cover": cover(s)} for s in spans]}
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("cover", T.DoubleType())]))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, LOWER_TABLE, runs_of_rows, saved, small_batches, text_buffers
+from .common import IS_SPACE, LOWER_TABLE, saved, small_batches, text_buffers
 
 #: Size of the vocabulary, a power of two, with the class of all other words (0) and the start of a text (1); pairs in a shard, shards at least and at most;
 #: documents whose requests meet one copy of a shard; bytes of text in a block; trusted ids that may be broadcast.
@@ -175,9 +175,9 @@ def count_cells(trusted: DataFrame, text_col: str) -> DataFrame:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            for i, j in runs_of_rows(offsets):
-                spaced, at, _, _ = split_words(data, offsets[i : j + 1])
-                total += np.bincount(codes(spaced, at)[0], minlength=CELLS)
+            for at, _ in pieces(data, offsets, PIECE_BYTES):
+                spaced, ends, _, _ = split_words(data, at)
+                total += np.bincount(codes(spaced, ends)[0], minlength=CELLS)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
 

@@ -455,3 +455,54 @@ def test_quality_tells_cyrillic_prose_from_shuffled_letters(spark):
     got = Q.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()
     assert sum(r["keep"] for r in got if r["doc_id"] < 1000) >= 115
     assert not any(r["keep"] for r in got if r["doc_id"] >= 1000)
+
+
+def brute_labels(model, spans):
+    """Spans that lose to none, by trying all pairs."""
+    rank = {s: (model.sizes[s[0]] + (s[2] - s[1]) - 2 * s[3], -s[3]) for s in spans}
+    half = lambda a, b: 2 * len(set(range(a[1], a[2])) & set(range(b[1], b[2]))) >= min(a[2] - a[1], b[2] - b[1])
+    kept = []
+    for s in sorted(spans, key=lambda s: (rank[s], s)):
+        if not any(rank[k] < rank[s] and half(k, s) for k in kept):
+            kept.append(s)
+    return kept
+
+
+def test_every_template_is_labelled_as_itself_and_neighbours_are_not():
+    model = C.LicenseModel.build(C.TEMPLATES, C.BASE_PHRASES)
+    assert len(C.TEMPLATES) >= 30
+    for label, text in C.TEMPLATES.items():
+        got = model.scan(f"Copyright 2020 A. Author. {text} And prose of some other words behind it.".encode())
+        assert got["labels"] == label, (label, got["labels"])
+    two = C.TEMPLATES["agpl-3"] + " here is some more " + "filler " * 60 + C.TEMPLATES["cc-by-sa"]
+    assert model.scan(two.encode())["labels"] == "agpl-3,cc-by-sa"
+
+
+def test_choice_between_templates_equals_brute_force():
+    rng = random.Random(4)
+    model = C.LicenseModel.build(C.TEMPLATES, C.BASE_PHRASES)
+    names = list(C.TEMPLATES)
+    for _ in range(60):
+        words = []
+        for name in rng.sample(names, 3):
+            own = C.TEMPLATES[name].split()
+            at = rng.randrange(len(own))
+            words += [w for w in own if rng.random() > 0.05] + own[at : at + 9] + ["gap"] * rng.choice([0, 3, 50])
+        known = [model.vocabulary.get(w.decode(), model.vocabulary.get(w, -1)) for w in C.words_of(" ".join(words).encode())]
+        spans, anchors, start = [], [], 0
+        for i, w in enumerate([*known, -1]):
+            if w < 0:
+                anchors += model.anchors(known[start:i], start) if i - start >= 5 else []
+                start = i + 1
+        spans = [s for s in model.chains(anchors) if s[3] / model.sizes[s[0]] >= 0.5]
+        want = ",".join(sorted({model.labels[s[0]] for s in brute_labels(model, spans)}))
+        got = model.scan(" ".join(words).encode())
+        assert got["labels"] == ",".join(sorted(set(filter(None, [*want.split(","), *got["base_labels"].split(",")]))))
+
+
+def test_what_only_one_page_has_beside_the_usual_place_is_kept(spark):
+    text = lambda k, n: " ".join(f"word{k}x{i}" for i in range(n))
+    pages = [(i, f"http://h.org/{i}", f"<body><div class=a><p>{text(i, 60)}</p></div></body>") for i in range(40)]
+    pages.append((40, "http://h.org/40", f"<body><div class=a><p>{text(40, 60)}</p></div><div class=b><p>{text(41, 45)}</p></div></body>"))
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[40] == text(40, 60) + "\n" + text(41, 45) and got[3] == text(3, 60)
