@@ -26,8 +26,8 @@ from .sampling import cap_source_share
 #: Digits with one usual numeral each, and the second reading of two.
 NUMERAL_OF = {1: "一", 2: "两", 3: "三", 4: "四", 5: "五", 6: "六", 7: "七", 8: "八", 9: "九", 10: "十"}
 DIGIT_OF = {**{c: d for d, c in NUMERAL_OF.items()}, "二": 2}
-#: Units of equivalent forms: time and dose, without the ambiguous 分.
-FORM_UNITS = [u for u in UNITS if u not in ("年", "斤", "倍", "岁", "分")]
+#: Units of equivalent forms, time and dose, without the ambiguous 分.
+FORM_UNITS = ["星期", "礼拜", "小时", "钟头", "分钟", "毫升", "毫克", "公斤", "天", "月", "周", "秒", "克", "升", "片", "粒", "颗", "次"]
 
 
 def normal(text: str) -> str:

@@ -280,6 +280,19 @@ def json_by_suffix(read):
     return functools.reduce(DataFrame.unionByName, [d.withColumn("part", F.lit(p)) for d, p in zip(found, ("array", "lines", "checked"), strict=True)])
 
 
+@query("json_by_key", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def json_by_key(read):
+    """Rows of array documents by key: the last one counts, in documents by name and inside a document."""
+    events = read("events").select("user_id", "event_id")
+    path = scratch(events.sparkSession, "by-key")
+    for k in range(3):  # an array a user and third
+        part = events.where(F.floor(F.col("event_id") / 4000) == k if k < 2 else F.col("event_id") >= 8000)
+        arrays = part.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("user_id", "event_id")))).alias("value"))
+        docs = arrays.agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.expr("substring(value, 2, length(value) - 2)")), ","), F.lit("]")).alias("value"))
+        docs.coalesce(1).write.text(f"{path}/{k}")
+    return Rd.json_array_by_key(events.sparkSession, f"{path}/*", events.schema, "user_id")
+
+
 @query("lexicon_file", "SELECT DISTINCT w AS term FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark)")
 def lexicon_file(read):
     """The words of the items as a lexicon file, read again; its comments and count are no words."""

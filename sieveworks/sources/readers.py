@@ -151,6 +151,15 @@ def json_array(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return json_rows(spark, path if path.endswith(".json") else path + "/*.json", schema)
 
 
+def json_array_by_key(spark: SparkSession, path: str, schema: str | T.StructType, key: str) -> DataFrame:
+    """The rows of array documents, one for each key: the last one of the last document by name."""
+    kind = schema.simpleString() if isinstance(schema, T.StructType) else f"struct<{schema}>"
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("__f"), F.from_json("value", f"array<{kind}>").alias("__a"))
+    rows = docs.select("__f", F.posexplode("__a").alias("__i", "r")).select("r.*", "__f", "__i")
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__f"), F.desc("__i")))
+    return rows.withColumn("__r", last).where("__r = 1").drop("__f", "__i", "__r")
+
+
 def merged_jsonl(spark: SparkSession, path: str | list[str], schema: str, key: str) -> DataFrame:
     """Lines of several files; the last row of a key wins, by sorted file and then by line."""
     lines = spark.read.text(path).withColumns({"__f": F.col("_metadata.file_path"), "__b": F.col("_metadata.file_block_start"), "__i": F.monotonically_increasing_id()})

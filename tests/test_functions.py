@@ -77,6 +77,9 @@ def test_youden_of_an_inverted_feature(spark):
 def test_clean_and_join(spark):
     r = one(spark, X.clean(F.lit("['甲', '乙']")), X.clean(F.lit("a<b>b</b>\t 　c\n\n\nd ")), X.join_fields([("x", F.lit("1")), ("y", F.lit("2"))], {"x": "名"}), X.join_fields([("x", F.lit("1"))], {"x": "名"}))
     assert tuple(r) == ("甲、乙", "ab c\nd", "名：1\n2", "1")
+    lists = ["见 ['甲', '乙'] 等", "['a']['b' ,  'c']", "说明[ 'x' ]", "no [list], ['bad]", "[]", None, "['a\nb', ''] z"]
+    want = ["见 甲、乙 等", "ab、c", "说明x", "no [list], ['bad]", "[]", "", "a\nb、 z"]
+    assert [one(spark, X.clean(F.lit(t).cast("string")))[0] for t in lists] == want
 
 
 def test_population_and_relevance(spark):
@@ -110,6 +113,15 @@ def test_target_round_trip(spark, keep, explain):
     assert (got["keep"], got["explain"]) == (keep, explain)
 
 
+def test_target_lines_are_written_and_read_by_the_rules(spark):
+    a = lambda v: F.array(*map(F.lit, v)).cast("array<string>")
+    written = one(spark, X.format_target(a(["甲", "乙"]), a([])), X.format_target(a([]), a(["丙"])), X.format_target(a([]), a([])))
+    assert tuple(written) == ("保留: 甲、乙\n解释: -", "保留: -\n解释: 丙", "-")
+    text = "head\n 保留： a 、、b，c \r\n解释: -\n解释:d\n保留:e、f"
+    got = one(spark, X.parse_target(F.lit(text)), X.parse_target(F.lit(" - ")), X.parse_target(F.lit(None).cast("string")))
+    assert [(g["keep"], g["explain"]) for g in got] == [(["a", "b，c", "e", "f"], ["d"]), ([], []), ([], [])]
+
+
 def test_key_points_take_both_ends(spark):
     for n in range(7, 24):
         parts = [f"part number {i:02d} of it" for i in range(n)]
