@@ -131,10 +131,10 @@ picked AS (SELECT place, row_number() OVER (ORDER BY i) - 1 AS draw FROM firsts
 SELECT {key}, draw FROM picked JOIN rows USING (place)"""
 
 
-@query("seeded_sample", TWISTER_SQL.format(seed=2026, key="doc_id", table="documents", n=60))
+@query("seeded_sample", TWISTER_SQL.format(seed=2026, key="doc_id", table="documents", n=12))
 def seeded_sample(read):
-    """Sixty documents as a seeded sample of the sorted ids takes them."""
-    return Sm.seeded_sample(read("documents").select("doc_id"), "doc_id", 60, 2026)
+    """Twelve documents as a seeded sample of the sorted ids takes them."""
+    return Sm.seeded_sample(read("documents").select("doc_id"), "doc_id", 12, 2026)
 
 
 # --- CSV by ranges ---

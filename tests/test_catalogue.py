@@ -5,7 +5,7 @@ import os
 import pytest
 
 from sieveworks.plans import catalogue as C
-from sieveworks.plans import extended  # noqa: F401  adds its queries
+from sieveworks.plans import extended, scaled  # noqa: F401  they add their queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
