@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from sieveworks.llm import license_scan, queries, url_filter
 
 from .fixtures import BENCH, SCHEMA, texts
+from .test_fill_middle import brute as brute_middle
+from .test_hard_negatives import brute as brute_negatives
+from .test_hard_negatives import made
 from .test_jaccard import brute as brute_components
+from .test_mixing import WORD, brute_targets
 from .test_native import base_spans, brute_contamination, brute_rule, brute_url
 
 #: Names of the operators' own columns, as extra columns of the input.
@@ -46,6 +50,8 @@ def write(spark, folder, documents, pages, labels):
     docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "path", "rule", "verdict", "trust", "text", "paths")}).write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame(BENCH if documents else [], "item_id long, text string").withColumn("size", F.lit("x")).write.parquet(f"{folder}/benchmark.parquet")
+    vectors = made() if documents else []
+    spark.createDataFrame([(i, v, k) for i, k, v in vectors], "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("x") for c in ("id", "at", "rank", "block", "score")}).write.parquet(f"{folder}/embeddings.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("keep", F.lit("x")).write.parquet(f"{folder}/labels.parquet")
 
 
@@ -204,3 +210,30 @@ def test_quality_rows(spark, tables):
             assert not r["keep"]
         else:
             assert r["perplexity"] >= 1 and r["keep"] == (r["perplexity"] <= r["threshold"])
+
+
+def test_fill_in_middle(spark, tables):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = Counter(tuple(r[c] for c in ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")) for r in run(spark, "op11_fill_in_middle", tables))
+    want = Counter()
+    for i, t, _ in rows_of_documents():
+        n, form, prefix, middle, output = brute_middle(i, t)
+        want[i, n, form, prefix, middle, sha(output), sha(t or "")] += 1
+    assert got == want
+
+
+def test_mixing(spark, tables):
+    rows = run(spark, "op12_mixing", tables)
+    sizes = Counter((i, len(WORD.findall(t or ""))) for i, t, _ in rows_of_documents())
+    assert Counter((r["doc_id"], r["size"]) for r in rows) == sizes
+    total = sum(n * k for (_, n), k in sizes.items())
+    want = brute_targets({"src": total})["src"]
+    assert all(r["source_size"] == total and abs(r["target"] - want) < 1e-6 and 0 <= r["taken"] <= 3 * r["size"] for r in rows)
+    assert abs(sum(r["taken"] for r in rows) - want) <= 1.5 * 128
+    assert sorted(map(str, rows)) == sorted(map(str, run(spark, "op12_mixing", tables)))
+
+
+def test_hard_negatives(spark, tables):
+    moved = [(i, (k + 1) % 10 if i is not None and i % 7 == 0 and k is not None else k, v) for i, k, v in made()]
+    got = [tuple(r[c] for c in ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")) for r in run(spark, "op13_hard_negatives", tables)]
+    assert sorted(got, key=str) == brute_negatives(moved) and got
