@@ -11,7 +11,7 @@ retries it alone if that fails, before the task fails. Members stream out in Arr
 
 Defined results: null and empty payloads are one row of zeros; equal payloads give equal members; repeated rows are
 members of their own; a null id stays null; an empty table gives a manifest without archives and an empty result; very long payloads are
-one member and one batch each; ids may be integers or strings; other columns are not stored, so their names do not matter.
+one member and one batch each; ids may be integers or strings of some 60,000 bytes at most, as they stand in a member's comment; other columns are not stored, so their names do not matter.
 """
 
 from __future__ import annotations
