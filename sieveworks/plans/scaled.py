@@ -416,7 +416,14 @@ def merged_cases(read):
     d = read("documents")
     spark = d.sparkSession
     two = F.array(F.lit("a"), F.lit("b"))
-    cases = d.select(F.concat(F.lit("case-"), F.col("doc_id").cast("string")).alias("id"), F.lit("s").alias("scenario"), F.lit("p").alias("parent_class"), F.lit("easy").alias("difficulty"), F.lit("m").alias("targets_failure_mode"), two.alias("key_points"), two.alias("negative_rubric"), F.lit("what does it say?").alias("query"), F.col("text").alias("source_text"), F.struct(F.col("doc_id").cast("string").alias("record_id")).alias("provenance"))
+    cases = d.select(
+        F.concat(F.lit("case-"), F.col("doc_id").cast("string")).alias("id"),
+        *[F.lit(v).alias(k) for k, v in {"scenario": "s", "parent_class": "p", "difficulty": "easy", "targets_failure_mode": "m", "query": "what does it say?"}.items()],
+        two.alias("key_points"),
+        two.alias("negative_rubric"),
+        F.col("text").alias("source_text"),
+        F.struct(F.col("doc_id").cast("string").alias("record_id")).alias("provenance"),
+    )
     path = scratch(spark, "authored")
     cases.repartition(3).write.json(path)
     read_again = saved(spread(Rd.jsonl(spark, path, cases.schema)), "cases")
