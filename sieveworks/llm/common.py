@@ -19,6 +19,14 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def thin_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bounds the bytes of a batch too, for workers that hold other things beside it; keeps a smaller setting of the session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > size:
+        spark.conf.set(key, str(size))
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds what Python workers and the JVM hold of a batch of texts; keeps a smaller setting of the session."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, LOWER_TABLE, saved, small_batches, text_buffers
+from .common import IS_SPACE, LOWER_TABLE, saved, small_batches, text_buffers, thin_batches
 
 #: Size of the vocabulary, a power of two, with the class of all other words (0) and the start of a text (1); pairs in a shard, shards at least and at most;
 #: documents whose requests meet one copy of a shard; bytes of text in a block; trusted ids that may be broadcast.
@@ -42,7 +42,7 @@ BITS = VOCABULARY.bit_length() - 1
 SHARD_PAIRS, SHARDS_LEAST, SHARDS_MOST, SALT_DOCUMENTS, BLOCK_BYTES, MOST_TRUSTED = 2_000_000, 16, 1000, 500_000, 16 << 20, 2_000_000
 
 #: Bytes of text that are taken apart into words at once, which takes some 80 times as much memory.
-PIECE_BYTES = 1 << 19
+PIECE_BYTES = 1 << 18
 
 K, ORDER = 32, 4
 CELLS = K**ORDER
@@ -307,6 +307,7 @@ def discounts(counts: DataFrame, column: str) -> list[float]:
 def learn(trusted: DataFrame, text_col: str = "text") -> tuple[PairModel, DataFrame]:
     """The model and its table of pairs (code, n)."""
     small_batches(trusted.sparkSession)
+    thin_batches(trusted.sparkSession)
     shared = trusted.sparkSession.sparkContext.broadcast((vocabulary_of(trusted, text_col), spelling(trusted, text_col)))
     pairs = saved(count_pairs(trusted, shared, text_col), "pairs")
     d = discounts(pairs, "n")
