@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_table, run_folder, saved, shared_path  # noqa: F401  the operators take them from here
+from ..sources.tables import read_table, run_folder, saved, shared_path, small_batches, thin_batches  # noqa: F401  the operators take them from here
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -19,21 +19,6 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def thin_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Bounds the bytes of a batch too, for workers that hold other things beside it; keeps a smaller setting of the session."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key).rstrip("bB")
-    if not now.isdigit() or int(now) > size:
-        spark.conf.set(key, str(size))
-
-
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds what Python workers and the JVM hold of a batch of texts; keeps a smaller setting of the session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def clean_up(spark: SparkSession) -> bool:
     """Deletes what this application's operators have written beside their results, which must have been used by then: results read it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
