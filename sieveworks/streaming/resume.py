@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,19 +54,21 @@ def compact(log: DataFrame, order: DataFrame, key: str = "id", position: str = "
 
 
 def sticky_budget(events: DataFrame, key: str, cost: Column, limit: float) -> DataFrame:
-    """(key, event, spent, submitted) of a stream with an event column: once a key's spending is over its limit, nothing of it goes out again."""
+    """(key, event, spent, submitted) of a stream with an event column: once a key's spending is over its limit, nothing of it goes out again.
+
+    Micro-batches are spent in the order they come, and the rows of a key inside one in the order of their events. Arrow batches cut a key's rows anywhere, so
+    a task holds one key's events and costs of one micro-batch; maxFilesPerTrigger and the like bound it.
+    """
     rows = events.select(F.col(key).cast("string").alias("key"), F.col("event").cast("string").alias("event"), cost.cast("double").alias("cost"))
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         spent = state.get[0] if state.exists else 0.0
-        for batch in batches:
-            out = []
-            for event, c in batch.sort_values("event")[["event", "cost"]].itertuples(index=False):
-                out.append((k[0], event, spent, spent <= limit))
-                if spent <= limit:
-                    spent += 0.0 if pd.isna(c) else c
-            yield pd.DataFrame(out, columns=["key", "event", "spent", "submitted"])
-        state.update((spent,))
+        come = pd.concat([b[["event", "cost"]] for b in batches], ignore_index=True).sort_values("event", kind="stable", ignore_index=True)
+        after = np.cumsum(np.append(spent, come["cost"].fillna(0.0).to_numpy(float)))  # one addition after the other
+        if (over := after > limit).any():
+            after[over.argmax() :] = after[over.argmax()]
+        yield pd.DataFrame({"key": k[0], "event": come["event"], "spent": after[:-1], "submitted": after[:-1] <= limit})
+        state.update((float(after[-1]),))
 
     return rows.groupBy("key").applyInPandasWithState(step, "key string, event string, spent double, submitted boolean", "spent double", "append", GroupStateTimeout.NoTimeout)
 

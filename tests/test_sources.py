@@ -145,6 +145,29 @@ def test_streamed_budget(spark, tmp_path):
     assert got == {(k, str(i)): i < 2 for k in "ab" for i in range(4)}
 
 
+def test_a_key_cut_by_arrow_batches_is_spent_in_order(spark, tmp_path):
+    src = tmp_path / "ev"
+    src.mkdir()
+    rows = [{"k": k, "event": f"{i:03d}", "c": None if i % 7 == 3 else 1.0 + i % 3} for i in range(120) for k in "abc"]
+    random.Random(3).shuffle(rows)
+    (src / "1.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        stream = spark.readStream.schema("k string, event string, c double").json(str(src))
+        S.sticky_budget(stream, "k", F.col("c"), 99.0).writeStream.format("memory").queryName("cut_budget").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        got = {(r["key"], r["event"]): (r["spent"], r["submitted"]) for r in spark.table("cut_budget").collect()}
+    finally:
+        spark.conf.set(key, before)
+    want, spent = {}, dict.fromkeys("abc", 0.0)
+    for r in sorted(rows, key=lambda r: r["event"]):
+        s = spent[r["k"]]
+        want[r["k"], r["event"]] = (s, s <= 99.0)
+        spent[r["k"]] += (r["c"] or 0.0) * (s <= 99.0)
+    assert got == want
+
+
 def test_windows_on_a_table(spark):
     e = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:00:00", "a", 4.0)], "ts string, k string, v double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((str(r["window_start"]), r["n"], r["total"]) for r in S.windowed_counts(e, "ts", "k", "v").collect()) == [("2024-01-01 00:00:00", 2, 3.0), ("2024-01-01 01:00:00", 1, 4.0)]
