@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import io
+import itertools
 import json
 import os
 import re
@@ -152,12 +154,85 @@ def json_array(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 
 
 def json_array_by_key(spark: SparkSession, path: str, schema: str | T.StructType, key: str) -> DataFrame:
-    """The rows of array documents, one for each key: the last one of the last document by name."""
-    kind = schema.simpleString() if isinstance(schema, T.StructType) else f"struct<{schema}>"
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("__f"), F.from_json("value", f"array<{kind}>").alias("__a"))
-    rows = docs.select("__f", F.posexplode("__a").alias("__i", "r")).select("r.*", "__f", "__i")
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__f"), F.desc("__i")))
-    return rows.withColumn("__r", last).where("__r = 1").drop("__f", "__i", "__r")
+    """The rows of array documents, one for each key: the last one of the last document by name. Documents that are no JSON give no rows; an object alone counts as an array of it.
+
+    A document is read as a stream by one task, which holds a chunk and an element of it at most.
+    """
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    files = spark.read.format("binaryFile").load(path).select("path")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                bare = re.sub(r"^file:/+", "/", name)
+                where = name if not name.startswith("file:") else bare if os.path.exists(bare) else unquote(bare)
+                try:
+                    with open_file(where) as file:
+                        for _ in array_elements(file):
+                            pass
+                except ValueError:
+                    continue
+                with open_file(where) as file:
+                    found, at = array_elements(file), 0
+                    while part := list(itertools.islice(found, 4096)):
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.string())], ["__f", "__i", "value"])
+                        at += len(part)
+
+    n = min(max(1, len(spark.read.format("binaryFile").load(path).inputFiles())), 4 * spark.sparkContext.defaultParallelism)
+    rows = files.repartition(n).mapInArrow(parse, "__f string, __i long, value string").select("__f", "__i", F.from_json("value", kind).alias("r"))
+    last = rows.groupBy(F.col(f"r.{key}").alias("__k")).agg(F.max_by("r", F.struct("__f", "__i")).alias("r"))
+    return last.select("r.*")
+
+
+def array_elements(file, chunk: int = 1 << 20) -> Iterator[str]:
+    """The texts of the elements of an array document, read by chunks; an object alone is one element, other values none. Raises ValueError where it is no JSON."""
+    read, decode = codecs.getreader("utf-8")(file).read, json.JSONDecoder().raw_decode
+    buffer, at, ended, begun = "", 0, False, False
+    blank = re.compile(r"[ \t\r\n]*")
+
+    def more() -> None:
+        nonlocal buffer, at, ended
+        got = read(max(chunk, len(buffer) - at))  # a long element is read by growing chunks
+        buffer, at, ended = buffer[at:] + got, 0, not got
+
+    def skip() -> str:
+        nonlocal at
+        while True:
+            at = blank.match(buffer, at).end()
+            if at < len(buffer) or ended:
+                return buffer[at : at + 1]
+            more()
+
+    first = skip().lstrip("\ufeff")
+    if not first and buffer[at:]:
+        at += 1
+        first = skip()
+    alone = first == "{"
+    if first not in ("[", "{"):
+        return
+    at += not alone
+    while (c := skip()) != "]" or begun:
+        if not c:
+            raise ValueError("the document ends early")
+        while True:
+            try:
+                end = decode(buffer, at)[1]
+                if ended or buffer[end : end + 1] in (" ", "\t", "\r", "\n", ",", "]"):  # else a number may go on
+                    break
+            except ValueError:
+                if ended:
+                    raise
+            more()
+        yield buffer[at:end]
+        at, begun = end, True
+        if alone or (c := skip()) == "]":
+            break
+        if c != ",":
+            raise ValueError("no comma between elements")
+        at += 1
+    at += not alone
+    if skip():
+        raise ValueError("more than one document")
 
 
 def merged_jsonl(spark: SparkSession, path: str | list[str], schema: str, key: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,22 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_json_arrays(rows: DataFrame, path: str) -> None:
+    """An array document for each partition, its rows in their order; they are written as they come, a line each."""
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = "["
+        for batch in batches:
+            if batch.num_rows:
+                lines = pc.binary_join_element_wise(pa.array([head] + [","] * (batch.num_rows - 1)), batch.column(0), "")
+                yield pa.RecordBatch.from_arrays([lines], ["value"])
+                head = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if head == "," else "[]"])], ["value"])
+
+    fields = F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")
+    rows.select(fields).mapInArrow(wrap, "value string").write.mode("overwrite").text(path)
+
+
 def write_shards(rows: DataFrame, path: str, order: Sequence[Column], size: int = 14, output: str = "output") -> None:
     """Folders shard=k of `size` rows each, in order; rows without output are left out."""
     kept = rows.where(F.coalesce(F.col(output), F.lit("")) != "")

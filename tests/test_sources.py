@@ -145,6 +145,34 @@ def test_streamed_budget(spark, tmp_path):
     assert got == {(k, str(i)): i < 2 for k in "ab" for i in range(4)}
 
 
+def test_elements_are_those_of_the_document_whatever_the_chunks():
+    import io
+
+    for value in ([], [1], [12, -3.5e2, "a]\"[,é", None, True], [{"a": [1, {"b": "}"}]}, [], {}], {"a": "]"}):
+        for indent in (None, 2):
+            raw = json.dumps(value, ensure_ascii=False, indent=indent).encode()
+            for chunk in (1, 2, 3, 7, 1 << 20):
+                got = [json.loads(x) for x in R.array_elements(io.BytesIO(raw), chunk)]
+                assert got == (value if isinstance(value, list) else [value]), (value, chunk)
+    for bad in ("[1", "[1,]", "[1 2]", "[1] 2", "[tru]", '{"a": 1} x'):
+        with pytest.raises(ValueError):
+            list(R.array_elements(io.BytesIO(bad.encode()), 2))
+    assert list(R.array_elements(io.BytesIO(b"7"))) == list(R.array_elements(io.BytesIO(b""))) == []
+
+
+def test_array_documents_are_written_and_read_by_key(spark, tmp_path):
+    from sieveworks.sources.sinks import write_json_arrays
+
+    rows = spark.createDataFrame([(i % 5 if i % 11 else None, i, "x" if i % 2 else None) for i in range(100)], "k int, v long, t string")
+    write_json_arrays(rows.repartitionByRange(3, "v").sortWithinPartitions("v"), str(tmp_path / "docs"))
+    (tmp_path / "docs" / "zz-bad.txt").write_text('[{"k": 1, "v": 999, "t": "x"}, {"k"')
+    got = {tuple(r) for r in R.json_array_by_key(spark, str(tmp_path / "docs"), rows.schema, "k").collect()}
+    last = {r["k"]: tuple(r) for r in sorted(rows.collect(), key=lambda r: r["v"])}
+    assert got == set(last.values())
+    docs = [json.loads(f.read_text()) for f in (tmp_path / "docs").glob("part-*")]
+    assert len(docs) == 3 and sum(map(len, docs)) == 100
+
+
 def test_a_key_cut_by_arrow_batches_is_spent_in_order(spark, tmp_path):
     src = tmp_path / "ev"
     src.mkdir()
