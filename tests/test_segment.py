@@ -81,3 +81,22 @@ def test_lexicons_cut_on_lattice_borders(segmenter):
     assert [t for t, *_ in plain.segment(text)] == ["中国人民", "的大学生", "活"]
     assert [t for t, *_ in lattice.segment(text)] == ["中国", "人民", "的", "大学", "生活"]
     assert [t for t, *_ in Lexicon(frozenset(), terms=frozenset(["民的"]), base=segmenter).segment(text)] == ["中国", "人", "民的", "大学", "生活"]
+
+
+def test_workers_hold_twelve_bytes_a_state_and_few_runs():
+    trie = G.DoubleArray.of({f"w{i:04d}x": -i for i in range(3000)})
+    assert sum(v.nbytes for v in trie._views) <= 12 * len(trie.base) and trie.found("w0007x", 0) == [(6, -7)]
+    s = G.Segmenter(trie, {}, -10, -20, run="[a-z0-9]+")
+    for i in range(25_000):
+        s.pieces(f"r{i}")
+    assert len(s.known_runs) <= 20_001
+
+
+def test_batches_of_pieces_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    G.lattice_segments(spark, F.lit("a"), G.Segmenter(G.DoubleArray.of({}), {}, -10, -20))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= 2 << 20
