@@ -137,4 +137,5 @@ def merge_authored(cases: DataFrame, lexicon, source: str = "source_text", **rul
 
     if found := case_problems(cases, **rules).limit(40).collect():
         raise DataContractError(f"{len(found)} problems or more: {[tuple(r) for r in found[:5]]}")
-    return cases.withColumn("source_readability", source_readability(cases.sparkSession, F.col(source), lexicon)).orderBy("id")
+    # sorted first: a sort by ranges runs what is before it twice, once for its borders
+    return cases.orderBy("id").withColumn("source_readability", source_readability(cases.sparkSession, F.col(source), lexicon))
