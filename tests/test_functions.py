@@ -283,3 +283,21 @@ def test_plain_readability_scores_each_text_once(spark):
 
     plan = QUERIES["readability_plain"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.split("ArrowEvalPython")[1].splitlines()[0].count("run(") == 1
+
+
+def test_bounds_of_all_sizes_are_found_together():
+    from collections import Counter
+
+    text, phrase, sizes = "abcab😀bca", "abc😀", [4, 3, 5, 20]
+    for size, found in zip(sizes, L.window_bounds(phrase, text, sizes), strict=True):
+        width = min(size, len(text))
+        windows = [text[i : i + width] for i in range(len(text) - width + 1)]
+        assert found.tolist() == [2.0 * (Counter(phrase) & Counter(w)).total() / (len(phrase) + width) for w in windows]
+
+
+def test_cases_are_sorted_before_they_are_scored(spark):
+    from sieveworks.plans import scaled  # noqa: F401
+    from sieveworks.plans.catalogue import QUERIES
+
+    plan = QUERIES["merged_cases"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("ArrowEvalPython") < plan.index("Sort [")
