@@ -8,8 +8,9 @@ shrinks when other hosts are added. A host is blocked when its distrust is above
 
 Edges are links between different hosts (distinct pairs, summed in each task before the shuffle). With `parents`, a host and its parent domain name each other too, but for
 domains that are public suffixes (`suffixes`, a list of its own or none); that is no link, and it is off unless asked for. The query asks for it, without suffixes. Masses spread by pushing residuals: a host keeps what it has got
-until that is above `tolerance`, then keeps 1 - damping of it and sends the rest along its edges, so a round's work follows what still moves, and rounds end where nothing does. A round is one
-join of the hosts that push with their edges, where Spark splits a host of very many links, and one sum with partial sums before the shuffle; lineage is cut by a table in the shared folder every `cut` rounds.
+until that is above `tolerance`, then keeps 1 - damping of it and sends the rest along its edges, so what a round sends follows what still moves, and rounds end where nothing does. A round is one
+join and one sum with partial sums before the shuffle: each host also has a way to itself, by which it keeps what it does not send, so a round names the masses before it once and a plan grows by
+one join a round. Lineage is cut by a table in the shared folder every `cut` rounds. Where the bytes of all ways were summed and are few, rounds are not dealt out: they need neither shuffle nor broadcast.
 Mass that reaches a host without edges on its way goes back to the seeds, which is the same as scaling what is left to the seeds' sum. Masses are rounded to 12 digits, so the order of sums
 decides nothing. Verdicts go to the pages by a broadcast where their bytes were summed and are few, and by a join that splits skewed keys otherwise.
 
@@ -35,6 +36,9 @@ LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s<>]+)"""
 #: Bytes of hosts and masses that may be broadcast.
 MOST_BYTES = 64 << 20
 
+#: Bytes of ways that are one partition's share, so that one task takes them; more are dealt out.
+SHARE_BYTES = 8 << 20
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -87,16 +91,23 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 1000, damping: f
     """
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     degree = ways.groupBy("kind", "src").agg(F.count("*").alias("degree"))
-    ways = saved(ways.join(degree, ["kind", "src"]), "host-edges")
+    ways = saved(ways.join(degree, ["kind", "src"]).select("kind", "src", "dst", "degree"), "host-edges")
     seeds = saved(seeds, "host-seeds")
-    state = seeds.select("kind", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("held"))
-    pushes = F.col("held") > tolerance
+    ends = ways.select("kind", F.explode(F.array("src", "dst")).alias("src")).unionByName(seeds.select("kind", F.col("host").alias("src"))).distinct()
+    ways = ways.unionByName(saved(ends.select("kind", "src", F.col("src").alias("dst"), F.lit(None).cast("long").alias("degree")), "host-ends"))
+    few = (ways.agg(F.sum(F.octet_length("src") + F.octet_length("dst") + 64).alias("bytes")).first()["bytes"] or 0) <= SHARE_BYTES
+    dealt = lambda df: df.coalesce(1) if few else df  # noqa: E731  every host of a state is one of the ways' ends
+    ways = ways.coalesce(1).hint("shuffle_hash") if few else ways
+    state = dealt(seeds.select("kind", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("held")))
+    pushes, stays = F.col("held") > tolerance, F.col("degree").isNull()
+    kept = F.col("mass") + F.when(pushes, F.col("held") * (1 - damping)).otherwise(0.0)
+    held = F.when(~stays, F.col("held") / F.col("degree") * damping).when(pushes, 0.0).otherwise(F.col("held"))
+    moved = ["kind", F.col("dst").alias("host"), F.when(stays, kept).otherwise(0.0).alias("mass"), held.alias("held")]
+    totals, goes = [F.sum("mass").alias("mass"), F.sum("held").alias("held")], pushes | stays
     for i in range(rounds):
-        sent = state.where(pushes).withColumnRenamed("host", "src").join(ways, ["kind", "src"]).select("kind", F.col("dst").alias("host"), F.lit(0.0).alias("mass"), (F.col("held") / F.col("degree") * damping).alias("held"))
-        kept = state.select("kind", "host", (F.col("mass") + F.when(pushes, F.col("held") * (1 - damping)).otherwise(0.0)).alias("mass"), F.when(pushes, 0.0).otherwise(F.col("held")).alias("held"))
-        state = kept.unionByName(sent).groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("held").alias("held"))
+        state = dealt(state.withColumnRenamed("host", "src").join(ways, ["kind", "src"]).where(goes).select(*moved).groupBy("kind", "host").agg(*totals))
         if (i + 1) % cut == 0:
-            state = saved(state, "host-mass")
+            state = dealt(saved(state, "host-mass"))
             if state.where(pushes).isEmpty():
                 break
     sums = lambda df: {r["kind"]: r["sum"] for r in df.groupBy("kind").agg(F.sum("mass").alias("sum")).collect()}  # noqa: E731  two rows

@@ -260,6 +260,27 @@ def test_propagation_equals_a_direct_solve_on_graphs_with_cycles(spark):
         assert all(abs(got.get((kind, h), 0.0) - m) < 2e-5 for h, m in want.items())
 
 
+@pytest.mark.parametrize("share", [8 << 20, -1])
+def test_a_plan_has_one_join_a_round_and_few_ways_are_not_dealt_out(spark, monkeypatch, share):
+    plans, save = [], U.saved
+
+    def seen(df, name):
+        if name == "host-mass":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, name)
+
+    monkeypatch.setattr(U, "saved", seen)
+    monkeypatch.setattr(U, "SHARE_BYTES", share, raising=False)
+    edges, seeds = [("a", "b"), ("b", "a"), ("b", "c"), ("d", "b"), ("a", "d"), ("c", "end")], [("a", "trust", 1.0), ("c", "distrust", 0.5), ("lone", "distrust", 1.0)]
+    got = {(r["kind"], r["host"]): r["mass"] for r in U.propagate(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(seeds, "host string, kind string, mass double")).collect()}
+    assert max(p.count("Join") for p in plans) == 4  # a cut's rounds; 15 where each names the masses before it twice
+    assert any("Exchange" in p for p in plans) == (share < 0)
+    for kind, ways in (("trust", edges), ("distrust", [(d, s) for s, d in edges])):
+        want = solved(ways, {h: m for h, k, m in seeds if k == kind})
+        assert {h for k, h in got if k == kind} <= set(want)
+        assert all(abs(got.get((kind, h), 0.0) - m) < 2e-5 for h, m in want.items())
+
+
 def test_neighbours_under_a_public_suffix_are_not_blocked(spark):
     pages = [(1, "http://evil.co.uk/x", ""), (2, "http://bank.co.uk/", ""), (3, "http://www.bank.co.uk/", ""), (4, "http://shop.co.uk/", ""), (5, "http://sub.evil.co.uk/", ""), (6, "http://me.github.io/", "")]
     rules = [U.Rule("block", "evil.co.uk", "/x"), U.Rule("block", "you.github.io", "/")]
